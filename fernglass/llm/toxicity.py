@@ -1,8 +1,8 @@
 """Toxicity: compression-distance classification.
 
 Two zstandard dictionaries are trained, one on ordinary text, one on what sets toxic text apart. Toxic text is mostly
-made of ordinary words, so the second dictionary is trained on spans of toxic training texts: words that hold 5-byte
-grams far more frequent in toxic than in ordinary texts. Every whole text is cut into overlapping windows, each of which
+made of ordinary words, so the second dictionary is trained on spans of toxic training texts: words that hold byte grams
+far more frequent in toxic than in ordinary texts. Every whole text is cut into overlapping windows, each of which
 is compressed twice, after the ordinary dictionary alone and after the toxic one followed by the ordinary one. Both
 share the offsets of the ordinary part, so a window without toxic spans has the same length in both; the bytes that a
 window saves are its gain. Thresholds on gains are calibrated on training texts that the dictionaries haven't seen.
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, logistic, share_of, training_rows
 
-GRAM = 5
+#: The lengths of the grams that are looked at: short ones for words of their own, long ones for words that are odd only
+#: as a whole.
+GRAMS = (5, 8)
 WINDOW, OVERLAP = 128, 16
 TOXIC_BYTES, ORDINARY_BYTES = 4096, 8192
 #: A gram sets toxic text apart if its share of toxic texts is RATIO times that of ordinary ones or more, its
@@ -30,21 +32,21 @@ TOXIC_BYTES, ORDINARY_BYTES = 4096, 8192
 RATIO, EVIDENCE = 20.0, 30.0
 
 
-def grams(b: bytes) -> np.ndarray:
+def grams(b: bytes, length: int) -> np.ndarray:
     """The code of the gram at each position."""
     a = np.frombuffer(b, np.uint8).astype(np.uint64)
-    n = len(a) - GRAM + 1
+    n = len(a) - length + 1
     code = np.zeros(max(n, 0), np.uint64)
-    for i in range(GRAM if n > 0 else 0):
+    for i in range(length if n > 0 else 0):
         code |= a[i : i + n] << np.uint64(8 * i)
     return code
 
 
-def _frequencies(texts: list[bytes], chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def _frequencies(texts: list[bytes], length: int, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Codes, ascending, and how many of the texts hold each."""
     codes, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
     for i in range(0, len(texts), chunk):
-        part = np.concatenate([codes, *[np.unique(grams(t)) for t in texts[i : i + chunk]]])
+        part = np.concatenate([codes, *[np.unique(grams(t, length)) for t in texts[i : i + chunk]]])
         weight = np.concatenate([counts, np.ones(len(part) - len(codes), np.int64)])
         codes, at = np.unique(part, return_inverse=True)
         counts = np.bincount(at, weights=weight, minlength=len(codes)).astype(np.int64)
@@ -68,37 +70,44 @@ def toxic_spans(toxic: list[bytes], ordinary: list[bytes]) -> list[list[bytes]]:
     """
     if not toxic or not ordinary:
         return [[] for _ in toxic]
-    codes, counts = _frequencies(toxic)
-    others, n_others = _frequencies(ordinary)
-    at = np.minimum(np.searchsorted(others, codes), max(len(others) - 1, 0))
-    elsewhere = np.where(others[at] == codes, n_others[at], 0) if len(others) else np.zeros(len(codes), np.int64)
-    inner = np.zeros(len(codes), bool)  # grams across two words
-    for i in range(1, GRAM - 1):
-        inner |= np.isin((codes >> np.uint64(8 * i)) & np.uint64(255), np.array([9, 10, 13, 32], np.uint64))
-    chosen = ~inner & (evidence(counts, elsewhere, len(toxic), len(ordinary)) >= EVIDENCE)
-    codes, elsewhere = codes[chosen], elsewhere[chosen]
-    if not len(codes):
+    tables = []
+    for length in GRAMS:
+        codes, counts = _frequencies(toxic, length)
+        others, n_others = _frequencies(ordinary, length)
+        at = np.minimum(np.searchsorted(others, codes), max(len(others) - 1, 0))
+        elsewhere = np.where(others[at] == codes, n_others[at], 0) if len(others) else np.zeros(len(codes), np.int64)
+        inner = np.zeros(len(codes), bool)  # grams across two words
+        for i in range(1, length - 1):
+            inner |= np.isin((codes >> np.uint64(8 * i)) & np.uint64(255), np.array([9, 10, 13, 32], np.uint64))
+        chosen = ~inner & (evidence(counts, elsewhere, len(toxic), len(ordinary)) >= EVIDENCE)
+        tables.append((length, codes[chosen], elsewhere[chosen]))
+    outside = np.concatenate([t[2] for t in tables])
+    if not len(outside):
         return [[] for _ in toxic]
 
-    words: list[dict[int, list[tuple[int, int]]]] = []
+    # for each text the words that hold such grams, by their position, with (begin, end, number of the gram)
+    words: list[dict[int, list[tuple[int, int, int]]]] = []
     holders: dict[int, set[int]] = defaultdict(set)
     contexts: dict[int, set[bytes]] = defaultdict(set)
     for d, b in enumerate(toxic):
-        own: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        g = grams(b)
-        near = np.minimum(np.searchsorted(codes, g), len(codes) - 1)
-        for i in np.flatnonzero(codes[near] == g):
-            i, code = int(i), int(near[i])
-            middle = i + GRAM // 2
-            own[max(b.rfind(b" ", 0, middle + 1), b.rfind(b"\n", 0, middle + 1))].append((i, code))
-            holders[code].add(d)
-            contexts[code].add(b[max(i - 10, 0) : i])
+        own: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        first = 0
+        for length, codes, _ in tables:
+            g = grams(b, length)
+            near = np.minimum(np.searchsorted(codes, g), len(codes) - 1)
+            for i in np.flatnonzero(codes[near] == g) if len(codes) else ():
+                i, c = int(i), first + int(near[i])
+                middle = i + length // 2
+                own[max(b.rfind(b" ", 0, middle + 1), b.rfind(b"\n", 0, middle + 1))].append((i, i + length, c))
+                holders[c].add(d)
+                contexts[c].add(b[max(i - 10, 0) : i])
+            first += len(codes)
         words.append(dict(own))
     holders = {c: h for c, h in holders.items() if 2 * len(contexts[c]) > len(h)}
-    dropped = set(range(len(codes))) - set(holders)
+    dropped = set(range(len(outside))) - set(holders)
 
     def worth(c: int) -> float:
-        return float(evidence(np.array([len(holders[c])]), elsewhere[c : c + 1], len(toxic), len(ordinary))[0])
+        return float(evidence(np.array([len(holders[c])]), outside[c : c + 1], len(toxic), len(ordinary))[0])
 
     left = {c: worth(c) for c in holders}
     spans: list[list[bytes]] = [[] for _ in toxic]
@@ -108,17 +117,17 @@ def toxic_spans(toxic: list[bytes], ordinary: list[bytes]) -> list[list[bytes]]:
             break
         touched = set()
         for d in list(holders[best]):
-            for w in [w for w, found in words[d].items() if any(c == best for _, c in found)]:
-                found = sorted((i, c) for i, c in words[d].pop(w) if c not in dropped)
-                touched |= {c for _, c in found}
-                begin, end = found[0][0], found[0][0] + GRAM
-                for i, _ in found[1:]:
+            for w in [w for w, found in words[d].items() if any(c == best for *_, c in found)]:
+                found = sorted(x for x in words[d].pop(w) if x[2] not in dropped)
+                touched |= {c for *_, c in found}
+                begin, end, _ = found[0]
+                for i, j, _ in found[1:]:
                     if i > end:
                         spans[d].append(toxic[d][begin:end])
                         begin = i
-                    end = i + GRAM
+                    end = max(end, j)
                 spans[d].append(toxic[d][begin:end])
-            still = {c for found in words[d].values() for _, c in found}
+            still = {c for found in words[d].values() for *_, c in found}
             for c in touched - still:
                 holders[c].discard(d)
         for c in touched:
@@ -146,7 +155,7 @@ class Gains:
 
     def __init__(self, toxic: bytes, ordinary: bytes) -> None:
         params = zstandard.ZstdCompressionParameters.from_level(
-            19, source_size=WINDOW, dict_size=len(toxic) + len(ordinary), min_match=GRAM, strategy=zstandard.STRATEGY_BTULTRA, write_checksum=False, write_content_size=False, write_dict_id=False
+            19, source_size=WINDOW, dict_size=len(toxic) + len(ordinary), min_match=min(GRAMS), strategy=zstandard.STRATEGY_BTULTRA, write_checksum=False, write_content_size=False, write_dict_id=False
         )
         self.with_, self.without = (
             zstandard.ZstdCompressor(compression_params=params, dict_data=self._dictionary(content, params)) for content in (toxic + ordinary, ordinary)
