@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_vectors, neighbours, packing, quality, sharding, toxicity, urls
+from . import mixing, near_vectors, neighbours, ngram_join, packing, quality, sharding, toxicity, urls
 from .common import table
 from .oracles import ORACLES
 
@@ -18,6 +18,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
-        op1_embedding_near_dedup, op2_url_filter, op4_length_packing, op5_source_mixing, op6_quality_classifier, op7_sharding, op9_nearest_neighbours, op10_toxicity,
+        op1_embedding_near_dedup, op2_url_filter, op3_ngram_join, op4_length_packing, op5_source_mixing, op6_quality_classifier, op7_sharding, op9_nearest_neighbours, op10_toxicity,
     )
     return {f.__name__: f for f in found}
 
