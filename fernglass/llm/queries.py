@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_vectors, neighbours, ngram_join, packing, quality, sharding, toxicity, urls
+from . import line_templates, mixing, near_vectors, neighbours, ngram_join, packing, quality, sharding, toxicity, urls
 from .common import table
 from .oracles import ORACLES
 
@@ -43,6 +43,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -53,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
-        op1_embedding_near_dedup, op2_url_filter, op3_ngram_join, op4_length_packing, op5_source_mixing, op6_quality_classifier, op7_sharding, op9_nearest_neighbours, op10_toxicity,
+        op1_embedding_near_dedup, op2_url_filter, op3_ngram_join, op4_length_packing, op5_source_mixing, op6_quality_classifier, op7_sharding, op8_line_dedup, op9_nearest_neighbours, op10_toxicity,
     )
     return {f.__name__: f for f in found}
 
