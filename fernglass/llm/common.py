@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,15 +19,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of this process's own only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="fernglass-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and keeps it in the folder that the cluster names in spark.checkpoint.dir, so that a lost
-    executor costs no more than the reading of its files. A folder of this process only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fernglass-"))
+    """Computes df once and keeps it in the shared folder, so that a lost executor costs no more than the reading of its
+    files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def kept_table(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table in the shared folder, which goes when the application ends. Unlike a checkpoint it has
+    the size of its files as statistics; those of checkpoints multiply from join to join, which loops can't bear."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/fernglass-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it until it is none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Words in the text as bigint; 0 where it is null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")

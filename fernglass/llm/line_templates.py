@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 FIELD = "<*>"
 _TOKEN = re.compile("[^\x20\x09-\x0d]+")
@@ -107,9 +107,10 @@ def drop_recurring_lines(
     by_template = shaped.join(recurring, ["leaf", "template"]).select("line", "keep")
 
     doomed = held.join(exact.unionByName(by_template), "line").where("id <> keep")
-    doomed = doomed.groupBy("id").agg(F.collect_set("line").alias("_doomed")).withColumnRenamed("id", "_id")
+    own_id, gone_lines = fresh("_id", docs.columns), fresh("_doomed", docs.columns)
+    doomed = doomed.groupBy(F.col("id").alias(own_id)).agg(F.collect_set("line").alias(gone_lines))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(doomed, F.col(key) == F.col("_id"), "left").drop("_id")
+    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(doomed, F.col(key) == F.col(own_id), "left").drop(own_id)
     at = names.index(text)
     schema = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn(text, F.col(text).cast("string")).withColumns({"n_lines": F.lit(0).cast("bigint"), "n_dropped": F.lit(0).cast("bigint")}).schema
     for f in schema:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, global_index, hash_unit, running_before, word_count
+from .common import cut, fresh, global_index, hash_unit, running_before, word_count
 
 
 def pareto_rank(u: Column, inclusion: Column) -> Column:
@@ -82,6 +82,7 @@ def mix(
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents with each repeated as often as the mix takes it; those not taken go. key must be unique."""
-    picked = mixed.where("copies > 0").select(F.col(key).alias("_k"), F.col("copies").alias("_c"))
-    out = docs.join(picked, F.col(key).eqNullSafe(F.col("_k")))
-    return out.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int")))).drop("_k", "_c")
+    k, c = fresh("_k", docs.columns), fresh("_c", docs.columns)
+    picked = mixed.where("copies > 0").select(F.col(key).alias(k), F.col("copies").cast("int").alias(c))
+    out = docs.join(picked, F.col(key).eqNullSafe(F.col(k)))
+    return out.withColumn(c, F.explode(F.sequence(F.lit(1), F.col(c)))).drop(k, c)

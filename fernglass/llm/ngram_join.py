@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 from .graph import components
 from .near_vectors import local_roots
 from .shingles import WORDS, band_codes, choose_bands, shingle_set
@@ -204,8 +204,9 @@ def _repeats(described: DataFrame) -> bool:
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """The documents, all columns, one of each group of near copies: that with the smallest key. Of rows with the same
     key one stays. Documents without a key all stay."""
-    kept = near_texts(docs, key, text, threshold).where("kept").select(F.col(key).alias("_k")).distinct()
-    keyed = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_k"), "left_semi")
+    k = fresh("_k", docs.columns)
+    kept = near_texts(docs, key, text, threshold).where("kept").select(F.col(key).alias(k)).distinct()
+    keyed = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col(k), "left_semi")
     if _repeats(docs.select(F.col(key).alias("id"))):
         keyed = keyed.dropDuplicates([key])
     return keyed.unionByName(docs.where(F.col(key).isNull()))

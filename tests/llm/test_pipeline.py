@@ -1,0 +1,77 @@
+import os
+from collections import Counter
+
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+
+from .test_texts import labelled_corpus, prose
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="module")
+def messy(spark, documents, tmp_path_factory):
+    """A table of documents with all that can go wrong, and labels."""
+    import random
+
+    folder = str(tmp_path_factory.mktemp("sf"))
+    rows, quality_, toxic = labelled_corpus(160)
+    r = random.Random(5)
+    copy = prose(r, 80)
+    rows += [(500 + k, copy, "t") for k in range(20)] + [(600, None, "t"), (601, "", None), (602, "x", None), (603, prose(r, 30_000), "u")]
+    rows += [(700 + k, prose(r, 40) + "\nThis site uses cookies to give you the best experience of all", f"s{k % 3}") for k in range(12)]
+    documents(rows).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, quality_[i], toxic[i]) for i in quality_], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_stages(spark, messy, tmp_path):
+    docs = spark.read.parquet(f"{messy}/documents.parquet")
+    names, counts = docs.columns, [docs.count()]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, messy).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        assert docs.columns == names, name
+        counts.append(docs.count())
+        ids = Counter(r.doc_id for r in docs.collect())
+        if name == "quality_classifier":
+            assert 0 < sum(i < 160 and i % 5 == 0 for i in ids) < 8 and sum(i < 160 and i % 5 != 0 for i in ids) > 115
+        if name == "line_dedup":
+            assert sum("cookies" in (r.text or "") for r in docs.collect()) == 1
+        if name == "ngram_jaccard_join":
+            assert sum(500 <= i < 520 for i in ids) == 1
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, messy)
+    assert Counter(r.doc_id for r in out.collect()) == ids
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stage_of_nothing(spark, messy, name, stage):
+    docs = spark.read.parquet(f"{messy}/documents.parquet").where("false")
+    assert stage(spark, docs, messy).count() == 0
+
+
+def test_run(spark):
+    assert entry.queries()["pipeline"](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["op2_url_filter", "op5_source_mixing", "op7_sharding"])
+def test_oracles(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = entry.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    got = Counter(tuple(r) for r in df.select(*columns).collect())
+    cursor = c.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == columns
+    assert got == Counter(tuple(row[names.index(x)] for x in columns) for row in cursor.fetchall())
+
+
+def test_all_are_registered():
+    found = entry.queries()
+    assert "pipeline" in found and all(sum(n.startswith(f"op{k}_") for n in found) == 1 for k in range(1, 11))
