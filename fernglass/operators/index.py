@@ -49,14 +49,16 @@ def player_documents(players: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, term, tf). A document without tokens has no rows. Counted in each task before the shuffle."""
-    tokens = docs.select(F.col(key).alias("doc_id"), F.explode(tokenize(F.col(text))).alias("term"))
+    """(doc_id, term, tf). A document without tokens, or without a key, has no rows. Counted in each task before the
+    shuffle."""
+    tokens = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.explode(tokenize(F.col(text))).alias("term"))
     return tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
-    """(term, df), from tf, where each document and term is one row."""
-    return tf.groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df), from tf, where each document and term is one row. It reads the column tf, so that a plan that needs tf
+    as well shuffles it once for both."""
+    return tf.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("bigint")).alias("df"))
 
 
 def postings(tf: DataFrame) -> DataFrame:
