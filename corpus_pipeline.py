@@ -3,14 +3,12 @@ mix sources, pack. Each stage takes (spark, docs, sf_dir) and returns a DataFram
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from fernglass.llm import line_templates, mixing, ngram_join, packing, quality
-from fernglass.llm.common import table
+from fernglass.llm.common import kept_table, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,11 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each but the last written as Parquet to the shared folder and read again."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="corpus-pipeline-")
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared}/{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES[:-1]:
+        docs = kept_table(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
