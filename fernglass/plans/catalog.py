@@ -372,6 +372,7 @@ def _fielded(text: str) -> Query:
 
 
 FIELDED = {"bm25_multifield": "small ring 13", "bm25_and": "red AND economy", "bm25_not": "small NOT economy", "bm25_and_not": "red AND bolt NOT economy", "exact_numeric": "21"}
+FIELDED |= {"bm25_prefix": "ec*", "bm25_wildcard": "b?lt", "bm25_fuzzy": "smoll~1", "bm25_range": "p_name:[rad TO ret]", "bm25_must": "+small -ring economy^2", "bm25_blank": "   "}
 QUERIES |= {name: _fielded(text) for name, text in FIELDED.items()}
 
 

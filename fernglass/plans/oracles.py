@@ -108,6 +108,19 @@ def _sum(terms: str) -> str:
     return f"(select doc_id, sum(s) as s from sc where term in ({terms}) group by doc_id)"
 
 
+def _like(test: str, where: str = "true") -> str:
+    """Fields with a term that passes the test count their boost."""
+    return f"{_BM} select doc_id, round(sum(boost), 6) as score from (select distinct doc_id, field, boost from ptf where {test} and {where}) group by doc_id"
+
+
+#: small must be in a field, ring mustn't, economy counts twice; all in one field.
+_MUST = f"""{_BM}, fs as (select ptf.doc_id, field, term, boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2::double * (0.25::double + 0.75::double * len / ml)) as s
+    from ptf join pdf using (field, term) join st using (field))
+    select doc_id, round(sum(case term when 'small' then s when 'economy' then 2 * s else 0 end), 6) as score from fs x
+    where exists (select 1 from fs y where y.doc_id = x.doc_id and y.field = x.field and y.term = 'small') and not exists (select 1 from fs y where y.doc_id = x.doc_id and y.field = x.field and y.term = 'ring')
+    group by doc_id"""
+
+
 ORACLES = {
     "tokenize": f"select doc_id, len({_tok('text')}) as n_tokens from documents",
     "term_frequency": f"with {_TF} select doc_id, term, tf from tf",
@@ -163,6 +176,12 @@ ORACLES = {
     "bm25_and": f"{_BM} select a.doc_id, round(a.s + b.s, 6) as score from {_sum(chr(39) + 'red' + chr(39))} a join {_sum(chr(39) + 'economy' + chr(39))} b using (doc_id)",
     "bm25_not": f"{_BM} select doc_id, round(s, 6) as score from {_sum(chr(39) + 'small' + chr(39))} where doc_id not in (select doc_id from sc where term = 'economy')",
     "bm25_and_not": f"{_BM} select doc_id, round(s, 6) as score from (select doc_id, sum(s) as s from sc where term in ('red', 'bolt') group by doc_id) where doc_id not in (select doc_id from sc where term = 'economy')",
+    "bm25_prefix": _like("term like 'ec%'"),
+    "bm25_wildcard": _like("term like 'b_lt'"),
+    "bm25_fuzzy": _like("levenshtein(term, 'smoll') <= 1"),
+    "bm25_range": f"{_BM} select doc_id, round({sum(PART_FIELDS.values())}, 6)::double as score from (select distinct doc_id from ptf where field = 'p_name' and term >= 'rad' and term <= 'ret')",
+    "bm25_must": _MUST,
+    "bm25_blank": "select p_partkey as doc_id, 0.0::double as score from part where false",
     "exact_numeric": f"""with st as (select count(*) as n, sum((p_size = 21)::int) as df from part)
         select p_partkey as doc_id, round({len(SEARCH_FIELDS)} * (ln(1 + (n - df + 0.5) / (df + 0.5)) / 2.2::double), 6) as score from part, st where p_size = 21""",
     "field_statistics": f"with {_PART} select field, count(*) as n, round(avg(len(toks)), 6) as mean_len from parts group by field union all select 'weight', count(*), 1.0::double from part",
