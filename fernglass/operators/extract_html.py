@@ -75,12 +75,11 @@ def extract_players(pages: DataFrame, html: str = "html", keep: tuple[str, ...]
     """
     parts = pages.select(*keep, F.coalesce(F.col(html), F.lit("")).alias("_html"))
     parts = parts.select(*keep, page_name(F.col("_html")).alias("Player"), meta_section(F.col("_html")).alias("_meta"))
-    fields = player_fields(F.col("_meta"))
-    record = parts.select(*keep, "_meta", "Player", *[fields[c].alias(c) for c in PLAYER[1:]])
-    decoded = record.where("_meta <> ''").select(*keep, decode_entities(F.array(*PLAYER)).alias("_v"))
-    complete = decoded.select(*keep, *[F.col("_v")[i].alias(c) for i, c in enumerate(PLAYER)])
-    missing = record.where("_meta = ''").select(*keep, "Player", *[F.lit(WITHOUT_META[c]).alias(c) for c in PLAYER[1:]])
-    return complete.unionByName(missing)
+    fields = player_fields(F.col("_meta")) | {"Player": F.col("Player")}
+    found = F.when(F.col("_meta") != "", F.array(*[fields[c] for c in PLAYER]))
+    record = parts.select(*keep, "Player", decode_entities(found).alias("_v"))
+    value = lambda i, c: F.when(F.col("_v").isNull(), F.lit(WITHOUT_META[c]) if i else F.col("Player")).otherwise(F.get("_v", F.lit(i)))
+    return record.select(*keep, *[value(i, c).alias(c) for i, c in enumerate(PLAYER)])
 
 
 def player_links(html: Column, host: str, pattern: str = PLAYER_LINK) -> Column:

@@ -66,6 +66,11 @@ def postings(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
 
 
+def posting_blocks(tf: DataFrame, block: int = 1_000_000) -> DataFrame:
+    """(term, block, doc_ids): the same in blocks of so many ids, none longer than that, however frequent the term."""
+    return tf.groupBy("term", F.floor(F.col("doc_id") / block).alias("block")).agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+
+
 def vocabulary(df: DataFrame) -> DataFrame:
     """The terms in code-point order."""
     return df.select("term").orderBy("term")

@@ -68,6 +68,11 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
     return index.postings(_tf(spark, d)).select("term", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
 
 
+@query
+def posting_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return index.posting_blocks(_tf(spark, d), 100).select("term", "block", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
+
+
 @query
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return index.vocabulary(index.document_frequencies(_tf(spark, d)))

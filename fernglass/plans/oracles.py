@@ -126,6 +126,7 @@ ORACLES = {
     "term_frequency": f"with {_TF} select doc_id, term, tf from tf",
     "document_frequency": f"with {_TF}, {_DF} select term, df from df order by term",
     "postings": f"with {_TF} select term, string_agg(doc_id::varchar, ',' order by doc_id) as doc_ids from tf group by term",
+    "posting_blocks": f"with {_TF} select term, (doc_id // 100)::bigint as block, string_agg(doc_id::varchar, ',' order by doc_id) as doc_ids from tf group by all",
     "vocabulary": f"with {_TF} select distinct term from tf order by term",
     "collection_size": "select count(*) as n from documents",
     "idf_both": f"with {_TF}, {_DF}, {_N} select term, df, round({_STD}, 6) as idf_standard, round({_PRB}, 6) as idf_probabilistic from df cross join size",
