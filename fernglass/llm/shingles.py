@@ -15,7 +15,7 @@ _known: dict[str, int] = {}
 
 def word_codes(text: str) -> np.ndarray:
     """A 64-bit number for each word of the lower-cased text, the same in every process."""
-    if len(_known) > 1_000_000:
+    if len(_known) > 200_000:
         _known.clear()
     words = _WORD.findall(text.lower())
     out = np.empty(len(words), np.uint64)
