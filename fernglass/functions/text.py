@@ -77,12 +77,16 @@ def without_brackets(name: Column) -> Column:
     return F.coalesce(strip(F.regexp_replace(name, r"(?U)\s*\([^)]*\)", "")), F.lit(""))
 
 
-@F.udf(ArrayType(StringType()), useArrow=True)
-def decode_entities(values):  # noqa: ANN001, ANN201
-    """HTML entities of each string decoded; one crossing to Python for all fields of a row."""
+def _decoded(values):  # noqa: ANN001, ANN202
     return None if values is None else [None if v is None else html.unescape(v) for v in values]
 
 
+#: HTML entities of each string of an array decoded; one crossing to Python for all fields of a row. Declared
+#: nondeterministic so that a filter on its result isn't moved below it, where all expressions under it would be
+#: written out and evaluated again.
+decode_entities = F.udf(_decoded, ArrayType(StringType()), useArrow=True).asNondeterministic()
+
+
 def natural_key(name: Column) -> Column:
     """A sort key that takes runs of digits as numbers: an array of (text, number)."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), 1)
