@@ -37,6 +37,11 @@ def blank_to(text: Column, value: str) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit(value))
 
 
+def once(value: Column, then) -> Column:  # noqa: ANN001
+    """then(value), with value evaluated once however often then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
     """The group in the first match, null without a match. For patterns whose group can be empty."""
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
@@ -44,7 +49,7 @@ def first_group(text: Column, pattern: str, group: int = 1) -> Column:
 
 def full_group(text: Column, pattern: str, group: int = 1) -> Column:
     """The group in the first match, null without a match. For patterns whose group can't be empty: one evaluation."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return once(F.regexp_extract(text, pattern, group), lambda x: F.nullif(x, F.lit("")))
 
 
 def join_full(*parts: Column, sep: str = " ") -> Column:

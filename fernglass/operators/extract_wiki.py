@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fernglass.functions.text import blank_to, first_full, first_group, full_group, strip, surname, without_brackets
+from fernglass.functions.text import blank_to, first_group, full_group, once, strip, surname, without_brackets
 from fernglass.sources.readers import WIKI_PLAYER
 
 # --- fixed values ---------------------------------------------------------------------------------------------------
@@ -105,7 +105,7 @@ def first_sentence(page: Column) -> Column:
 def infobox_field(page: Column, field: str) -> Column:
     """The field's value as plain text; '' without one. A value that runs into the next field counts as none."""
     value = strip(F.regexp_extract(page, rf"(?siuU)\|\s*{field}\s*=\s*(.*?)(?=(?:\n\s*\||\s*\|\s*\w+\s*=)|\n\s*\}}|\z)", 1))
-    value = F.when(value.rlike(r"(?U)\|\s*\w+\s*="), F.lit("")).otherwise(value)
+    value = once(value, lambda v: F.when(v.rlike(r"(?U)\|\s*\w+\s*="), F.lit("")).otherwise(v))
     return clean_markup(F.regexp_replace(value, r"(?U)\s*\|\s*$", ""))
 
 
@@ -115,9 +115,9 @@ def weight(page: Column) -> Column:
     for f in WEIGHT_FIELDS:
         value = infobox_field(page, f)
         if f != "weight_kg":
-            value = F.when(value.rlike(r"(?U)^\d{2,3}$"), F.concat(value, F.lit(" lb"))).otherwise(value)
-        found.append(value)
-    return F.coalesce(first_full(*found), F.lit(""))
+            value = once(value, lambda v: F.when(v.rlike(r"(?U)^\d{2,3}$"), F.concat(v, F.lit(" lb"))).otherwise(v))
+        found.append(once(value, lambda v: F.nullif(v, F.lit(""))))
+    return F.coalesce(*found, F.lit(""))
 
 
 def birth_year(page: Column) -> Column:
