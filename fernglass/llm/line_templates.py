@@ -1,14 +1,15 @@
 """Line dedup: a log-template tree.
 
 Lines are parsed by a tree of fixed depth: the number of tokens, then the leading tokens, with tokens that hold a digit
-as variable fields. In a leaf, a position is constant where its token recurs there in enough documents, and variable
-elsewhere; the constant tokens make the template of a line. Lines that agree in all tokens but those with digits have
-a template anyway. A template whose lines stand in enough documents recurs: its lines are dropped from all documents
+as variable fields. In a leaf, lines are linked that agree in enough of their tokens, fields aside; lines that are
+linked, directly or by others, share a template. Every line of the leaf takes part, one that recurs verbatim too, and
+votes with its count. A template whose lines stand in enough documents recurs: its lines are dropped from all documents
 but the first.
 
-The tree is built by aggregation alone. Counts by line, by leaf and by position and token are summed before the
-shuffle, so a line, leaf or template that is in a third of all documents is a few rows for each task. Tokens are looked
-at only for lines in leaves that could recur.
+Counts by line and leaf are summed before the shuffle, so a line that is in a third of all documents is a few rows for
+each task. Tokens are looked at only for lines in leaves that hold several lines and could recur, once for each line.
+A leaf with many lines is dealt into tiles, and each pair of tiles is a task: all links are found, and the comparisons
+grow with the square of a leaf's different lines where those are not alike.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh
+from .graph import components
 
 FIELD = "<*>"
 _TOKEN = re.compile("[^\x20\x09-\x0d]+")
@@ -47,46 +50,80 @@ def parse(line: str, depth: int, least: int, similarity: float) -> tuple[int, in
     return len(t), code(" ".join([str(len(t)), *t[:depth]])), code(" ".join(t)), t.count(FIELD) <= (1 - similarity) * len(t)
 
 
+def _linked(similarity: float):
+    """Of each unit, the lines linked with another, directly or by others of the unit, and a line that stands for all
+    of them."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        line = rows["line"].to_numpy()
+        x = rows["tokens"].combine_chunks().flatten().to_numpy().reshape(len(line), -1)
+        # a field agrees with nothing
+        field = x == code(FIELD)
+        one, other = np.where(field, 0, x), np.where(field, 1, x)
+        need = similarity * x.shape[1] - 1e-9
+        root, left = np.arange(len(line)), np.arange(len(line))
+        while len(left):
+            first, left, other = left[0], left[1:], other[1:]
+            open_ = [first]
+            while open_ and len(left):
+                hit = np.count_nonzero(other == one[open_.pop()], axis=1) >= need
+                if hit.any():
+                    root[left[hit]] = first
+                    open_ += left[hit].tolist()
+                    left, other = left[~hit], other[~hit]
+        at = np.flatnonzero(root != np.arange(len(line)))
+        return pa.table({"a": line[at], "b": line[root[at]]})
+
+    return run
+
+
 def drop_recurring_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 3, depth: int = 3, least: int = 3, least_variable: int = 5, similarity: float = 0.8
-) -> DataFrame:
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 3, depth: int = 3, least: int = 3, least_variable: int = 5, similarity: float = 0.8,
+    tile: int = 512, tile_tokens: int = 1_000_000,
+) -> DataFrame:
     """The documents, all columns, without recurring lines, and with the columns n_lines and n_dropped (bigint).
 
     A line of at least `least` tokens recurs if it stands, digits aside, in min_docs rows of docs or more. A line of
-    at least least_variable tokens also recurs if its template does. In either case at least `similarity` of its tokens
-    are constant. A recurring line stays in the row with the smallest key among those that hold its template; all its
+    at least least_variable tokens also recurs if its template does: if it and the lines linked with it stand in as many.
+    Two lines are linked if they have the same number of tokens and the same first `depth`, and agree in at least
+    `similarity` of all, place by place; fields agree with nothing. In either case at least `similarity` of a line's
+    tokens are no fields. A recurring line stays in the row with the smallest key among those that hold its template; all its
     repeats in that row stay. Equal lines within one document alone don't recur.
 
     A null text stays null with n_lines 0. An empty text has no lines. A text that loses all its lines becomes
     empty. Lines end at line feeds; others are joined again as they were. Rows with the same key, if the smallest,
     all keep their lines; rows with a null key count, but lose nothing. Columns named n_lines or n_dropped are
-    replaced; others, whatever their names, go along.
+    replaced; others, whatever their names, go along. Memory: two tiles, each of `tile` lines or of tile_tokens tokens, in
+    a task; a longer line is in a tile alone.
     """
     plain = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(i, *p) for p in {parse(s, depth, least, similarity) for s in (t or "").split("\n")} if p]
-            cols = list(zip(*rows)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "n", "leaf", "line", "fixed"])
-
-    held = cut(plain.mapInArrow(parsed, "id bigint, n int, leaf bigint, line bigint, fixed boolean"))
-    lines = cut(held.groupBy("leaf", "line", "n", "fixed").agg(F.count("*").alias("c"), F.min("id").alias("first")))
+            for i, t, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(i, h, *p) for p in {parse(s, depth, least, similarity) for s in (t or "").split("\n")} if p]
+            cols = list(zip(*rows)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "carrier", "n", "leaf", "line", "fixed"])
+
+    held = cut(plain.withColumn("carrier", F.xxhash64("text")).mapInArrow(parsed, "id bigint, carrier bigint, n int, leaf bigint, line bigint, fixed boolean"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "carrier"))
+    lines = held.groupBy("leaf", "line", "n", "fixed").agg(F.count("*").alias("c"), first.alias("f"))
+    lines = cut(lines.select("leaf", "line", "n", "fixed", "c", F.col("f.id").alias("first"), F.col("f.carrier").alias("carrier")))
     exact = lines.where((F.col("c") >= min_docs) & F.col("fixed")).select("line", F.col("first").alias("keep"))
 
-    rare = lines.where((F.col("c") < min_docs) & (F.col("n") >= least_variable) & F.col("fixed"))
-    leaves = rare.groupBy("leaf").agg(F.sum("c").alias("_d")).where(F.col("_d") >= min_docs).select("leaf")
-    open_ = cut(rare.join(leaves, "leaf"))
+    able = lines.where((F.col("n") >= least_variable) & F.col("fixed"))
+    tiles = F.greatest(F.ceil(F.count("*") / F.lit(tile)), F.ceil(F.sum("n") / F.lit(tile_tokens)))
+    leaves = able.groupBy("leaf").agg(F.count("*").alias("_l"), F.sum("c").alias("_d"), F.least(tiles, F.count("*")).cast("int").alias("t"))
+    open_ = cut(able.join(leaves.where((F.col("_l") > 1) & (F.col("_d") >= min_docs)).select("leaf", "t"), "leaf"))
     # one document carries the tokens of a line: the first that holds it
-    carried = open_.where("first is not null").groupBy("first").agg(F.collect_list("line").alias("lines"))
-    carriers = plain.join(carried, F.col("id") == F.col("first")).select("text", "lines")
+    carried = open_.groupBy("first", "carrier").agg(F.collect_list("line").alias("lines"))
+    carriers = plain.join(carried, F.col("id").eqNullSafe(F.col("first")) & (F.xxhash64("text") == F.col("carrier"))).select("text", "lines")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: set[tuple] = set()
+            lines_, codes = [], []
             for t, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 wanted = set(wanted)
                 for s in (t or "").split("\n"):
@@ -94,17 +131,19 @@ def drop_recurring_lines(
                     c = code(" ".join(found))
                     if c in wanted:
                         wanted.discard(c)
-                        rows |= {(c, p, code(w)) for p, w in enumerate(found) if w != FIELD}
-            cols = list(zip(*rows)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["line", "at", "token"])
-
-    placed = cut(carriers.mapInArrow(spread, "line bigint, at int, token bigint").distinct().join(open_, "line"))
-    constant = placed.groupBy("leaf", "at", "token").agg(F.sum("c").alias("_d")).where(F.col("_d") >= min_docs).drop("_d")
-    shaped = placed.join(constant, ["leaf", "at", "token"]).groupBy("line", "leaf", "n", "c", "first")
-    shaped = shaped.agg(F.count("*").alias("_k"), F.bit_xor(F.xxhash64("at", "token")).alias("template")).where(F.col("_k") >= F.col("n") * F.lit(similarity))
-    shaped = cut(shaped)
-    recurring = shaped.groupBy("leaf", "template").agg(F.sum("c").alias("_d"), F.min("first").alias("keep")).where(F.col("_d") >= min_docs)
-    by_template = shaped.join(recurring, ["leaf", "template"]).select("line", "keep")
+                        lines_.append(c)
+                        codes.append([code(w) for w in found])
+            yield pa.RecordBatch.from_arrays([pa.array(lines_, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], ["line", "tokens"])
+
+    placed = carriers.mapInArrow(spread, "line bigint, tokens array<bigint>").dropDuplicates(["line"]).join(open_, "line")
+    home = F.pmod("line", F.col("t")).cast("int")
+    dealt = placed.select("leaf", "line", "tokens", "t", home.alias("_h"), F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("_o")).where("t = 1 or _o <> _h")
+    dealt = dealt.select("leaf", "line", "tokens", F.least("_h", "_o").alias("i"), F.greatest("_h", "_o").alias("j"))
+    linked = components(dealt.groupBy("leaf", "i", "j").applyInArrow(_linked(similarity), "a bigint, b bigint"))
+    shaped = cut(linked.select(F.col("node").alias("line"), F.col("root").alias("template")).join(lines, "line"))
+    recurring = shaped.groupBy("template").agg(F.sum("c").alias("_d"), F.min("first").alias("keep")).where(F.col("_d") >= min_docs)
+    by_template = shaped.join(recurring, "template").select("line", "keep")
+    exact = exact.join(shaped.select("line"), "line", "left_anti")
 
     doomed = held.join(exact.unionByName(by_template), "line").where("id <> keep")
     own_id, gone_lines = fresh("_id", docs.columns), fresh("_doomed", docs.columns)
