@@ -84,7 +84,8 @@ def drop_recurring_lines(
     """The documents, all columns, without recurring lines, and with the columns n_lines and n_dropped (bigint).
 
     A line of at least `least` tokens recurs if it stands, digits aside, in min_docs rows of docs or more. A line of
-    at least least_variable tokens also recurs if its template does: if it and the lines linked with it stand in as many.
+    at least least_variable tokens also recurs if its template does: if it and the lines linked with it stand in as many
+    different rows.
     Two lines are linked if they have the same number of tokens and the same first `depth`, and agree in at least
     `similarity` of all, place by place; fields agree with nothing. In either case at least `similarity` of a line's
     tokens are no fields. A recurring line stays in the row with the smallest key among those that hold its template; all its
@@ -101,13 +102,13 @@ def drop_recurring_lines(
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for i, t, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(i, h, *p) for p in {parse(s, depth, least, similarity) for s in (t or "").split("\n")} if p]
-            cols = list(zip(*rows)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "carrier", "n", "leaf", "line", "fixed"])
+            for i, t, h, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(r, i, h, *p) for p in {parse(s, depth, least, similarity) for s in (t or "").split("\n")} if p]
+            cols = list(zip(*rows)) or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "id", "carrier", "n", "leaf", "line", "fixed"])
 
-    held = cut(plain.withColumn("carrier", F.xxhash64("text")).mapInArrow(parsed, "id bigint, carrier bigint, n int, leaf bigint, line bigint, fixed boolean"))
+    held = cut(plain.withColumns({"carrier": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).mapInArrow(parsed, "row bigint, id bigint, carrier bigint, n int, leaf bigint, line bigint, fixed boolean"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "carrier"))
     lines = held.groupBy("leaf", "line", "n", "fixed").agg(F.count("*").alias("c"), first.alias("f"))
     lines = cut(lines.select("leaf", "line", "n", "fixed", "c", F.col("f.id").alias("first"), F.col("f.carrier").alias("carrier")))
@@ -140,8 +141,10 @@ def drop_recurring_lines(
     dealt = placed.select("leaf", "line", "tokens", "t", home.alias("_h"), F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("_o")).where("t = 1 or _o <> _h")
     dealt = dealt.select("leaf", "line", "tokens", F.least("_h", "_o").alias("i"), F.greatest("_h", "_o").alias("j"))
     linked = components(dealt.groupBy("leaf", "i", "j").applyInArrow(_linked(similarity), "a bigint, b bigint"))
-    shaped = cut(linked.select(F.col("node").alias("line"), F.col("root").alias("template")).join(lines, "line"))
-    recurring = shaped.groupBy("template").agg(F.sum("c").alias("_d"), F.min("first").alias("keep")).where(F.col("_d") >= min_docs)
+    shaped = cut(linked.select(F.col("node").alias("line"), F.col("root").alias("template")))
+    # a row that holds several lines of a template counts once
+    holders = held.join(shaped, "line").groupBy("template", "row").agg(F.min("id").alias("id"))
+    recurring = holders.groupBy("template").agg(F.count("*").alias("_d"), F.min("id").alias("keep")).where(F.col("_d") >= min_docs)
     by_template = shaped.join(recurring, "template").select("line", "keep")
     exact = exact.join(shaped.select("line"), "line", "left_anti")
 

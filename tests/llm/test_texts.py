@@ -147,6 +147,44 @@ def test_lines_edited_copies_of_a_verbatim_line(documents):
     assert got[None].n_dropped == 0
 
 
+@pytest.mark.parametrize("n", [3, 4, 50, 1000])
+def test_lines_versions(documents, n):
+    words = prose(random.Random(11), 60).split()
+    rows = [(i, f"{edited(words, 3 + i % 57)} x{'y' * (i // 57)}") for i in range(n)]
+    names = [prose(random.Random(i), 3).replace(" ", "") for i in range(40)]
+    rows += [(2000 + i, f"Session opened for user {names[i % 40]} on host {names[i * 7 % 40]}s just now") for i in range(n)]
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(documents(rows)).collect()}
+    assert [i for i in got if got[i].n_dropped == 0] == [0, 2000]
+
+
+def test_lines_versions_in_one_document(documents):
+    # a document that holds many versions counts once
+    rows = [(i, "\n".join(f"Session opened for user {prose(random.Random(9 * i + k), 1)} on host alpha just now" for k in range(9))) for i in range(2)]
+    got = line_templates.drop_recurring_lines(documents(rows)).collect()
+    assert all(r.n_dropped == 0 for r in got)
+
+
+def test_lines_tiles(documents):
+    """Against brute force, with leaves of one tile and of many."""
+    r = random.Random(12)
+    rows = [(i, " ".join(["and", "so", "on", *(r.choice("abcd") for _ in range(7))])) for i in range(150)]
+    lines = [t.split() for _, t in rows]
+    near = [[sum(a == b for a, b in zip(x, y)) >= 8 for y in lines] for x in lines]
+    want, seen = set(), set()
+    for i in range(150):
+        if i not in seen:
+            group, todo = {i}, [i]
+            while todo:
+                x = todo.pop()
+                todo += (found := {y for y in range(150) if near[x][y]} - group)
+                group |= found
+            seen |= group
+            want |= group - {min(group)} if len(group) >= 3 else set()
+    for tile in (512, 16):
+        got = line_templates.drop_recurring_lines(documents(rows), tile=tile).collect()
+        assert {x.doc_id for x in got if x.n_dropped} == want and 0 < len(want) < 149
+
+
 def labelled_corpus(n=240):
     r = random.Random(6)
     rows, quality_, toxic = [], {}, {}
