@@ -43,11 +43,13 @@ def tokens(line: str) -> list[str]:
 
 def parse(line: str, depth: int, least: int, similarity: float) -> tuple[int, int, int, bool] | None:
     """(tokens, leaf, line, fixed) of a line: its number of tokens, and the codes of its leaf and of itself. fixed: enough of
-    its tokens aren't fields. None for a line of fewer tokens than `least`."""
+    its tokens aren't fields. The code of a line is that of its tokens with fields masked if it is fixed, as they stand if
+    not. None for a line of fewer tokens than `least`."""
     t = tokens(line)
     if len(t) < least:
         return None
-    return len(t), code(" ".join([str(len(t)), *t[:depth]])), code(" ".join(t)), t.count(FIELD) <= (1 - similarity) * len(t)
+    fixed = t.count(FIELD) <= (1 - similarity) * len(t)
+    return len(t), code(" ".join([str(len(t)), *t[:depth]])), code(" ".join(t if fixed else _TOKEN.findall(line))), fixed
 
 
 def _linked(similarity: float):
@@ -83,12 +85,11 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """The documents, all columns, without recurring lines, and with the columns n_lines and n_dropped (bigint).
 
-    A line of at least `least` tokens recurs if it stands, digits aside, in min_docs rows of docs or more. A line of
-    at least least_variable tokens also recurs if its template does: if it and the lines linked with it stand in as many
+    A line of at least `least` tokens recurs if it stands in min_docs rows of docs or more: token for token, or, if at least
+    `similarity` of its tokens are no fields, with any tokens for fields. Of the latter lines, one of at least least_variable tokens also recurs if its template does: if it and the lines linked with it stand in as many
     different rows.
     Two lines are linked if they have the same number of tokens and the same first `depth`, and agree in at least
-    `similarity` of all, place by place; fields agree with nothing. In either case at least `similarity` of a line's
-    tokens are no fields. A recurring line stays in the row with the smallest key among those that hold its template; all its
+    `similarity` of all, place by place; fields agree with nothing. A recurring line stays in the row with the smallest key among those that hold its template; all its
     repeats in that row stay. Equal lines within one document alone don't recur.
 
     A null text stays null with n_lines 0. An empty text has no lines. A text that loses all its lines becomes
@@ -112,7 +113,7 @@ def drop_recurring_lines(
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "carrier"))
     lines = held.groupBy("leaf", "line", "n", "fixed").agg(F.count("*").alias("c"), first.alias("f"))
     lines = cut(lines.select("leaf", "line", "n", "fixed", "c", F.col("f.id").alias("first"), F.col("f.carrier").alias("carrier")))
-    exact = lines.where((F.col("c") >= min_docs) & F.col("fixed")).select("line", F.col("first").alias("keep"))
+    exact = lines.where(F.col("c") >= min_docs).select("line", F.col("first").alias("keep"))
 
     able = lines.where((F.col("n") >= least_variable) & F.col("fixed"))
     tiles = F.greatest(F.ceil(F.count("*") / F.lit(tile)), F.ceil(F.sum("n") / F.lit(tile_tokens)))
@@ -166,7 +167,7 @@ def drop_recurring_lines(
                 left = all_lines
                 if gone:
                     gone = set(gone)
-                    left = [s for s in all_lines if code(" ".join(tokens(s))) not in gone]
+                    left = [s for s in all_lines if not (p := parse(s, depth, least, similarity)) or p[2] not in gone]
                 texts.append(t if t is None else "\n".join(left))
                 n_lines.append(len(all_lines))
                 n_dropped.append(len(all_lines) - len(left))

@@ -185,6 +185,13 @@ def test_lines_tiles(documents):
         assert {x.doc_id for x in got if x.n_dropped} == want and 0 < len(want) < 149
 
 
+def test_lines_verbatim_with_digits(documents):
+    dated, row = "Published 12 March 2021", "7 | 8 | 9 | 10"
+    rows = [(i, f"{dated}\n{row}\nPublished {i} March {i + 1990}\n{i} | 1{i} | 2{i} | 3{i}") for i in range(3)]
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(documents(rows)).collect()}
+    assert got[0].n_dropped == 0 and all(got[i].text == "\n".join(rows[i][1].split("\n")[2:]) for i in (1, 2))
+
+
 def labelled_corpus(n=240):
     r = random.Random(6)
     rows, quality_, toxic = [], {}, {}
