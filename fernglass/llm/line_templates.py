@@ -81,11 +81,12 @@ def _linked(similarity: float):
 
 def drop_recurring_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 3, depth: int = 3, least: int = 3, least_variable: int = 5, similarity: float = 0.8,
-    tile: int = 512, tile_tokens: int = 1_000_000,
+    long_docs: int = 2, long: int = 20, tile: int = 512, tile_tokens: int = 1_000_000,
 ) -> DataFrame:
     """The documents, all columns, without recurring lines, and with the columns n_lines and n_dropped (bigint).
 
-    A line of at least `least` tokens recurs if it stands in min_docs rows of docs or more: token for token, or, if at least
+    A line of at least `least` tokens recurs if it stands in min_docs rows of docs or more, one of at least `long` tokens in
+    long_docs: token for token, or, if at least
     `similarity` of its tokens are no fields, with any tokens for fields. Of the latter lines, one of at least least_variable tokens also recurs if its template does: if it and the lines linked with it stand in as many
     different rows.
     Two lines are linked if they have the same number of tokens and the same first `depth`, and agree in at least
@@ -109,16 +110,17 @@ def drop_recurring_lines(
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "id", "carrier", "n", "leaf", "line", "fixed"])
 
+    enough = F.when(F.col("n") >= long, min(long_docs, min_docs)).otherwise(min_docs)
     held = cut(plain.withColumns({"carrier": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).mapInArrow(parsed, "row bigint, id bigint, carrier bigint, n int, leaf bigint, line bigint, fixed boolean"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "carrier"))
     lines = held.groupBy("leaf", "line", "n", "fixed").agg(F.count("*").alias("c"), first.alias("f"))
     lines = cut(lines.select("leaf", "line", "n", "fixed", "c", F.col("f.id").alias("first"), F.col("f.carrier").alias("carrier")))
-    exact = lines.where(F.col("c") >= min_docs).select("line", F.col("first").alias("keep"))
+    exact = lines.where(F.col("c") >= enough).select("line", F.col("first").alias("keep"))
 
     able = lines.where((F.col("n") >= least_variable) & F.col("fixed"))
     tiles = F.greatest(F.ceil(F.count("*") / F.lit(tile)), F.ceil(F.sum("n") / F.lit(tile_tokens)))
-    leaves = able.groupBy("leaf").agg(F.count("*").alias("_l"), F.sum("c").alias("_d"), F.least(tiles, F.count("*")).cast("int").alias("t"))
-    open_ = cut(able.join(leaves.where((F.col("_l") > 1) & (F.col("_d") >= min_docs)).select("leaf", "t"), "leaf"))
+    leaves = able.groupBy("leaf").agg(F.count("*").alias("_l"), F.sum("c").alias("_d"), F.first("n").alias("n"), F.least(tiles, F.count("*")).cast("int").alias("t"))
+    open_ = cut(able.join(leaves.where((F.col("_l") > 1) & (F.col("_d") >= enough)).select("leaf", "t"), "leaf"))
     # one document carries the tokens of a line: the first that holds it
     carried = open_.groupBy("first", "carrier").agg(F.collect_list("line").alias("lines"))
     carriers = plain.join(carried, F.col("id").eqNullSafe(F.col("first")) & (F.xxhash64("text") == F.col("carrier"))).select("text", "lines")
@@ -144,8 +146,8 @@ def drop_recurring_lines(
     linked = components(dealt.groupBy("leaf", "i", "j").applyInArrow(_linked(similarity), "a bigint, b bigint"))
     shaped = cut(linked.select(F.col("node").alias("line"), F.col("root").alias("template")))
     # a row that holds several lines of a template counts once
-    holders = held.join(shaped, "line").groupBy("template", "row").agg(F.min("id").alias("id"))
-    recurring = holders.groupBy("template").agg(F.count("*").alias("_d"), F.min("id").alias("keep")).where(F.col("_d") >= min_docs)
+    holders = held.join(shaped, "line").groupBy("template", "row").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    recurring = holders.groupBy("template").agg(F.count("*").alias("_d"), F.min("id").alias("keep"), F.first("n").alias("n")).where(F.col("_d") >= enough)
     by_template = shaped.join(recurring, "template").select("line", "keep")
     exact = exact.join(shaped.select("line"), "line", "left_anti")
 

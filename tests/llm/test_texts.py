@@ -192,6 +192,17 @@ def test_lines_verbatim_with_digits(documents):
     assert got[0].n_dropped == 0 and all(got[i].text == "\n".join(rows[i][1].split("\n")[2:]) for i in (1, 2))
 
 
+def test_lines_long_in_two_documents(documents):
+    words, short = prose(random.Random(13), 60).split(), prose(random.Random(14), 19)
+    passage, other = edited(words), edited(words, 9, 30)
+    twenty = prose(random.Random(15), 20)
+    rows = [(1, f"{passage}\n{short}\n{twenty}"), (2, f"own line\n{short}\n{passage}"), (3, f"{twenty}\n{prose(random.Random(16), 60)}"), (4, f"{prose(random.Random(17), 45)}\na b c")]
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(documents(rows)).collect()}
+    assert [got[i].text for i in (1, 2, 3, 4)] == [rows[0][1], f"own line\n{short}", rows[2][1].split("\n")[1], rows[3][1]]
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(documents([(1, passage), (2, other)])).collect()}
+    assert got[1].text == passage and got[2].text == ""
+
+
 def labelled_corpus(n=240):
     r = random.Random(6)
     rows, quality_, toxic = [], {}, {}
