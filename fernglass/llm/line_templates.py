@@ -27,6 +27,8 @@ from .common import cut, fresh
 from .graph import components
 
 FIELD = "<*>"
+#: Characters from which on a line of fewer tokens than count as a line is one all the same, and a long one.
+SOME, MANY = 20, 100
 _TOKEN = re.compile("[^\x20\x09-\x0d]+")
 _DIGIT = re.compile(r"\d")
 
@@ -41,13 +43,16 @@ def tokens(line: str) -> list[str]:
     return [FIELD if _DIGIT.search(t) else t for t in found] if _DIGIT.search(line) else found
 
 
-def parse(line: str, depth: int, least: int, similarity: float) -> tuple[int, int, int, bool] | None:
+def parse(line: str, depth: int, least: int, similarity: float, long: int) -> tuple[int, int, int, bool] | None:
     """(tokens, leaf, line, fixed) of a line: its number of tokens, and the codes of its leaf and of itself. fixed: enough of
     its tokens aren't fields. The code of a line is that of its tokens with fields masked if it is fixed, as they stand if
-    not. None for a line of fewer tokens than `least`."""
+    not. A line of fewer tokens than `least` isn't fixed, and counts as `least` or `long` tokens if it has the characters.
+    None for a line without tokens."""
     t = tokens(line)
     if len(t) < least:
-        return None
+        as_is = " ".join(_TOKEN.findall(line))
+        n = long if len(as_is) >= MANY else least if len(as_is) >= SOME else len(t)
+        return (n, code(str(len(t))), code(as_is), False) if t else None
     fixed = t.count(FIELD) <= (1 - similarity) * len(t)
     return len(t), code(" ".join([str(len(t)), *t[:depth]])), code(" ".join(t if fixed else _TOKEN.findall(line))), fixed
 
@@ -81,12 +86,13 @@ def _linked(similarity: float):
 
 def drop_recurring_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 3, depth: int = 3, least: int = 3, least_variable: int = 5, similarity: float = 0.8,
-    long_docs: int = 2, long: int = 20, tile: int = 512, tile_tokens: int = 1_000_000,
+    long_docs: int = 2, long: int = 20, short_docs: int = 10, tile: int = 512, tile_tokens: int = 1_000_000,
 ) -> DataFrame:
     """The documents, all columns, without recurring lines, and with the columns n_lines and n_dropped (bigint).
 
     A line of at least `least` tokens recurs if it stands in min_docs rows of docs or more, one of at least `long` tokens in
-    long_docs: token for token, or, if at least
+    long_docs, one of fewer than `least` in short_docs (in min_docs from SOME characters on, in long_docs from MANY): token
+    for token, or, if at least
     `similarity` of its tokens are no fields, with any tokens for fields. Of the latter lines, one of at least least_variable tokens also recurs if its template does: if it and the lines linked with it stand in as many
     different rows.
     Two lines are linked if they have the same number of tokens and the same first `depth`, and agree in at least
@@ -105,12 +111,12 @@ def drop_recurring_lines(
         for batch in batches:
             rows: list[tuple] = []
             for i, t, h, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(r, i, h, *p) for p in {parse(s, depth, least, similarity) for s in (t or "").split("\n")} if p]
+                rows += [(r, i, h, *p) for p in {parse(s, depth, least, similarity, long) for s in (t or "").split("\n")} if p]
             cols = list(zip(*rows)) or [[]] * 7
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "id", "carrier", "n", "leaf", "line", "fixed"])
 
-    enough = F.when(F.col("n") >= long, min(long_docs, min_docs)).otherwise(min_docs)
+    enough = F.when(F.col("n") >= long, min(long_docs, min_docs)).when(F.col("n") >= least, min_docs).otherwise(max(short_docs, min_docs))
     held = cut(plain.withColumns({"carrier": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).mapInArrow(parsed, "row bigint, id bigint, carrier bigint, n int, leaf bigint, line bigint, fixed boolean"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "carrier"))
     lines = held.groupBy("leaf", "line", "n", "fixed").agg(F.count("*").alias("c"), first.alias("f"))
@@ -169,7 +175,7 @@ def drop_recurring_lines(
                 left = all_lines
                 if gone:
                     gone = set(gone)
-                    left = [s for s in all_lines if not (p := parse(s, depth, least, similarity)) or p[2] not in gone]
+                    left = [s for s in all_lines if not (p := parse(s, depth, least, similarity, long)) or p[2] not in gone]
                 texts.append(t if t is None else "\n".join(left))
                 n_lines.append(len(all_lines))
                 n_dropped.append(len(all_lines) - len(left))

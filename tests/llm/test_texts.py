@@ -203,6 +203,15 @@ def test_lines_long_in_two_documents(documents):
     assert got[1].text == passage and got[2].text == ""
 
 
+def test_lines_of_few_tokens(documents):
+    some, many = "\u6587" * 20, "\u5b57" * 100
+    rows = [(i, "\n".join(["Read more", *([some, "\u7248\u6743"] if i < 3 else []), *([many] if i < 2 else []), *(["Les."] if i < 9 else []), f"own{i}"])) for i in range(10)]
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(documents(rows)).collect()}
+    assert got[0].text == rows[0][1]
+    assert got[1].text == got[2].text.replace("own2", "own1") == "\u7248\u6743\nLes.\nown1"
+    assert got[8].text == "Les.\nown8" and got[9].text == "own9"
+
+
 def labelled_corpus(n=240):
     r = random.Random(6)
     rows, quality_, toxic = [], {}, {}
