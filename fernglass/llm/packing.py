@@ -1,4 +1,4 @@
-"""Packing: length buckets of least padding, token-budget batches inside each."""
+"""Packing: length buckets of least padding (to under 1/EXACT of the padded tokens), token-budget batches inside each."""
 
 from __future__ import annotations
 
@@ -56,7 +56,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: Colum
     by rising length), bucket_len (the length that the bucket pads to: the largest in it), batch (bigint, from 0 in
     the bucket) and slot (int, place in the batch). A batch holds budget // bucket_len rows, one at least, so a row
     longer than the budget is a batch of its own; nothing is cut. Rows fall into batches in an order given by a hash
-    of the key. Only the histogram of length_bin comes to the driver.
+    of the key. Only the histogram of length_bin comes to the driver, and buckets end where bins do: with a length of
+    2 * EXACT or more, padding may exceed the least by less than 1/EXACT of the padded tokens.
 
     A null or empty text has length 0, and a bucket of length 0 counts as 1 for the budget. Rows with the same key
     get slots of their own. An empty table gives an empty result. Other columns aren't read.
