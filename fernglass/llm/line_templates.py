@@ -86,7 +86,7 @@ def _linked(similarity: float):
 
 def drop_recurring_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 3, depth: int = 3, least: int = 3, least_variable: int = 5, similarity: float = 0.8,
-    long_docs: int = 2, long: int = 20, short_docs: int = 10, tile: int = 512, tile_tokens: int = 1_000_000,
+    long_docs: int = 2, long: int = 20, short_docs: int = 10, tile: int = 512, tile_tokens: int = 250_000,
 ) -> DataFrame:
     """The documents, all columns, without recurring lines, and with the columns n_lines and n_dropped (bigint).
 
