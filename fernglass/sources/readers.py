@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fernglass.functions.storage import global_index
 from fernglass.functions.text import natural_key
 
 
@@ -13,10 +14,12 @@ def strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+# --- fixed values: column names -------------------------------------------------------------------------------------
 #: The columns of a player record from HTML.
 PLAYER = ("Player", "Position", "Height", "Weight", "BornYear", "BornCity", "BornState", "CurrentTeam", "DiedYear", "College", "HighSchool", "DraftTeam", "DraftYear")
 #: The columns of a player record from a wiki dump.
 WIKI_PLAYER = ("player_name", "birth_year", "birth_place", "height_ft", "height_in", "weight_lb", "college", "high_school", "draft_year", "draft_round", "info")
+# --------------------------------------------------------------------------------------------------------------------
 
 
 def read_html(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,14 +58,5 @@ def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered(df: DataFrame, order: list[str], start: int = 1, name: str = "doc_id") -> DataFrame:
     """Adds a row number in the order of the whole table. Rows are range-sorted and counted by partition; only the
-    counts are summed in one place."""
-    marked = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()).persist()
-    piece, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r["p"]: r["n"] for r in marked.groupBy(piece.alias("p")).agg(F.count("*").alias("n")).collect()}  # a number for each partition
-    total, pairs = start, []
-    for p in sorted(counts):
-        pairs += [F.lit(int(p)), F.lit(total)]
-        total += counts[p]
-    if not pairs:
-        return marked.drop("_m").withColumn(name, F.lit(None).cast("bigint"))
-    return marked.withColumn(name, (F.element_at(F.create_map(*pairs), piece) + place).cast("bigint")).drop("_m")
+    counts are summed in one place, in a table with a row for each partition."""
+    return global_index(df, [F.col(c) for c in order], name, start)
