@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fernglass.functions.storage import cut, global_index, kept_table, written
+
+__all__ = ["cut", "fresh", "global_index", "hash_unit", "hash_unit_sql", "identity", "kept_table", "running_before", "table", "word_count", "written"]
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: 13 hexadecimal digits fit a double without rounding.
@@ -19,33 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of this process's own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="fernglass-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and keeps it in the shared folder, so that a lost executor costs no more than the reading of its
-    files."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def kept_table(df: DataFrame) -> DataFrame:
-    """The same as a Parquet table in the shared folder, which goes when the application ends. Unlike a checkpoint it has
-    the size of its files as statistics; those of checkpoints multiply from join to join, which loops can't bear."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/fernglass-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(name: str, columns: list[str]) -> str:
     """The name, with underscores before it until it is none of the columns."""
     taken = {c.lower() for c in columns}
@@ -54,6 +28,15 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def identity(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes over all columns. Rows that agree in both are taken for equal, and equal rows are
+    interchangeable; so a row is found again by them where keys are null or repeated. Columns of nested types count as
+    their JSON text, and which columns are null counts, too, as the hashes pass over nulls."""
+    parts = [F.to_json(F.struct(f"`{f.name}`")) if any(t in f.dataType.simpleString() for t in ("<", "variant")) else F.col(f"`{f.name}`") for f in docs.schema]
+    nulls = F.array(*[p.isNull() for p in parts])
+    return [F.xxhash64(nulls, *parts), F.xxhash64(F.lit("again"), nulls, *parts[::-1])]
+
+
 def word_count(text: Column) -> Column:
     """Words in the text as bigint; 0 where it is null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
@@ -94,14 +77,3 @@ def running_before(df: DataFrame, groups: list[str], order: list[str], value: Co
         same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
     out = local.join(offsets, same, "left")
     return out.withColumn(name, F.col("_in") + F.col("_off")).drop("_v", "_piece", "_in", "_off", "_p", *[f"_g{i}" for i in range(len(groups))])
-
-
-def global_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Adds the row's place (bigint, from 0) in the order of the whole table, from a range sort and the row counts
-    of its partitions; the table of counts has a row for each partition."""
-    at = cut(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
-    piece, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = at.groupBy(piece.alias("_p")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return at.join(F.broadcast(offsets), piece == F.col("_p")).withColumn(name, place + F.col("_off")).drop("_m", "_p", "_off")
