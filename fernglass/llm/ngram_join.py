@@ -12,17 +12,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import WORD, cut, fresh, identity
 from .graph import components
 from .near_vectors import local_roots
 from .shingles import WORDS, band_codes, choose_bands, shingle_set
 
+#: Holds of a text with a word.
+ANY_WORD = WORD.removesuffix("+")
+
 
 def set_name(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
@@ -37,10 +41,10 @@ def new_pairs(codes: np.ndarray, band: int, side: np.ndarray, step: int = 512) -
         a = left[s : s + step]
         for t in range(s if same else 0, len(right), step):
             b = right[t : t + step]
-            fresh = codes[a, band][:, None] == codes[b, band]
+            new = codes[a, band][:, None] == codes[b, band]
             for k in range(band):
-                fresh &= codes[a, k][:, None] != codes[b, k]
-            i, j = np.nonzero(fresh)
+                new &= codes[a, k][:, None] != codes[b, k]
+            i, j = np.nonzero(new)
             i, j = a[i], b[j]
             if same:
                 i, j = i[i < j], j[i < j]
@@ -127,38 +131,32 @@ def _verify(threshold: float, words: int, band_count: int):
     return run
 
 
-def near_texts(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, words: int = WORDS, recall: float = 0.9999, tile: int = 512, tile_shingles: int = 1_000_000
-) -> DataFrame:
-    """Links between all documents whose sets of word shingles have a Jaccard similarity of threshold or more.
+class _Found(NamedTuple):
+    """rows: id, name (of the row's set; null without words), _i and _j (the row's identity). classes: uid, name, id (the
+    smallest), n, root, links. lowest: root and first, the identity of its first row: that with the smallest key, nulls
+    last, then the smallest hashes."""
 
-    Returns a row for each row of docs: key, class_id (the smallest key among documents with the same set), n_links
-    (other rows linked directly, those of the same class included), component_id (the smallest key reachable by
-    links, itself included) and kept (key = component_id). Words are maximal runs of anything but space, tab and
-    line ends, in lower case. A pair of different sets at the threshold is found with probability recall, one
-    above it with more; what is found is verified exactly, and whole texts count.
+    rows: DataFrame
+    classes: DataFrame
+    lowest: DataFrame
 
-    A text of fewer words than a shingle is one shingle. A null text, or one without words, links with nothing and is
-    a class and a component of its own. Rows with the same key are documents of their own; a null key takes no part
-    in minima, and its row has a null component where it is alone. Other columns aren't read. Memory: two tiles of
-    `tile` texts, or of about tile_shingles shingles, in a task; a text longer than that is in a tile alone or with
-    few others.
-    """
+
+def _find(plain: DataFrame, threshold: float, words: int, recall: float, tile: int, tile_shingles: int) -> _Found:
+    """plain: id, text, _i and _j. Rows that agree in _i and _j are equal in id and text."""
     bands, rows = choose_bands(threshold, recall)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t, words) for t in batch.column(3).to_pylist()]
             codes = [band_codes(s, bands, rows) if len(s) else None for s in sets]
             names = [set_name(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(codes, pa.list_(pa.int64()))], ["id", "size", "name", "codes"]
-            )
+            made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(codes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["id", "_i", "_j", "size", "name", "codes"])
 
-    plain = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    described = cut(plain.mapInArrow(describe, "id bigint, size bigint, name binary, codes array<bigint>"))
-    classes = described.where("name is not null").groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("codes").alias("codes"))
-    classes = cut(classes.withColumn("uid", F.monotonically_increasing_id()))
+    described = cut(plain.select("id", "_i", "_j", "text").mapInArrow(describe, "id bigint, _i bigint, _j bigint, size bigint, name binary, codes array<bigint>"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_i", "_j"))
+    classes = described.where("name is not null").groupBy("name").agg(first.alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("codes").alias("codes"))
+    classes = cut(classes.withColumns({"uid": F.monotonically_increasing_id(), "id": F.col("first.id")}))
 
     agreed = classes.select("uid", "size", F.posexplode("codes").alias("band", "code"))
     tiles = F.greatest(F.ceil(F.count("*") / F.lit(tile)), F.ceil(F.sum("size") / F.lit(tile_shingles)))
@@ -171,42 +169,69 @@ def near_texts(
     # a unit is at most two tiles, so its list is bounded
     work = cut(units.where(F.size("rows") > 1).mapInArrow(_which(bands), "band int, code bigint, i int, j int, uid bigint, side int"))
 
-    wanted = work.select("uid").distinct().join(classes, "uid").select("uid", "id", "name", "n", "codes")
-    texts = plain.join(wanted, plain["id"].eqNullSafe(wanted["id"])).select("uid", "name", "n", "codes", "text")
-
-    def right_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of several rows with a class's key, those that have its set."""
-        for batch in batches:
-            own = [set_name(shingle_set(t, words)) == n for t, n in zip(batch.column("text").to_pylist(), batch.column("name").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(own, pa.bool_()))
-
-    texts = texts.mapInArrow(right_one, texts.schema).dropDuplicates(["uid"]) if _repeats(described) else texts
-    full = work.join(texts.drop("name"), "uid")
+    # a class is verified on the text of its first row, or of one that equals it
+    wanted = work.select("uid").distinct().join(classes, "uid").select("uid", "n", "codes", F.col("first._i").alias("_i"), F.col("first._j").alias("_j"))
+    texts = plain.select("_i", "_j", "text").join(wanted, ["_i", "_j"]).select("uid", "n", "codes", "text")
+    texts = texts.dropDuplicates(["uid"]) if _repeats(described) else texts
+    full = work.join(texts, "uid")
     hits = cut(full.groupBy("band", "code", "i", "j").applyInArrow(_verify(threshold, words, bands), "uid bigint, links bigint, root bigint"))
 
     links = hits.groupBy("uid").agg(F.sum("links").alias("links"))
     roots = components(hits.where("uid <> root"), "uid", "root")
-    placed = classes.select("uid", "name", "id", "n").join(roots, F.col("uid") == F.col("node"), "left").select("uid", "name", "id", "n", F.coalesce("root", "uid").alias("root"))
-    low = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    known = placed.join(low, "root").join(links, "uid", "left")
-    known = known.select("name", F.col("id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("bigint").alias("n_links"), "component_id")
-    out = described.where("name is not null").join(known, "name").select("id", "class_id", "n_links", "component_id")
-    alone = described.where("name is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
+    placed = classes.select("uid", "name", "id", "first", "n").join(roots, F.col("uid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "uid")).drop("node")
+    lowest = placed.groupBy("root").agg(F.min("first").alias("first"))
+    return _Found(described.select("id", "name", "_i", "_j"), placed.drop("first").join(links, "uid", "left"), lowest)
+
+
+def near_texts(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, words: int = WORDS, recall: float = 0.9999, tile: int = 512, tile_shingles: int = 1_000_000
+) -> DataFrame:
+    """Links between all documents whose sets of word shingles have a Jaccard similarity of threshold or more.
+
+    Returns a row for each row of docs: key, class_id (the smallest key among documents with the same set), n_links
+    (other rows linked directly, those of the same class included), component_id (the smallest key reachable by
+    links, itself included) and kept (key = component_id). Words are maximal runs of anything but space, tab and
+    line ends, in lower case. A pair of different sets at the threshold is found with probability recall, one
+    above it with more; what is found is verified exactly, and whole texts count.
+
+    A text of fewer words than a shingle is one shingle. A null text, or one without words, links with nothing and is
+    a class and a component of its own. Rows with the same key are documents of their own; a null key takes no part
+    in minima, and its row has a null component where it is alone. Other columns aren't read. An empty table gives an
+    empty result. Memory: two tiles of `tile` texts, or of about tile_shingles shingles, in a task; a text longer than
+    that is in a tile alone or with few others.
+    """
+    plain = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    marks = identity(plain)
+    found = _find(plain.withColumns({"_i": marks[0], "_j": marks[1]}), threshold, words, recall, tile, tile_shingles)
+    low = found.lowest.select("root", F.col("first.id").alias("component_id"))
+    known = found.classes.join(low, "root").select("name", F.col("id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("bigint").alias("n_links"), "component_id")
+    out = found.rows.where("name is not null").join(known, "name").select("id", "class_id", "n_links", "component_id")
+    alone = found.rows.where("name is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     out = out.unionByName(alone)
     return out.select(F.col("id").alias(key), "class_id", "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def _repeats(described: DataFrame) -> bool:
-    """Whether a key, null included, stands in more than one row."""
-    return not described.groupBy("id").count().where("count > 1").isEmpty()
-
-
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The documents, all columns, one of each group of near copies: that with the smallest key. Of rows with the same
-    key one stays. Documents without a key all stay."""
-    k = fresh("_k", docs.columns)
-    kept = near_texts(docs, key, text, threshold).where("kept").select(F.col(key).alias(k)).distinct()
-    keyed = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col(k), "left_semi")
-    if _repeats(docs.select(F.col(key).alias("id"))):
-        keyed = keyed.dropDuplicates([key])
-    return keyed.unionByName(docs.where(F.col(key).isNull()))
+    """Whether a row stands in the table more than once."""
+    return not described.groupBy("_i", "_j").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, words: int = WORDS, recall: float = 0.9999) -> DataFrame:
+    """The documents, all columns, one row of each group of near copies: that with the smallest key, nulls last; of rows
+    with that key the one whose hashes over all columns are smallest, so reruns agree.
+
+    Rows count, not keys: rows that share a key, or have none, stay or go by their own texts. A row whose text is null or
+    holds no words links with nothing and stays. An empty table gives an empty result.
+    """
+    i, j, seen = (fresh(n, docs.columns) for n in ("_i", "_j", "_seen"))
+    marks = identity(docs)
+    plain = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"), marks[0].alias("_i"), marks[1].alias("_j"))
+    found = _find(plain, threshold, words, recall, 512, 1_000_000)
+    marked = docs.withColumns({i: marks[0], j: marks[1]})
+    first = cut(found.lowest.select(F.col("first._i").alias(i), F.col("first._j").alias(j), F.lit(True).alias(seen)))
+    worded = F.coalesce(F.col(text).cast("string").rlike(ANY_WORD), F.lit(False))
+    if _repeats(found.rows.where("name is not null")):
+        # of equal rows one; they are joined in each task before they are dealt
+        marked = marked.where(worded).dropDuplicates([i, j]).unionByName(marked.where(~worded))
+    out = marked.join(first, [i, j], "left").where(F.col(seen) | ~worded)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

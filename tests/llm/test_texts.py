@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -70,8 +71,25 @@ def test_near_texts_edges(documents):
     text, other = prose(random.Random(1), 30), prose(random.Random(2), 30)
     got = ngram_join.near_texts(documents([(3, text), (3, text), (None, text), (3, other), (9, other + " x")])).collect()
     assert sorted((r.doc_id or 0, r.n_links, r.component_id) for r in got) == [(0, 2, 3), (3, 1, 3), (3, 2, 3), (3, 2, 3), (9, 1, 3)]
-    kept = ngram_join.keep_first(documents([(3, text), (3, text), (None, text), (4, text), (5, other), (6, None), (7, "")]))
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 5, 6, 7]
+
+
+@pytest.mark.parametrize("rows", [
+    [(3, "A"), (3, "A"), (None, "A"), (4, "A"), (5, "B"), (6, None), (7, ""), (7, "")],
+    [(3, "A"), (3, "B"), (3, "C")], [(3, "A"), (3, "B"), (3, "B"), (2, "B"), (None, "C"), (None, "C"), (None, "C")], [(None, "A"), (None, "B"), (1, None), (None, None)],
+])
+def test_keep_first(documents, rows):
+    """By row: null and shared keys neither lose nor multiply texts."""
+    texts = {c: prose(random.Random(k), 30) for k, c in enumerate("ABC")}
+    rows = [(i, texts.get(t, t)) for i, t in rows]
+    docs = documents(rows)
+    out = ngram_join.keep_first(docs)
+    assert out.columns == docs.columns
+    want = Counter(r for r in rows if not r[1])
+    for t in texts.values():
+        keys = [i for i, x in rows if x == t]
+        if keys:
+            want[min((i for i in keys if i is not None), default=None), t] += 1
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == want
 
 
 def test_bands():
