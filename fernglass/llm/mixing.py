@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, global_index, hash_unit, running_before, word_count
+from .common import cut, fresh, global_index, hash_unit, identity, running_before, word_count
 
 
 def pareto_rank(u: Column, inclusion: Column) -> Column:
@@ -43,46 +43,87 @@ def targets(sources: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float
     return ranked.select("source", "source_size", F.when(F.col("_cap") <= by_weight, F.col("_cap")).otherwise(by_weight).alias("target"))
 
 
+def sample_rate(strata: DataFrame, most: float = 2.0) -> DataFrame:
+    """(source, rate) for a table of (source, target, favour, words): a stratum's documents are expected in
+    min(most, rate * favour) copies each, such that the source's words come to its target.
+
+    The strata of most favour stop at most. With those above a stratum stopped, the rate is what the target leaves over
+    the favour-weighted words of the rest; it is right at the first stratum that it doesn't lift above most. A null rate
+    means that all strata stop. A source has few strata, so its rows in the window are few.
+    """
+    above = Window.partitionBy("source").orderBy(F.col("favour").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("source").orderBy(F.col("favour").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    left = F.col("target") - F.lit(float(most)) * F.coalesce(F.sum("words").over(above), F.lit(0))
+    rates = strata.withColumn("_l", left / F.nullif(F.sum(F.col("favour") * F.col("words")).over(rest), F.lit(0)))
+    able = F.col("_l") * F.col("favour") <= F.lit(float(most))
+    return rates.groupBy("source").agg(F.max_by(F.when(able, F.col("_l")), F.when(able, F.col("favour"))).alias("rate"))
+
+
+def _decide(docs: DataFrame, key: str, text: str, source: str, weights: Sequence[int], share: float, most: float, favour: Column | None) -> DataFrame:
+    """What mix() returns, with the identity (_i, _j) of the row."""
+    words = word_count(F.col(text).cast("string"))
+    marks = identity(docs)
+    name = F.coalesce(F.col(key).cast("string"), F.md5(F.col(text).cast("string")))  # rows without a key are told apart by their text
+    sized = docs.select(F.col(key).alias(key), F.col(source).cast("string").alias("source"), words.alias("size"), hash_unit(name, F.lit("mix")).alias("_u"), marks[0].alias("_i"), marks[1].alias("_j"), *([] if favour is None else [favour.alias("favour")]))
+    if favour is None:
+        sized = sized.withColumn("favour", F.length(F.bin("size")).cast("bigint"))
+    sized = cut(sized)
+    strata = sized.groupBy("source", "favour").agg(F.sum("size").alias("words"))
+    goals = targets(strata.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    goals = goals.select(F.col("source").alias("_s"), "source_size", "target")
+    strata = cut(strata.join(goals, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
+    rates = sample_rate(strata, most).select(F.col("source").alias("_r"), "rate")
+    expected = F.least(F.lit(float(most)), F.coalesce(F.col("rate") * F.col("favour"), F.lit(float(most))))
+    # certain: the words of whole copies; a sum of whole numbers over strata, so the same in any order
+    certain = strata.join(rates, F.col("source").eqNullSafe(F.col("_r"))).groupBy("_r", "rate", "source_size", "target").agg(F.sum(F.floor(expected) * F.col("words")).alias("_c"))
+    # the hot source is a key with many rows on one side and a single row on the other; Spark splits such a join
+    joined = sized.join(certain, F.col("source").eqNullSafe(F.col("_r"))).withColumn("_e", F.when(F.col("size") > 0, expected).otherwise(0.0))
+    joined = joined.withColumn("_whole", F.floor("_e")).withColumn("_part", F.col("_e") - F.col("_whole"))
+    rank = F.when(F.col("_part") > 0, pareto_rank(F.col("_u"), F.col("_part")))
+    joined = cut(joined.select(key, "source", "size", "source_size", "target", "_whole", "_part", "_c", rank.alias("_q"), "_i", "_j"))
+    # documents without a part add nothing
+    queued = running_before(joined, ["source"], ["_q", key, "size", "_i", "_j"], F.when(F.col("_part") > 0, F.col("size")).otherwise(0), "_before")
+    # a document is in if its middle word is among the words still wanted
+    extra = ((F.col("_part") > 0) & (F.col("_before") + F.col("size") / 2 <= F.col("target") - F.col("_c"))).cast("bigint")
+    copies = (F.col("_whole") + extra).cast("bigint")
+    return queued.select(key, "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "_i", "_j")
+
+
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     most: float = 2.0, favour: Column | None = None,
 ) -> DataFrame:
     """How many words of each document the mix takes.
 
-    Returns key, size (words), source_size, target (of its source), copies and taken (copies times size). A source
-    that is to give r times its size takes floor(r) whole copies of every document for certain; the rest is a
-    Pareto order sample of its documents with inclusion r - floor(r), by ranks that depend on the key alone, cut
-    where the words taken come nearest to the target. So a source misses its target by half a document at most,
-    no document is taken in part, and none more than ceil(r) times. favour, a positive Column, makes inclusion
-    odds unequal within a source: they are multiplied by it.
+    Returns key, size (words), source, source_size, target (of its source), copies and taken (copies times size). A
+    document is expected in min(most, rate * favour) copies, the source's rate being such that its words come to the
+    target (sample_rate). favour is a positive whole number, by default the binary digits of the size: a text of twice
+    the words counts one more. It takes few values; rows of one are a stratum. The whole part of the expected copies is
+    taken for certain; with the rest as inclusion probability, the source's documents are ranked by random odds over
+    inclusion odds, and the first are sampled: as many as fill, in words, what the certain copies leave of the target. So
+    the sample's size is fixed in words, a source misses its target by half a document at most, no document is taken in
+    part, and none more than ceil(most) times.
 
     A null source is a source of its own. A null or empty text has size 0 and is taken 0 times over; a source
-    without words has target 0. Rows with the same key are told apart by size; equal rows share no copies. Other
-    columns aren't read.
+    without words has target 0. The random odds depend on the key, without a key on the text. Rows with the same key
+    are rows of their own, equal rows in any order. An empty table gives an empty result. Other columns tell rows with
+    the same key apart, whatever their names, and nothing else.
     """
-    sized = cut(
-        docs.select(F.col(key).alias(key), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size"), (favour if favour is not None else F.lit(1.0)).alias("_f"))
-    )
-    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    ratio = F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))
-    goals = goals.select(F.col("source").alias("_s"), "source_size", "target", F.coalesce(ratio, F.lit(0.0)).alias("_r"))
-    part = F.col("_r") - F.floor("_r")
-    u = hash_unit(F.col(key), F.lit("mix"))
-    rank = F.when(part > 0, pareto_rank(u, part) / F.col("_f")).otherwise(u)
-    # the hot source is a key with many rows on one side and a single row on the other; Spark splits such a join
-    ranked = cut(sized.join(goals, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_q", rank).select(key, "source", "size", "source_size", "target", "_r", "_q"))
-    ordered = running_before(ranked, ["source"], ["_q", key, "size"], F.col("size"), "_before")
-    whole = F.floor("_r")
-    left = F.col("target") - whole * F.col("source_size")
-    # a document is in if its middle word is among the words still wanted
-    extra = ((part > 0) & (F.col("_before") + F.col("size") / 2 <= left)).cast("bigint")
-    copies = (whole + extra).cast("bigint")
-    return ordered.select(key, "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return _decide(docs, key, text, source, weights, share, most, favour).drop("_i", "_j")
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents with each repeated as often as the mix takes it; those not taken go. key must be unique."""
-    k, c = fresh("_k", docs.columns), fresh("_c", docs.columns)
-    picked = mixed.where("copies > 0").select(F.col(key).alias(k), F.col("copies").cast("int").alias(c))
-    out = docs.join(picked, F.col(key).eqNullSafe(F.col(k)))
-    return out.withColumn(c, F.explode(F.sequence(F.lit(1), F.col(c)))).drop(k, c)
+def mixed_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, favour: Column | None = None
+) -> DataFrame:
+    """The documents, all columns, each repeated as often as the mix takes it; those not taken go. Rows are found by their
+    identity, so keys may be null or repeated: each row of docs is one row of mix() and gets that one's copies. Equal rows
+    meet as one row on one side of the join, each with its copies on the other."""
+    decided = cut(_decide(docs, key, text, source, weights, share, most, favour).select("copies", "_i", "_j"))
+    i, j, c = (fresh(n, docs.columns) for n in ("_i", "_j", "_c"))
+    marks = identity(docs)
+    marked = docs.withColumns({i: marks[0], j: marks[1]})
+    if not decided.groupBy("_i", "_j").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        marked = marked.dropDuplicates([i, j])
+    picked = decided.where("copies > 0").select(F.col("_i").alias(i), F.col("_j").alias(j), F.col("copies").cast("int").alias(c))
+    out = marked.join(picked, [i, j])
+    return out.withColumn(c, F.explode(F.sequence(F.lit(1), F.col(c)))).select(*[F.col(f"`{n}`") for n in docs.columns])

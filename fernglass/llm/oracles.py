@@ -69,10 +69,11 @@ select page_id, host, path, rule, coalesce(own, case when b = 1 then 'block' els
 from judged left join marked on n = node
 """
 
-_U5 = hash_unit_sql("doc_id", "'mix'")
+_U5 = hash_unit_sql("coalesce(doc_id::varchar, md5(text))", "'mix'")
 OP5 = rf"""
-with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
-sources as (select source, sum(size)::bigint as source_size from sized group by source),
+with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, {_U5} as u from documents),
+strata as (select source, length(bin(size)) as favour, sum(size)::bigint as words from sized group by all),
+sources as (select source, sum(words)::bigint as source_size from strata group by source),
 ranked as (select *, [5.0::double, 2.0::double, 1.0::double][((row_number() over (order by source nulls last)) - 1) % 3 + 1] as w, source_size * 2.0::double as cap from sources),
 steps as (select *, row_number() over (order by cap / w, source nulls last) as k,
     coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0.0::double) as caps,
@@ -80,13 +81,21 @@ steps as (select *, row_number() over (order by cap / w, source nulls last) as k
     sum(source_size) over () * 1.5::double as total from ranked),
 level as (select arg_min((total - caps) / rest, k) as lv from steps where cap > w * ((total - caps) / rest)),
 goals as (select source, source_size, case when lv is null or cap <= w * lv then cap else w * lv end as target from steps left join level on true),
-odds as (select s.doc_id, s.source, s.size, g.source_size, g.target, coalesce(g.target / nullif(g.source_size, 0)::double, 0) as r, {_U5} as u
-    from sized s join goals g on s.source is not distinct from g.source),
-parted as (select *, r - floor(r) as part from odds),
-queued as (select *, coalesce(sum(size) over (partition by source order by case when part > 0 then (u / (1 - u)) / (part / (1 - part)) else u end, doc_id, size
+tried as (select s.source, favour, words, source_size, target,
+    (target - 2.0::double * coalesce(sum(words) over (partition by s.source order by favour desc rows between unbounded preceding and 1 preceding), 0))
+        / nullif(sum(favour * words) over (partition by s.source order by favour desc rows between current row and unbounded following), 0)::double as l
+    from strata s join goals g on s.source is not distinct from g.source),
+rates as (select source, arg_max(l, favour) filter (where l * favour <= 2.0::double) as rate from tried group by source),
+held as (select t.source, source_size, target, rate, sum(floor(least(2.0::double, coalesce(rate * favour, 2.0::double))) * words) as certain
+    from tried t join rates r on t.source is not distinct from r.source group by all),
+odds as (select doc_id, s.source, size, u, source_size, target, certain,
+    case when size = 0 then 0.0::double else least(2.0::double, coalesce(rate * length(bin(size)), 2.0::double)) end as e
+    from sized s join held h on s.source is not distinct from h.source),
+parted as (select *, e - floor(e) as part from odds),
+queued as (select *, coalesce(sum(case when part > 0 then size else 0 end) over (partition by source order by case when part > 0 then (u / (1 - u)) / (part / (1 - part)) end nulls first, doc_id, size
     rows between unbounded preceding and 1 preceding), 0) as before from parted)
 select doc_id, size, source_size, target,
-    ((floor(r) + case when part > 0 and before + size / 2.0::double <= target - floor(r) * source_size then 1 else 0 end) * size)::bigint as taken
+    ((floor(e) + case when part > 0 and before + size / 2.0::double <= target - certain then 1 else 0 end) * size)::bigint as taken
 from queued
 """
 

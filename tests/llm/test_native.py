@@ -102,12 +102,52 @@ def test_mix_comes_near(documents):
     assert all(abs(taken[s] - goal[s]) <= 97 for s in goal)
 
 
+def rate_of(sizes, target, most=2.0):
+    """The rate by bisection."""
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(most, mid * n.bit_length()) * n for n in sizes) < target else (low, mid)
+    return low
+
+
+def test_mix_favours(documents):
+    """Inclusion grows with the digits of the size, certain copies aside; the share that is sampled follows it."""
+    sizes = [3] * 600 + [200] * 300 + [2000] * 100
+    got = mixing.mix(documents([(i, "w " * n, "one") for i, n in enumerate(sizes)]), share=0.4).collect()
+    rate = rate_of(sizes, 0.4 * sum(sizes))
+    for n in (3, 200, 2000):
+        mine = [r.copies for r in got if r["size"] == n]
+        assert min(mine) >= int(rate * n.bit_length()) and abs(sum(mine) / len(mine) - rate * n.bit_length()) < 0.12
+    halves = mixing.mix(documents([(i, "w " * n, "one") for i, n in enumerate(sizes)]), share=0.4, favour=F.when(F.col("doc_id") % 2 == 0, 3).otherwise(1).cast("bigint")).collect()
+    picked = [sum(r.copies for r in halves if r.doc_id % 2 == k) for k in (0, 1)]
+    assert 2 < picked[0] / picked[1] < 4.5
+
+
+def test_sample_rate(spark):
+    r = [(1, 10), (4, 300), (7, 50), (9, 5000)]
+    for target in (0.0, 100.0, 4000.0, 10_000.0, 10_700.0, 10_720.0):
+        strata = spark.createDataFrame([("s", target, f, w) for f, w in r], "source string, target double, favour long, words long")
+        rate = mixing.sample_rate(strata).first().rate
+        assert sum(min(2.0, (1e9 if rate is None else rate) * f) * w for f, w in r) == pytest.approx(target)
+
+
 def test_mix_is_applied(documents):
     docs = documents([(i, "w " * 10, f"s{i % 3}") for i in range(90)])
-    mixed = mixing.mix(docs)
-    out = mixing.apply_mix(docs, mixed)
+    out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
-    assert Counter(r.doc_id for r in out.collect()) == Counter({r.doc_id: r.copies for r in mixed.collect() if r.copies})
+    assert Counter(r.doc_id for r in out.collect()) == Counter({r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies})
+
+
+@pytest.mark.parametrize("rows", [[(None, "a b c d", "x")] * 5 + [(1, "a b", "x")], [(7, "a b c d", "x")] * 5, [(7, "one two", "x"), (7, "three four", "x"), (7, "five six", None), (None, None, "x"), (None, "", "y"), (None, "a", "y")], MESSY])
+def test_mix_is_applied_by_row(documents, rows):
+    """Null and repeated keys neither multiply rows nor lose them."""
+    docs = documents(rows)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r["size"], r.source] += r.copies
+    got = Counter((r.doc_id, len((r.text or "").replace("\u00a0", "x").split()), r.source) for r in mixing.mixed_documents(docs).collect())
+    assert got == +want
 
 
 def padding(bounds, lengths):
