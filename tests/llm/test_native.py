@@ -1,4 +1,6 @@
+import hashlib
 import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -154,19 +156,53 @@ def padding(bounds, lengths):
     return sum(min(b for b in bounds if b >= n) - n for n in lengths)
 
 
+def least_padding(lengths, k):
+    """The plain dynamic programme, in squares of the number of lengths."""
+    counts = Counter(lengths)
+    tops = sorted(counts)
+    cost = [sum((t - tops[i]) * counts[tops[i]] for i in range(j + 1)) for j, t in enumerate(tops)]
+    for _ in range(1, k):
+        pad = [[sum((t - tops[m]) * counts[tops[m]] for m in range(i, j + 1)) for i in range(j + 1)] for j, t in enumerate(tops)]
+        cost = [min((cost[i - 1] if i else 0) + pad[j][i] for i in range(j + 1)) for j in range(len(tops))]
+    return cost[-1]
+
+
 @pytest.mark.parametrize("lengths, k", [([1, 1, 2, 9, 10, 30], 3), ([5], 4), ([0, 0, 7], 1), (list(range(12)), 4), ([3, 3, 3, 8, 8, 20, 21, 22], 2)])
 def test_best_bounds(lengths, k):
     counts = Counter(lengths)
     tops = sorted(counts)
-    got = packing.best_bounds(tops, [counts[t] for t in tops], [t * counts[t] for t in tops], k)
+    got = packing.best_bounds(tops, [counts[t] for t in tops], k)
     assert len(got) <= k and got[-1] == max(lengths)
     best = min(padding([*c, max(lengths)], lengths) for n in range(k) for c in itertools.combinations(tops[:-1], min(n, len(tops) - 1)))
-    assert padding(got, lengths) == best
+    assert padding(got, lengths) == best == least_padding(lengths, k)
 
 
-def test_length_bins(spark):
-    got = [r[0] for r in spark.range(5000).select(packing.length_bin(F.col("id"))).collect()]
-    assert got[:513] == list(range(513)) and got == sorted(got) and len(set(got)) < 2500
+@pytest.mark.parametrize("seed", range(6))
+def test_best_bounds_of_long_lengths(seed):
+    r = random.Random(seed)
+    lengths = [int(r.paretovariate(0.7 + seed / 5) * 20) % 50_000 for _ in range(90)] + [r.randrange(513, 9000) for _ in range(30 * (seed % 2))]
+    counts = Counter(lengths)
+    tops = sorted(counts)
+    for k in (1, 2, 5, 16):
+        got = packing.best_bounds(tops, [counts[t] for t in tops], k)
+        assert padding(got, lengths) == least_padding(lengths, k)
+
+
+def test_pack_long(documents):
+    """Whole plan against brute force, with lengths far above 512."""
+    r = random.Random(3)
+    sizes = [r.choice([r.randrange(5), r.randrange(500), r.randrange(600, 5000)]) for _ in range(60)]
+    got = packing.pack(documents([(i, "w " * n) for i, n in enumerate(sizes)]), buckets=6, budget=4096).collect()
+    assert sum(x.bucket_len - x.n_tokens for x in got) == least_padding(sizes, 6)
+    bounds = {x.bucket: x.bucket_len for x in got}
+    for b, top in bounds.items():
+        mine = sorted((common_unit(x.doc_id, "pack"), x.doc_id, x.batch, x.slot) for x in got if x.bucket == b)
+        per = max(1, 4096 // max(top, 1))
+        assert [(x[2], x[3]) for x in mine] == [(n // per, n % per) for n in range(len(mine))] and top == max(x.n_tokens for x in got if x.bucket == b)
+
+
+def common_unit(*parts):
+    return (int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[: common.HASH_DIGITS], 16) + 0.5) / common.HASH_RANGE
 
 
 def test_pack(documents):
