@@ -52,11 +52,11 @@ def test_near_vectors_edges(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in same) == [(3, 1, 3), (3, 1, 3), (3, 1, 3), (4, 1, 3)]
 
 
-@pytest.mark.parametrize("tile, query_tile", [(40, 8), (16384, 512)])
-def test_nearest(spark, tile, query_tile):
+@pytest.mark.parametrize("tile, step", [(40, 8), (16384, 512)])
+def test_nearest(spark, tile, step):
     rows = list(enumerate(clusters(2)))
     df = frame(spark, [*rows, *BAD, (None, [1.0] * 12)])
-    got = neighbours.nearest(df, F.col("id") % 5 == 0, k=5, tile=tile, query_tile=query_tile).collect()
+    got = neighbours.nearest(df, F.col("id") % 5 == 0, k=5, tile=tile, least_tile=tile, step=step).collect()
     x = np.array([v for _, v in rows])
     x /= np.linalg.norm(x, axis=1)[:, None]
     s = x @ x.T
@@ -76,3 +76,22 @@ def test_nearest_edges(spark):
     assert neighbours.nearest(frame(spark, []), F.col("id") % 5 == 0).count() == 0
     few = neighbours.nearest(frame(spark, [(0, [1.0, 0.0]), (2, [1.0, 0.0]), (1, [1.0, 0.0]), (3, [-1.0, 0.0])]), F.col("id") == 0).collect()
     assert [(r["rank"], r.vec_id, r.score) for r in few] == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, -1.0)]
+    twins = neighbours.nearest(frame(spark, [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (None, [1.0, 0.0]), (1, None)]), F.col("id") == 0).collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in twins] == [(0, 1, 0, 0.0)] * 2  # rows of one key are candidates for each other
+
+
+def test_collisions_choose():
+    """On vectors without structure: the recall, and that few rows beyond the nearest are verified."""
+    random = np.random.default_rng(5)
+    x = random.standard_normal((3000, 48))
+    ids = np.arange(len(x))
+    made = neighbours.Tile(ids, ids, x, 5, 2, 1.4, 0.9, 1.05)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u[:150] @ u.T
+    s[ids[:150], ids[:150]] = -2
+    found = {c: rows for c, rows, _ in made.search(ids[:150], x[:150])}
+    assert np.mean([len(set(found[c]) & set(np.argsort(-s[c])[:5])) / 5 for c in found]) >= 0.95
+    low, high = made.windows(u[:150] @ made.turn, made.levels[0])
+    counts = np.stack([made.collisions(a, b) for a, b in zip(low, high)])
+    plain = (np.abs((u @ made.turn)[None] - (u[:150] @ made.turn)[:, None]) <= 1.4 * made.levels[0] / np.sqrt(48)).sum(axis=2)
+    assert (counts == plain).all() and (counts >= made.need).mean() < 0.25
