@@ -61,39 +61,68 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.n
         label = new
 
 
-def _join(threshold: float, width: int, step: int = 1024):
+def _close(own: np.ndarray, side: np.ndarray, limit: float, step: int = 2048, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a unit's rows whose squared distance in the block is within the limit, at most `most` at once. side:
+    1 in a tile with itself, else 0 and 2 for the two tiles."""
+    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
+    same = bool((side == 1).all())
+    square, one = np.einsum("ij,ij->i", own, own)[:, None], np.ones((len(own), 1), own.dtype)
+    # |x - y|^2 as one product
+    x, y = np.concatenate([-2 * own, square, one], axis=1), np.concatenate([own, one, square], axis=1)
+    for s in range(0, len(left), step):
+        a = left[s : s + step]
+        for t in range(s if same else 0, len(right), step):
+            b = right[t : t + step]
+            hit = np.flatnonzero((x[a] @ y[b].T <= limit + SLACK).ravel())
+            for c in range(0, len(hit), most):
+                i, j = np.divmod(hit[c : c + most], len(b))
+                i, j = a[i], b[j]
+                if same:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    yield i, j
+
+
+UNIT = "d int, k int, slab int, visit int, i int, j int"
+
+
+def _which(threshold: float, width: int):
+    """First pass: of each unit, the vectors that have a pair within the block's budget."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        d, k = key[0].as_py(), key[1].as_py()
+        uid, side = rows["uid"].to_numpy(), rows["side"].to_numpy()
+        own = rows["own"].combine_chunks().flatten().to_numpy().reshape(len(uid), -1)
+        hit = np.zeros(len(uid), bool)
+        for i, j in _close(own, side, budgets(d, width, threshold)[k]):
+            hit[i] = hit[j] = True
+        at = np.flatnonzero(hit)
+        unit = [pa.array(np.full(len(at), v.as_py()), pa.int32()) for v in key]
+        return pa.Table.from_arrays([*unit, pa.array(uid[at], pa.int64()), pa.array(side[at], pa.int32())], ["d", "k", "slab", "visit", "i", "j", "uid", "side"])
+
+    return run
+
+
+def _verify(threshold: float, width: int):
+    """Second pass: links and roots of those, by the original vectors."""
+
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         k = key[1].as_py()
         ids, n_copies = rows["uid"].to_numpy(), rows["n"].to_numpy()
         side, x = rows["side"].to_numpy(), matrix(rows["vec"])
         turned = np.frombuffer(b"".join(rows["turned"].to_pylist()), np.float32).reshape(x.shape)
         edges, limits = block_edges(x.shape[1], width), budgets(x.shape[1], width, threshold)
-        own = turned[:, edges[k] : edges[k + 1]]
-        square = np.einsum("ij,ij->i", own, own)
-        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)  # side 1 is both: a tile with itself
-        same = bool((side == 1).all())
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for s in range(0, len(left), step):
-            a = left[s : s + step]
-            for t in range(s if same else 0, len(right), step):
-                b = right[t : t + step]
-                gap = own[a] @ own[b].T
-                gap *= -2
-                gap += square[a][:, None]
-                gap += square[b]
-                i, j = np.divmod(np.flatnonzero(gap.ravel() <= limits[k] + SLACK), len(b))
-                i, j = a[i], b[j]
-                if same:
-                    i, j = i[i < j], j[i < j]
-                # a pair counts in the first block that finds it; all tasks agree on that
-                mine = first_block(turned[i], turned[j], edges, limits) == k
-                i, j = i[mine], j[mine]
-                mine = cosines(x[i], x[j]) >= threshold
-                i, j = i[mine], j[mine]
-                if len(i):
-                    np.add.at(links, i, n_copies[j])
-                    np.add.at(links, j, n_copies[i])
-                    label = local_roots(len(ids), i, j, label)
+        for i, j in _close(turned[:, edges[k] : edges[k + 1]], side, limits[k], most=1 << 14):
+            # a pair counts in the first block that finds it; all tasks agree on that
+            mine = first_block(turned[i], turned[j], edges, limits) == k
+            i, j = i[mine], j[mine]
+            mine = cosines(x[i], x[j]) >= threshold
+            i, j = i[mine], j[mine]
+            if len(i):
+                np.add.at(links, i, n_copies[j])
+                np.add.at(links, j, n_copies[i])
+                label = local_roots(len(ids), i, j, label)
         hit = np.flatnonzero(links)
         return pa.table({"uid": ids[hit], "links": links[hit], "root": ids[label[hit]]})
 
@@ -108,7 +137,8 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     by their number. Vectors of different lengths, and vectors that are null, empty, zero, or hold null or non-finite
     numbers, link with nothing; a row with such a vector has n_links 0 and itself as component. So has a row with a
     null key, whose component_id is null and kept false. Rows with the same key are vectors of their own. Other
-    columns aren't read. An empty table gives an empty result. Memory: two tiles in a task.
+    columns aren't read. An empty table gives an empty result. Memory: two tiles in a task, besides some 100 MB for the
+    pairs that are looked at.
     """
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,20 +158,23 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     single = cut(single.withColumn("uid", F.monotonically_increasing_id()))
 
     def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each vector, block and slab, at home (0) or on a visit (1)."""
+        """A row for each vector, block and slab, at home (0) or on a visit (1), with the vector's part in the block."""
         for batch in batches:
-            ids, ds, turned = (batch.column(c).to_pylist() for c in ("uid", "d", "turned"))
-            out: list[tuple] = []
-            for i, d, v in zip(ids, ds, turned, strict=True):
-                x = np.frombuffer(v, np.float32)
-                for k, (e, limit) in enumerate(zip(block_edges(d, width), budgets(d, width, threshold))):
-                    r = np.sqrt(limit) + SLACK
-                    s = int(np.floor(x[e] / r))
-                    out += [(i, d, k, s, 0), (i, d, k, s + 1, 1)]
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], ["uid", "d", "k", "slab", "visit"])
-
-    placed = cut(single.select("uid", "d", "turned").mapInArrow(slabs, "uid bigint, d int, k int, slab int, visit int").withColumn("_h", F.xxhash64("uid")))
+            uid, ds = batch.column("uid").to_numpy(), batch.column("d").to_numpy()
+            vecs = batch.column("turned").to_pylist()
+            for d in np.unique(ds).tolist():
+                at = np.flatnonzero(ds == d)
+                x = np.frombuffer(b"".join(vecs[i] for i in at), np.float32).reshape(-1, d)
+                edges = block_edges(d, width)
+                for k, limit in enumerate(budgets(d, width, threshold)):
+                    slab = np.floor(x[:, edges[k]] / (np.sqrt(limit) + SLACK)).astype(np.int32)
+                    own = np.ascontiguousarray(x[:, edges[k] : edges[k + 1]])
+                    own = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * own.shape[1]), pa.array(own.ravel()))
+                    for visit in (0, 1):
+                        fixed = [pa.array(np.full(len(at), v, np.int32)) for v in (d, k, visit)]
+                        yield pa.RecordBatch.from_arrays([pa.array(uid[at]), fixed[0], fixed[1], pa.array(slab + np.int32(visit)), fixed[2], own], ["uid", "d", "k", "slab", "visit", "own"])
+
+    placed = cut(single.select("uid", "d", "turned").mapInArrow(slabs, "uid bigint, d int, k int, slab int, visit int, own array<float>").withColumn("_h", F.xxhash64("uid")))
     counts = placed.groupBy("d", "k", "slab", "visit").count().groupBy("d", "k", "slab").pivot("visit", [0, 1]).agg(F.first("count"))
     counts = counts.select("d", "k", "slab", *[F.ceil(F.coalesce(F.col(str(v)), F.lit(0)) / tile).cast("int").alias(f"t{v}") for v in (0, 1)]).where("t0 > 0")
     # tiles of vectors at home: i; of visitors: j. A tile at home meets itself, the tiles after it and all visitors.
@@ -152,10 +185,13 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     among = F.transform(numbers, lambda o: F.struct(F.least(o, home).alias("i"), F.greatest(o, home).alias("j"), F.when(o == home, 1).when(home < o, 0).otherwise(2).alias("side"), F.lit(0).alias("visit")))
     hosts = F.transform(F.when(F.col("t1") > 0, F.sequence(F.lit(0), F.col("t1") - 1)).otherwise(F.array().cast("array<int>")), lambda o: F.struct(home.alias("i"), o.alias("j"), F.lit(0).alias("side"), F.lit(1).alias("visit")))
     visits = F.transform(numbers, lambda o: F.struct(o.alias("i"), guest.alias("j"), F.lit(2).alias("side"), F.lit(1).alias("visit")))
-    dealt = tiled.select("uid", "d", "k", "slab", F.explode(F.when(F.col("visit") == 0, F.concat(among, hosts)).otherwise(visits)).alias("_t"))
-    dealt = dealt.select("uid", "d", "k", "slab", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), F.col("_t.visit").alias("visit"), F.col("_t.side").alias("side"))
-    full = dealt.join(single.select("uid", "n", "vec", "turned"), "uid")
-    hits = cut(full.groupBy("d", "k", "slab", "visit", "i", "j").applyInArrow(_join(threshold, width), "uid bigint, links bigint, root bigint"))
+    dealt = tiled.select("uid", "own", "d", "k", "slab", F.explode(F.when(F.col("visit") == 0, F.concat(among, hosts)).otherwise(visits)).alias("_t"))
+    dealt = dealt.select("uid", "own", "d", "k", "slab", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), F.col("_t.visit").alias("visit"), F.col("_t.side").alias("side"))
+    unit = ["d", "k", "slab", "visit", "i", "j"]
+    work = cut(dealt.groupBy(*unit).applyInArrow(_which(threshold, width), f"{UNIT}, uid bigint, side int"))
+    # whole vectors go only to the units where they have a pair to verify
+    full = work.join(single.select("uid", "n", "vec", "turned"), "uid")
+    hits = cut(full.groupBy(*unit).applyInArrow(_verify(threshold, width), "uid bigint, links bigint, root bigint"))
 
     links = hits.groupBy("uid").agg(F.sum("links").alias("links"))
     roots = components(hits.where("uid <> root"), "uid", "root")

@@ -95,3 +95,38 @@ def test_collisions_choose():
     counts = np.stack([made.collisions(a, b) for a, b in zip(low, high)])
     plain = (np.abs((u @ made.turn)[None] - (u[:150] @ made.turn)[:, None]) <= 1.4 * made.levels[0] / np.sqrt(48)).sum(axis=2)
     assert (counts == plain).all() and (counts >= made.need).mean() < 0.25
+
+
+def test_unit_of_near_copies():
+    """2,048 near but unequal vectors in one unit: all links, in bounded memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    random = np.random.default_rng(2)
+    x = random.standard_normal(64) + random.standard_normal((2048, 64)) * 0.05
+    turned = (x / np.linalg.norm(x, axis=1)[:, None] @ near_vectors.rotation(64)).astype(np.float32)
+    rows = pa.table({"uid": np.arange(2048), "n": np.ones(2048, np.int64), "side": np.ones(2048, np.int32), "vec": [v.tobytes() for v in x], "turned": [v.tobytes() for v in turned]})
+    links = np.zeros(2048, np.int64)
+    tracemalloc.start()
+    for k in range(4):
+        got = near_vectors._verify(0.9, 16)((pa.scalar(64), pa.scalar(k)), rows)
+        links[got["uid"].to_numpy()] += got["links"].to_numpy()
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert (links == 2047).all()
+
+
+def test_arithmetic_of_blocks():
+    """Vectors without structure: the pairs that blocks look at, by their width, cost no more than all whole pairs."""
+    random = np.random.default_rng(3)
+    x = random.standard_normal((2000, 64))
+    turned = x / np.linalg.norm(x, axis=1)[:, None] @ near_vectors.rotation(64)
+    edges, limits = near_vectors.block_edges(64, 16), near_vectors.budgets(64, 16, 0.9)
+    work = candidates = 0
+    for k, limit in enumerate(limits):
+        slab = np.floor(turned[:, edges[k]] / np.sqrt(limit))
+        n = np.array([(slab == s).sum() for s in range(int(slab.min()), int(slab.max()) + 2)])
+        work += (edges[k + 1] - edges[k]) * (n @ (n - 1) / 2 + n[:-1] @ n[1:])
+        candidates += sum(len(i) for i, _ in near_vectors._close(turned[:, edges[k] : edges[k + 1]], np.ones(2000, int), limit))
+    assert work <= 64 * 2000 * 1999 / 2 and candidates < 1e-4 * 2000 * 1999 / 2
