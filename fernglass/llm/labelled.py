@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 def held_out(key: Column) -> Column:
     """True for the rows that no classifier learns from: crc32 of the key as text leaves 2 when divided by 4. A null
@@ -13,15 +15,28 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, bounds: tuple[int, int], key: str = "doc_id", text: str = "text") -> DataFrame:
+#: Bytes of the texts of each label that a classifier learns from.
+MOST_BYTES = 16 << 20
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, bounds: tuple[int, int], key: str = "doc_id", text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
     """(text, label, _h) of labelled rows that aren't held out: of label 0 at most bounds[0], of label 1 at most
-    bounds[1], those with the smallest key hashes _h. The keys of the sample, no more than these, are sent to all tasks.
-    Labels that are null or neither 0 nor 1 are left out; of repeated labels of a key the larger holds."""
+    bounds[1], those with the smallest key hashes _h, and of each label no more than come before its texts exceed
+    most_bytes. So both the rows and their bytes are bounded whatever the tables hold.
+
+    The keys of the sample are sent to all tasks. Labels that are null or neither 0 nor 1 are left out; of repeated labels
+    of a key the larger holds, of a key's documents the one whose text has the smallest hash. A key without a document
+    counts in the bounds, but has no row. Null texts count as empty. Empty tables give no rows.
+    """
     known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("_k").isNotNull() & ~held_out(F.col("_k")))
     known = known.groupBy("_k").agg(F.max("label").alias("label")).withColumn("_h", F.xxhash64(F.col("_k").cast("string"), F.lit(label)))
     parts = [known.where(F.col("label") == value).orderBy("_h", "_k").limit(n) for value, n in enumerate(bounds)]
     texts = docs.select(F.col(key).alias("_k2"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(parts[0].unionByName(parts[1])), F.col("_k2") == F.col("_k")).select("text", "label", "_h")
+    found = texts.join(F.broadcast(parts[0].unionByName(parts[1])), F.col("_k2") == F.col("_k"))
+    found = cut(found.groupBy("_k", "label", "_h").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    before = Window.partitionBy("label").orderBy("_h", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = found.select("_k", F.sum(F.octet_length("text")).over(before).alias("_b"))  # a few thousand narrow rows
+    return found.join(F.broadcast(sizes.where(F.col("_b") <= most_bytes).select(F.col("_k").alias("_k3"))), F.col("_k") == F.col("_k3")).select("text", "label", "_h")
 
 
 def share_of(labels: DataFrame, label: str, key: str = "doc_id") -> float | None:

@@ -132,8 +132,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float | None = None,
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 4000, key: str = "doc_id", text: str = "text") -> Model:
-    """Fits the model on at most `bound` labelled rows (see training_rows); their features come to the driver, 4 bytes
-    each, at most 4 * DIM bytes a row. The share of label 1 is counted over all labels that aren't held out."""
+    """Fits the model on at most `bound` labelled rows, half of each label, and MOST_BYTES of their texts (see
+    training_rows); their features come to the driver, 4 bytes each, at most four for each byte of text. The share of label 1 is counted over all labels that aren't held out."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

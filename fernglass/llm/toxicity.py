@@ -168,11 +168,11 @@ class Gains:
         return d
 
     def of(self, text: str) -> np.ndarray:
-        """What decides: the largest gain, how many windows gain 1, 2 and 4 bytes or more, how many there are, the
-        last four as logarithms."""
+        """What is compared with the thresholds: the largest gain, how many windows gain 1, 2 and 4 bytes or more, how many
+        there are; all as logarithms."""
         short, plain = self.with_.compress, self.without.compress
         gain = np.array([len(plain(w)) - len(short(w)) for w in windows(text.encode("utf-8", "replace"))])
-        return np.array([min(gain.max(), 12), *np.log1p([(gain >= 1).sum(), (gain >= 2).sum(), (gain >= 4).sum(), len(gain)])])
+        return np.log1p([max(gain.max(), 0), (gain >= 1).sum(), (gain >= 2).sum(), (gain >= 4).sum(), len(gain)])
 
 
 class Model(NamedTuple):
@@ -197,8 +197,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None) -> Model:
     if own in (0.0, 1.0) or not any(spans):
         return Model(b"", b"", np.array([0.0] * 5 + [prior]))
     pieces = [b[i : i + 1024] for b in seen[0] for i in range(0, len(b), 1024)]
-    # all ordinary texts of the sample have a part in the dictionary, however long some are
-    ordinary = train_dictionary(pieces[:: max(1, len(pieces) // 6000)], ORDINARY_BYTES)
+    ordinary = train_dictionary(pieces, ORDINARY_BYTES)
     toxic = train_dictionary([b" ".join(s) for s in spans if s], TOXIC_BYTES)
     gains = Gains(toxic, ordinary)
     x = np.array([gains.of(t) for t, s in zip(texts, turn, strict=True) if not s])
@@ -208,8 +207,8 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bounds: tuple[int, int] = (3600, 1800), key: str = "doc_id", text: str = "text") -> Model:
-    """Fits the model on at most bounds[0] ordinary and bounds[1] toxic labelled rows (see training_rows), whose texts
-    come to the driver. The share of toxic texts is counted over all labels that aren't held out."""
+    """Fits the model on at most bounds[0] ordinary and bounds[1] toxic labelled rows and MOST_BYTES of their
+    texts of each label (see training_rows), which come to the driver. The share of toxic texts is counted over all labels that aren't held out."""
     sample = training_rows(docs, labels, label, bounds, key, text).toArrow()
     rows = sorted(zip(sample["_h"].to_pylist(), sample["text"].to_pylist(), sample["label"].to_pylist(), strict=True))
     return fit([t for _, t, _ in rows], np.array([y for _, _, y in rows], int), share_of(labels, label, key))

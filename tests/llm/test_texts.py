@@ -1,9 +1,11 @@
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from fernglass.llm import labelled, line_templates, ngram_join, quality, shingles, toxicity
 
@@ -284,6 +286,48 @@ def test_classifiers_without_labels(spark, documents, run):
     assert run(docs, one_kind).count() == 2
 
 
+def spark_hash(*parts):
+    seed = 42
+    for p in parts:
+        seed = xxhash.xxh64_intdigest(str(p).encode(), seed=seed)
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+@pytest.mark.parametrize("kind", ["quality", "toxic"])
+def test_classifiers_against_plain_python(judged, kind):
+    """The same rows learnt from and scored one by one, without Spark."""
+    docs, labels, quality_, toxic = judged
+    truth = quality_ if kind == "quality" else toxic
+    texts = dict(labelled_corpus()[0])
+    seen = sorted((spark_hash(i, kind), i) for i in truth if zlib.crc32(str(i).encode()) % 4 != 2)
+    y = np.array([truth[i] for _, i in seen])
+    if kind == "quality":
+        model = quality.fit([quality.features(texts[i]) for _, i in seen], y, float(y.mean()))
+        score = lambda t: model.score(quality.features(t))
+    else:
+        model = toxicity.fit([texts[i] for _, i in seen], y, float(y.mean()))
+        gains = toxicity.Gains(model.toxic, model.ordinary)
+        score = lambda t: model.score(gains.of(t))
+    for r in (quality if kind == "quality" else toxicity).classify(docs, labels).collect():
+        want = {1000: "", 1001: "", 1002: "x", 1003: texts[0], 1004: "word " * 50_000, None: texts[0]}.get(r.doc_id, texts.get(r.doc_id))
+        assert r.score == pytest.approx(score(want), abs=1e-9)
+
+
+def test_training_rows_are_bounded(spark, documents):
+    docs = documents([(i, "y" * (i + 1)) for i in range(40)] + [(3, "other")] * 50)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(7, 0), (8, None)], "doc_id long, quality int")
+    rows = labelled.training_rows(docs, labels, "quality", (6, 9)).collect()
+    assert Counter(r.label for r in rows)[0] <= 6 and Counter(r.label for r in rows)[1] <= 9 and len({r._h for r in rows}) == len(rows) > 5
+    everything = labelled.training_rows(docs, labels, "quality", (100, 100)).collect()
+    assert len(everything) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(40))
+    few = labelled.training_rows(docs, labels, "quality", (100, 100), most_bytes=90).collect()
+    for y in (0, 1):
+        queue = [r.text for r in sorted(everything, key=lambda r: r._h) if r.label == y]
+        fits = [t for n, t in enumerate(queue) if sum(map(len, queue[: n + 1])) <= 90]
+        assert sorted(r.text for r in few if r.label == y) == sorted(fits)
+    assert labelled.training_rows(documents([]), labels, "quality", (5, 5)).count() == 0
+
+
 def test_keep_good(judged):
     docs, labels, quality_, _ = judged
     good = {r.doc_id: r.predicted for r in quality.classify(docs, labels).collect()}
