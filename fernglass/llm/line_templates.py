@@ -8,8 +8,13 @@ but the first.
 
 Counts by line and leaf are summed before the shuffle, so a line that is in a third of all documents is a few rows for
 each task. Tokens are looked at only for lines in leaves that hold several lines and could recur, once for each line.
-A leaf with many lines is dealt into tiles, and each pair of tiles is a task: all links are found, and the comparisons
-grow with the square of a leaf's different lines where those are not alike.
+
+Not all lines of a leaf are compared. Lines that may differ in m places have m + 1 stretches, and two that are linked agree
+in one stretch at least; so a line gets a key for each stretch, and only lines that share a key meet. Where m is 1, a key is
+a line without one of its places: then lines that share one are linked for certain, and each is linked with the smallest.
+The lines of a leaf that share keys are one unit of work if they are at most a tile; else units are made of keys. A key
+with more lines than a tile first compares all of them with one, and only what that leaves is dealt into tiles
+against the rest. All links are found; versions of one line cost in proportion to their number.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh
@@ -37,6 +42,10 @@ def code(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
+#: The code of a field among those of tokens.
+FIELD_CODE = code(FIELD)
+
+
 def tokens(line: str) -> list[str]:
     """The line's tokens; those that hold a digit are fields."""
     found = _TOKEN.findall(line)
@@ -57,33 +66,107 @@ def parse(line: str, depth: int, least: int, similarity: float, long: int) -> tu
     return len(t), code(" ".join([str(len(t)), *t[:depth]])), code(" ".join(t if fixed else _TOKEN.findall(line))), fixed
 
 
+def signatures(codes: list[int], depth: int, similarity: float) -> tuple[bool, list[int]]:
+    """(sure, keys) of a line by the codes of its tokens. Linked lines of a leaf share a key; if sure, those that share one
+    are linked. A line that can be linked with no other has no keys."""
+    rest = codes[depth:]
+    spare = int(len(codes) * (1 - similarity) + 1e-9) - codes[:depth].count(FIELD_CODE)
+    fields = [p for p, c in enumerate(rest) if c == FIELD_CODE]
+    if spare < 1 or len(fields) > spare:
+        return True, []
+    if spare >= len(rest):
+        return True, [0]
+    b = np.array(rest, np.int64).tobytes()
+    if spare == 1:
+        parts = [(p, b[: 8 * p] + b[8 * p + 8 :]) for p in fields or range(len(rest))]
+    else:
+        cuts = [len(rest) * k // (spare + 1) for k in range(spare + 2)]
+        parts = [(k, b[8 * s : 8 * e]) for k, (s, e) in enumerate(zip(cuts, cuts[1:])) if not any(s <= p < e for p in fields)]
+    return spare == 1, [xxhash.xxh3_64_intdigest(part, seed=k) - (1 << 63) for k, part in parts]
+
+
+def linked(line: np.ndarray, x: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): the lines linked with another, directly or by others of these, each with one that stands for all of them. x:
+    the codes of their tokens."""
+    field = x == FIELD_CODE
+    one, other = np.where(field, 0, x), np.where(field, 1, x)  # a field agrees with nothing
+    need = similarity * x.shape[1] - 1e-9
+    root, left = np.arange(len(line)), np.arange(len(line))
+    while len(left):
+        first, left, other = left[0], left[1:], other[1:]
+        open_ = [first]
+        while open_ and len(left):
+            hit = np.count_nonzero(other == one[open_.pop()], axis=1) >= need
+            if hit.any():
+                root[left[hit]] = first
+                open_ += left[hit].tolist()
+                left, other = left[~hit], other[~hit]
+    at = np.flatnonzero(root != np.arange(len(line)))
+    return line[at], line[root[at]]
+
+
 def _linked(similarity: float):
-    """Of each unit, the lines linked with another, directly or by others of the unit, and a line that stands for all
-    of them."""
+    """The same for a unit of (line, tokens), or, with a column key, for each key of the unit."""
 
     def run(rows: pa.Table) -> pa.Table:
         line = rows["line"].to_numpy()
         x = rows["tokens"].combine_chunks().flatten().to_numpy().reshape(len(line), -1)
-        # a field agrees with nothing
-        field = x == code(FIELD)
-        one, other = np.where(field, 0, x), np.where(field, 1, x)
-        need = similarity * x.shape[1] - 1e-9
-        root, left = np.arange(len(line)), np.arange(len(line))
-        while len(left):
-            first, left, other = left[0], left[1:], other[1:]
-            open_ = [first]
-            while open_ and len(left):
-                hit = np.count_nonzero(other == one[open_.pop()], axis=1) >= need
-                if hit.any():
-                    root[left[hit]] = first
-                    open_ += left[hit].tolist()
-                    left, other = left[~hit], other[~hit]
-        at = np.flatnonzero(root != np.arange(len(line)))
-        return pa.table({"a": line[at], "b": line[root[at]]})
+        if "key" not in rows.column_names:
+            a, b = linked(line, x, similarity)
+            return pa.table({"a": a, "b": b})
+        key = rows["key"].to_numpy()
+        order = np.argsort(key, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(key[order])) + 1, len(order))
+        found = [linked(line[at], x[at], similarity) for at in np.split(order, ends[:-1])]
+        return pa.table({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
 
     return run
 
 
+def _tiles(count: Column, n: Column, tile: int, tile_tokens: int) -> Column:
+    """How many tiles so many lines of n tokens make."""
+    return F.least(F.greatest(F.ceil(count / F.lit(tile)), F.ceil(count * n / F.lit(tile_tokens))), count).cast("int")
+
+
+def links(placed: DataFrame, similarity: float, tile: int, tile_tokens: int) -> DataFrame:
+    """(a, b): a forest over the linked lines of placed(leaf, line, n, tokens, sure, keys)."""
+    keyed = placed.select("leaf", "line", "n", "sure", F.explode("keys").alias("key"))
+    shared = cut(keyed.groupBy("leaf", "key", "sure").agg(F.count("*").alias("_c"), F.min("line").alias("_low")).where("_c > 1"))
+    met = keyed.join(shared, ["leaf", "key", "sure"])
+    edges = "a bigint, b bigint"
+    out = met.where("sure and line <> _low").select(F.col("line").alias("a"), F.col("_low").alias("b"))
+    met = cut(met.where("not sure").select("leaf", "line", "n", "key", "_c", "_low"))
+    lines = met.select("leaf", "line", "n").distinct()
+    sizes = cut(lines.groupBy("leaf").agg(F.count("*").alias("_l"), F.first("n").alias("_n")).withColumn("t", _tiles(F.col("_l"), F.col("_n"), tile, tile_tokens)).select("leaf", "t"))
+    tokens_of = placed.select("line", "tokens")
+    small = lines.join(sizes.where("t = 1"), "leaf").join(tokens_of, "line").select("leaf", "line", "tokens")
+    out = out.unionByName(small.groupBy("leaf").applyInArrow(_linked(similarity), edges))
+    large = sizes.where("t > 1")
+    if large.isEmpty():
+        return out
+    met = met.join(large.select("leaf"), "leaf").withColumn("t", _tiles(F.col("_c"), F.col("n"), tile, tile_tokens))
+    # keys of at most a tile, several to a unit of about a tile
+    single = met.where("t = 1")
+    parts = single.groupBy("leaf").agg(F.count("*").alias("_m"), F.first("n").alias("_n")).select("leaf", _tiles(F.col("_m"), F.col("_n"), tile, tile_tokens).alias("_p"))
+    dealt = single.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("key"), F.col("_p"))).join(tokens_of, "line")
+    out = out.unionByName(dealt.select("leaf", "part", "key", "line", "tokens").groupBy("leaf", "part").applyInArrow(_linked(similarity), edges))
+    # larger keys: all lines against the smallest first
+    hot = met.where("t > 1").join(tokens_of, "line").join(tokens_of.select(F.col("line").alias("_low"), F.col("tokens").alias("_first")), "_low")
+    agree = F.size(F.filter(F.zip_with("tokens", "_first", lambda x, y: (x == y) & (x != FIELD_CODE)), lambda same: same))
+    hot = cut(hot.select("leaf", "key", "line", "tokens", "t", "_low", (agree >= F.col("n") * F.lit(similarity) - 1e-9).alias("near")))
+    out = out.unionByName(hot.where("near and line <> _low").select(F.col("line").alias("a"), F.col("_low").alias("b")))
+    left = hot.where("not near").groupBy("leaf", "key").agg(F.count("*").alias("_r"), F.first(F.size("tokens")).alias("_n"))
+    left = left.select("leaf", "key", _tiles(F.col("_r"), F.col("_n"), tile, tile_tokens).alias("_q"))
+    both = hot.join(left, ["leaf", "key"])
+    spread = lambda tiles: F.explode(F.sequence(F.lit(0), tiles - 1))
+    home = lambda tiles: F.pmod(F.xxhash64("line"), tiles).cast("int")
+    some = both.where("not near").select("leaf", "key", "line", "tokens", home(F.col("_q")).alias("i"), spread(F.col("t")).alias("j"))
+    every = both.select("leaf", "key", "line", "tokens", spread(F.col("_q")).alias("i"), home(F.col("t")).alias("j"))
+    # a line that is on both sides of a unit is linked with itself, which does no harm
+    units = some.unionByName(every).groupBy("leaf", "key", "i", "j")
+    return out.unionByName(units.applyInArrow(lambda rows: _linked(similarity)(rows.drop_columns(["key"])), edges))
+
+
 def drop_recurring_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 3, depth: int = 3, least: int = 3, least_variable: int = 5, similarity: float = 0.8,
     long_docs: int = 2, long: int = 20, short_docs: int = 10, tile: int = 512, tile_tokens: int = 250_000,
@@ -103,7 +186,7 @@ def drop_recurring_lines(
     empty. Lines end at line feeds; others are joined again as they were. Rows with the same key, if the smallest,
     all keep their lines; rows with a null key count, but lose nothing. Columns named n_lines or n_dropped are
     replaced; others, whatever their names, go along. Memory: two tiles, each of `tile` lines or of tile_tokens tokens, in
-    a task; a longer line is in a tile alone.
+    a task; a longer line is in a tile alone. An empty table gives an empty result.
     """
     plain = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
 
@@ -124,16 +207,15 @@ def drop_recurring_lines(
     exact = lines.where(F.col("c") >= enough).select("line", F.col("first").alias("keep"))
 
     able = lines.where((F.col("n") >= least_variable) & F.col("fixed"))
-    tiles = F.greatest(F.ceil(F.count("*") / F.lit(tile)), F.ceil(F.sum("n") / F.lit(tile_tokens)))
-    leaves = able.groupBy("leaf").agg(F.count("*").alias("_l"), F.sum("c").alias("_d"), F.first("n").alias("n"), F.least(tiles, F.count("*")).cast("int").alias("t"))
-    open_ = cut(able.join(leaves.where((F.col("_l") > 1) & (F.col("_d") >= enough)).select("leaf", "t"), "leaf"))
+    leaves = able.groupBy("leaf").agg(F.count("*").alias("_l"), F.sum("c").alias("_d"), F.first("n").alias("n"))
+    open_ = able.join(leaves.where((F.col("_l") > 1) & (F.col("_d") >= enough)).select("leaf"), "leaf")
     # one document carries the tokens of a line: the first that holds it
     carried = open_.groupBy("first", "carrier").agg(F.collect_list("line").alias("lines"))
     carriers = plain.join(carried, F.col("id").eqNullSafe(F.col("first")) & (F.xxhash64("text") == F.col("carrier"))).select("text", "lines")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines_, codes = [], []
+            rows: list[tuple] = []
             for t, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 wanted = set(wanted)
                 for s in (t or "").split("\n"):
@@ -141,16 +223,15 @@ def drop_recurring_lines(
                     c = code(" ".join(found))
                     if c in wanted:
                         wanted.discard(c)
-                        lines_.append(c)
-                        codes.append([code(w) for w in found])
-            yield pa.RecordBatch.from_arrays([pa.array(lines_, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], ["line", "tokens"])
-
-    placed = carriers.mapInArrow(spread, "line bigint, tokens array<bigint>").dropDuplicates(["line"]).join(open_, "line")
-    home = F.pmod("line", F.col("t")).cast("int")
-    dealt = placed.select("leaf", "line", "tokens", "t", home.alias("_h"), F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("_o")).where("t = 1 or _o <> _h")
-    dealt = dealt.select("leaf", "line", "tokens", F.least("_h", "_o").alias("i"), F.greatest("_h", "_o").alias("j"))
-    linked = components(dealt.groupBy("leaf", "i", "j").applyInArrow(_linked(similarity), "a bigint, b bigint"))
-    shaped = cut(linked.select(F.col("node").alias("line"), F.col("root").alias("template")))
+                        codes = [code(w) for w in found]
+                        rows.append((code(" ".join([str(len(found)), *found[:depth]])), c, len(found), codes, *signatures(codes, depth, similarity)))
+            cols = list(zip(*rows)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["leaf", "line", "n", "tokens", "sure", "keys"])
+
+    placed = cut(carriers.mapInArrow(spread, "leaf bigint, line bigint, n int, tokens array<bigint>, sure boolean, keys array<bigint>").dropDuplicates(["line"]))
+    linked_lines = components(links(placed, similarity, tile, tile_tokens))
+    shaped = cut(linked_lines.select(F.col("node").alias("line"), F.col("root").alias("template")))
     # a row that holds several lines of a template counts once
     holders = held.join(shaped, "line").groupBy("template", "row").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     recurring = holders.groupBy("template").agg(F.count("*").alias("_d"), F.min("id").alias("keep"), F.first("n").alias("n")).where(F.col("_d") >= enough)

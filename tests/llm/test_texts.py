@@ -205,6 +205,94 @@ def test_lines_tiles(documents):
         assert {x.doc_id for x in got if x.n_dropped} == want and 0 < len(want) < 149
 
 
+def texts_without_recurring_lines(rows, similarity=0.8, depth=3, min_docs=3):
+    """The operator's rule, line by line and pair by pair."""
+
+    def parsed(line):
+        found = re.findall("[^\x20\x09-\x0d]+", line)
+        if not found:
+            return None
+        if len(found) < 3:
+            whole = " ".join(found)
+            return ("short", len(found)), whole, 20 if len(whole) >= 100 else 3 if len(whole) >= 20 else len(found), None
+        masked = ["#" if re.search(r"\d", w) else w for w in found]
+        fixed = masked.count("#") <= (1 - similarity) * len(found)
+        return (len(found), *masked[:depth]), tuple(masked if fixed else found), len(found), masked if fixed and len(found) >= 5 else None
+
+    enough = lambda n: 2 if n >= 20 else min_docs if n >= 3 else 10
+    holders, of = {}, {}
+    for r, (_, t) in enumerate(rows):
+        for line in (t or "").split("\n"):
+            if p := parsed(line):
+                holders.setdefault(p[:2], set()).add(r)
+                of[p[:2]] = p
+    alike = {a: {a} for a in of}
+    for a in of:
+        for b in of:
+            x, y = of[a][3], of[b][3]
+            if a != b and a[0] == b[0] and x and y and sum(v == w != "#" for v, w in zip(x, y)) >= similarity * len(x) - 1e-9:
+                alike[a].add(b)
+    gone = {}
+    for a in of:
+        group, todo = {a}, [a]
+        while todo:
+            new = alike[todo.pop()] - group
+            group |= new
+            todo += new
+        docs = set().union(*(holders[b] for b in group))
+        keys = [rows[r][0] for r in docs if rows[r][0] is not None]
+        if len(docs) >= enough(of[a][2]) and keys:
+            gone[a] = min(keys)
+    lost = lambda i, line: i is not None and (p := parsed(line)) and p[:2] in gone and gone[p[:2]] != i
+    return [(i, t if t is None else "\n".join(s for s in t.split("\n") if not lost(i, s))) for i, t in rows]
+
+
+@pytest.mark.parametrize("seed, tile", [(0, 512), (1, 512), (2, 3), (3, 3), (4, 8), (5, 2)])
+def test_lines_against_plain_python(documents, seed, tile):
+    r = random.Random(seed)
+    word = lambda: r.choice(["p", "q", "r", "s", "t", "4", "x9"]) if r.random() < 0.9 else prose(r, 1)
+    stems = [[word() for _ in range(r.choice([1, 2, 3, 4, 5, 6, 7, 9, 10, 12, 16, 24]))] for _ in range(25)]
+
+    def line():
+        stem = list(r.choice(stems))
+        for _ in range(r.choice([0, 0, 1, 1, 2, 4])):
+            stem[r.randrange(len(stem))] = word()
+        return " ".join(stem)
+
+    rows = [(r.choice([None, i, i, i, r.randrange(60)]), r.choice([None, "", *["\n".join(line() for _ in range(r.randrange(1, 9)))] * 18])) for i in range(60)]
+    got = line_templates.drop_recurring_lines(documents(rows), tile=tile).collect()
+    want = texts_without_recurring_lines(rows)
+    assert Counter((x.doc_id, x.text) for x in got) == Counter(want)
+    assert sum(a != b for a, b in zip(rows, want)) >= 10
+
+
+def test_lines_count_documents(documents):
+    """Two lines of a template in one document and one in another are two documents; a line in three documents and two
+    versions in one each are five."""
+    opened = lambda who: f"Session opened for user {who} on host alpha just now"
+    rows = [(1, f"{opened('ann')}\n{opened('bob')}"), (2, opened("cy"))]
+    assert [x.n_dropped for x in line_templates.drop_recurring_lines(documents(rows)).collect()] == [0, 0]
+    rows = [(i, opened("ann") + f"\nown{i}") for i in (1, 2, 3)] + [(4, opened("bob")), (5, opened("cy")), (None, opened("ann"))]
+    assert {x.doc_id: x.n_dropped for x in line_templates.drop_recurring_lines(documents(rows)).collect()} == {1: 0, 2: 1, 3: 1, 4: 1, 5: 1, None: 0}
+    rows = [(None, opened("ann")), (None, opened("bob")), (7, opened("cy")), (8, opened("di"))]
+    assert {x.doc_id: x.n_dropped for x in line_templates.drop_recurring_lines(documents(rows)).collect() if x.doc_id} == {7: 0, 8: 1}
+
+
+def test_signatures():
+    r = random.Random(4)
+    for _ in range(300):
+        n = r.choice([5, 6, 8, 10, 13, 20, 31])
+        a = [r.choice([*range(6), line_templates.FIELD_CODE]) if r.random() < 0.2 else k for k in range(n)]
+        b = [r.choice([*range(6), line_templates.FIELD_CODE]) if r.random() < 0.2 else k for k in range(n)]
+        b[:3] = a[:3]
+        if a == b:
+            continue
+        (sure, x), (_, y) = line_templates.signatures(a, 3, 0.8), line_templates.signatures(b, 3, 0.8)
+        alike = sum(v == w != line_templates.FIELD_CODE for v, w in zip(a, b)) >= 0.8 * n - 1e-9
+        assert not alike or set(x) & set(y)
+        assert alike or not sure or not set(x) & set(y)
+
+
 def test_lines_verbatim_with_digits(documents):
     dated, row = "Published 12 March 2021", "7 | 8 | 9 | 10"
     rows = [(i, f"{dated}\n{row}\nPublished {i} March {i + 1990}\n{i} | 1{i} | 2{i} | 3{i}") for i in range(3)]
