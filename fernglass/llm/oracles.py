@@ -110,4 +110,86 @@ dealt as (select doc_id, coalesce(octet_length(encode(text)), 0)::bigint + 1 as
 select doc_id, size, text_crc32, law, shard, row_number() over (partition by shard order by u, doc_id, text_crc32, size) - 1 as slot, grown_shard from dealt
 """
 
-ORACLES = {"op2_url_filter": OP2, "op5_source_mixing": OP5, "op7_sharding": OP7}
+#: What a recursive closure of links(a, b), in both directions, says of each node.
+_CLOSURE = """reach(node, other) as (select a, b from links union select r.node, l.b from reach r join links l on r.other = l.a),
+roots as (select node, least(node, min(other)) as root from reach group by node)"""
+
+#: Every pair of vectors.
+OP1 = f"""
+with recursive sound as (select vec_id, embedding::double[] as e from embeddings
+    where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from sound a join sound b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+{_CLOSURE},
+counts as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, coalesce(root, vec_id) as component_id, vec_id = coalesce(root, vec_id) as kept
+from embeddings left join counts on vec_id = a left join roots on vec_id = node
+"""
+
+#: Every pair of documents that share a shingle.
+OP3 = rf"""
+with recursive words as (select doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') as w from documents),
+grams as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] end) as g from words),
+sizes as (select doc_id, count(*) as size from grams group by doc_id),
+shared as (select x.doc_id as a, y.doc_id as b, count(*) as n from grams x join grams y on x.g = y.g and x.doc_id <> y.doc_id group by all),
+alike as (select a, b, n, p.size as size_a, q.size as size_b from shared join sizes p on a = p.doc_id join sizes q on b = q.doc_id where n >= 0.8::double * (p.size + q.size - n) - 1e-9::double),
+links as (select a, b from alike),
+{_CLOSURE},
+counts as (select a, count(*) as n, min(case when n = size_a and n = size_b then b end) as twin from alike group by a)
+select doc_id, least(doc_id, coalesce(twin, doc_id)) as class_id, coalesce(n, 0)::bigint as n_links, coalesce(root, doc_id) as component_id, doc_id = coalesce(root, doc_id) as kept
+from documents left join counts on doc_id = a left join roots on doc_id = node
+"""
+
+
+def _plan(buckets: int) -> str:
+    """The dynamic programme of the buckets, a table for each number of them, and the way back."""
+    tables = ["t1 as materialized (select j, pad as cost, 1::bigint as start from pads where i = 1)"]
+    tables += [
+        f"""t{k} as materialized (select j, min({{'c': coalesce(cost, 0) + pad, 'i': i}}) as best, best['c'] as cost, best['i'] as start
+        from (select p.i, p.j, p.pad, q.cost from pads p left join t{k - 1} q on q.j = p.i - 1) group by j)"""
+        for k in range(2, buckets + 1)
+    ]
+    back = [f"k{buckets} as (select j, start from t{buckets} where j = (select max(j) from h))"]
+    back += [f"k{k} as (select t.j, t.start from t{k} t join k{k + 1} x on t.j = x.start - 1)" for k in range(buckets - 1, 0, -1)]
+    return ",\n".join([*tables, *back]) + ",\nends as (" + " union ".join(f"select j from k{k}" for k in range(1, buckets + 1)) + ")"
+
+
+OP4 = rf"""
+with sized as (select doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as n_tokens, {hash_unit_sql("doc_id", "'pack'")} as u from documents),
+h as materialized (select n_tokens as top, count(*) as n, row_number() over (order by n_tokens) as j from sized group by n_tokens),
+sums as materialized (select j, top, n, sum(n) over (order by j)::bigint as r, sum(n * top) over (order by j)::bigint as w from h),
+pads as materialized (select x.j as i, y.j as j, (y.top * (y.r - x.r + x.n) - (y.w - x.w + x.n * x.top))::bigint as pad from sums x join sums y on x.j <= y.j),
+{_plan(16)},
+buckets as (select row_number() over (order by top) - 1 as bucket, top as bucket_len, coalesce(lag(top) over (order by top), -1) as below from ends join h using (j)),
+placed as (select doc_id, n_tokens, bucket::int as bucket, bucket_len, greatest(1, 65536 // greatest(bucket_len, 1)) as per,
+    row_number() over (partition by bucket order by u, doc_id, n_tokens) - 1 as place from sized join buckets on n_tokens > below and n_tokens <= bucket_len)
+select doc_id, n_tokens, bucket, bucket_len, (place // per)::bigint as batch, (place % per)::int as slot from placed
+"""
+
+_ENOUGH = "case when n >= 20 then 2 when n >= 3 then 3 else 10 end"
+#: Every pair of lines of a leaf.
+OP8 = rf"""
+with recursive docs as (select row_number() over () as r, doc_id, text from documents),
+split as (select r, doc_id, unnest(l) as line, generate_subscripts(l, 1) as pos from (select r, doc_id, string_split(text, chr(10)) as l from docs where text <> '')),
+tokens as (select *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as t from split),
+masked as (select *, list_transform(t, lambda x: case when regexp_matches(x, '\p{{Nd}}') then '<*>' else x end) as m, array_to_string(t, ' ') as whole from tokens where len(t) > 0),
+kinds as (select *, len(t) >= 3 and len(list_filter(m, lambda x: x = '<*>')) <= (1::double - 0.8::double) * len(t) as fixed,
+    case when len(t) >= 3 then len(t) when length(whole) >= 100 then 20 when length(whole) >= 20 then 3 else len(t) end as n from masked),
+parsed as (select r, doc_id, pos, n, m, fixed, case when len(t) < 3 then [len(t)::varchar] else list_concat([len(t)::varchar], m[1:3]) end as leaf,
+    case when fixed then array_to_string(m, ' ') else whole end as id from kinds),
+named as (select *, dense_rank() over (order by leaf, id, fixed) as line from parsed),
+kept as (select line, any_value(leaf) as leaf, any_value(m) as m, any_value(n) as n, any_value(fixed) as fixed from named group by line),
+able as (select * from kept where fixed and n >= 5),
+links as (select x.line as a, y.line as b from able x join able y on x.leaf = y.leaf and x.line <> y.line
+    where len(list_filter(range(1, x.n + 1), lambda i: x.m[i] = y.m[i] and x.m[i] <> '<*>')) >= 0.8::double * x.n - 1e-9::double),
+{_CLOSURE},
+templates as (select line, n, coalesce(root, line) as template from kept left join roots on line = node),
+recurring as (select template, min(doc_id) as keep from (select distinct r, doc_id, line from named) join templates using (line) group by template having count(distinct r) >= any_value({_ENOUGH})),
+lost as (select r, pos from named join templates using (line) join recurring using (template) where doc_id <> keep),
+left_ as (select s.r, count(*) as n_lines, count(l.pos) as n_dropped, string_agg(line, chr(10) order by s.pos) filter (l.pos is null) as text from split s left join lost l on s.r = l.r and s.pos = l.pos group by s.r)
+select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dropped, 0)::bigint as n_dropped, case when d.text is null then null else coalesce(x.text, '') end as text
+from docs d left join left_ x on d.r = x.r
+"""
+
+ORACLES = {
+    "op1_embedding_near_dedup": OP1, "op2_url_filter": OP2, "op3_ngram_join": OP3, "op4_length_packing": OP4, "op5_source_mixing": OP5, "op7_sharding": OP7, "op8_line_dedup": OP8,
+}

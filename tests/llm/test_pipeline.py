@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from fernglass.llm.oracles import ORACLES
 
 from .test_texts import labelled_corpus, prose
 
@@ -56,12 +57,12 @@ def test_run(spark):
     assert entry.queries()["pipeline"](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["op2_url_filter", "op5_source_mixing", "op7_sharding"])
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = entry.queries()[name](spark, SF)
     columns = sorted(df.columns)
