@@ -31,17 +31,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """df as a Parquet table in the shared folder, and what deletes it; it goes when the application ends at the latest.
-    Unlike a checkpoint it has the size of its files as statistics; those of checkpoints multiply from join to join, which
-    loops can't bear."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> tuple[str, Callable[[], None]]:
+    """A path of its own in the shared folder, and what deletes it; it goes when the application ends at the latest."""
     path = f"{shared_folder(spark).rstrip('/')}/fernglass-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
     files.deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path), lambda: files.delete(at, True)
+    return path, lambda: files.delete(at, True)
+
+
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a Parquet table in the shared folder, and what deletes it. Unlike a checkpoint it has the size of its files as
+    statistics; those of checkpoints multiply from join to join, which loops can't bear."""
+    path, free = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), free
 
 
 def kept_table(df: DataFrame) -> DataFrame:

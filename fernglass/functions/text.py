@@ -11,9 +11,12 @@ from pyspark.sql.types import ArrayType, StringType
 # --- fixed values: the patterns of the two tokenizers --------------------------------------------------------------
 #: Runs of ASCII letters and digits, joined by single inner apostrophes or hyphens; applied to lower-cased text.
 TOKEN = r"[a-z0-9]+(?:['\-][a-z0-9]+)*"
+#: Hiragana and ideographs, which are words one by one.
+IDEOGRAPHS = r"\u3040-\u309f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"
 #: Close to Unicode word breaks: letters, digits and underscores, joined by ' . : between letters, by , . ; ' between
 #: digits.
-STANDARD_TOKEN = r"(?U)[\p{L}\p{M}\p{N}_]+(?:(?:(?<=\p{L})['.:](?=\p{L})|(?<=\p{N})[,.;'](?=\p{N}))[\p{L}\p{M}\p{N}_]+)*"
+WORD_CHARACTER = rf"[\p{{L}}\p{{M}}\p{{N}}_&&[^{IDEOGRAPHS}]]"
+STANDARD_TOKEN = rf"(?U)[{IDEOGRAPHS}]|{WORD_CHARACTER}+(?:(?:(?<=\p{{L}})['.:](?=\p{{L}})|(?<=\p{{N}})[,.;'](?=\p{{N}})){WORD_CHARACTER}+)*"
 # --------------------------------------------------------------------------------------------------------------------
 
 

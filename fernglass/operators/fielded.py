@@ -14,10 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernglass.functions.text import STANDARD_TOKEN, digits, first_full, join_full, standard_tokens
+from fernglass.functions.text import IDEOGRAPHS, STANDARD_TOKEN, WORD_CHARACTER, digits, first_full, join_full, standard_tokens
 from fernglass.functions.weights import bm25_idf, bm25_tf
 from fernglass.sources.writers import write_table
 
+from .display import stored_fields
+
 # --- fixed values: fields, types, boosts ----------------------------------------------------------------------------
 TEXT_FIELDS = (
     "player", "info", "position", "borncity", "bornstate", "birthplace_other", "currentteam", "draftteam", "college", "highschool", "name", "nfl_player_name",
@@ -33,8 +35,9 @@ NAME_COLUMNS = ("player", "name", "player_name", "nfl_player_name")
 
 @dataclass(frozen=True)
 class FieldIndex:
-    """docs(doc_id, stored fields), postings(field, term, doc_id, tf, positions, len), stats(field, n, mean_len),
-    df(field, term, df)."""
+    """docs(doc_id, stored fields), postings(field, term, doc_id, tf, positions, len), stats(field, n, total_len),
+    df(field, term, df): how many documents have the field, how many terms it has in all, how many documents have the
+    term. Both are sums, so those of appended parts add up."""
 
     docs: DataFrame
     postings: DataFrame
@@ -44,14 +47,21 @@ class FieldIndex:
     TABLES = ("docs", "postings", "stats", "df")
 
     def save(self, path: str, mode: str = "overwrite") -> None:
-        """mode 'append' adds documents, as 'overwrite' replaces them; statistics of appended parts are those of the
-        part, so build anew from docs when they matter."""
+        """mode 'append' adds documents to those that are there, 'overwrite' replaces them. A document that is appended
+        again counts again."""
         for name in self.TABLES:
             write_table(getattr(self, name), f"{path}/{name}", "term" if name in ("postings", "df") else None, mode)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FieldIndex:
-        return cls(*[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES])
+        """The index over all parts that were saved there; a missing table raises."""
+        docs, postings, stats, df = (spark.read.parquet(f"{path}/{name}") for name in cls.TABLES)
+        stats = stats.groupBy("field").agg(F.sum("n").alias("n"), F.sum("total_len").alias("total_len"))
+        return cls(docs, postings, stats, df.groupBy("field", "term").agg(F.sum("df").alias("df")))
+
+    def statistics(self) -> DataFrame:
+        """(field, n, mean_len)."""
+        return self.stats.select("field", "n", (F.col("total_len") / F.col("n")).alias("mean_len"))
 
 
 def derived_fields(records: DataFrame) -> DataFrame:
@@ -81,7 +91,7 @@ def build(docs: DataFrame, text_fields: list[str], string_fields: list[str] | No
     wide = docs.select(F.col(key).alias("doc_id"), F.explode(F.array(*parts)).alias("_p")).select("doc_id", "_p.field", "_p.tokens").where(F.size("tokens") > 0)
     placed = wide.select("doc_id", "field", F.size("tokens").cast("bigint").alias("len"), F.posexplode("tokens").alias("at", "term"))
     postings = placed.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"), F.first("len").alias("len"))
-    stats = wide.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_len"))
+    stats = wide.groupBy("field").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("total_len"))
     return FieldIndex(docs.withColumnRenamed(key, "doc_id"), postings, stats, postings.groupBy("field", "term").agg(F.count("*").alias("df")))
 
 
@@ -98,6 +108,7 @@ class Leaf:
     boost: float = 1.0
     slop: int = 0
     ends: tuple[str, str] = ("*", "*")
+    without_ends: tuple[bool, bool] = (False, False)
 
 
 @dataclass
@@ -111,7 +122,7 @@ class Group:
 Node = Leaf | Group
 
 _LEX = re.compile(r"""\s*(?:(?P<op>AND\b|OR\b|NOT\b|&&|\|\||!)|(?P<sign>[+\-])(?=\S)|(?P<open>\()|(?P<close>\))(?:\^(?P<gboost>[0-9.]+))?
-    |(?P<field>\w+):(?=\S)|"(?P<phrase>[^"]*)"(?:~(?P<slop>\d+))?|[\[{](?P<low>\S+)\s+TO\s+(?P<high>[^\s\]}]+)[\]}]
+    |(?P<field>\w+):(?=\S)|"(?P<phrase>[^"]*)"(?:~(?P<slop>\d+))?|(?P<from>[\[{])(?P<low>\S+)\s+TO\s+(?P<high>[^\s\]}]+)(?P<to>[\]}])
     |(?P<word>(?:\\.|[^\s()"\[\]{}^~:\\])+)(?P<fuzzy>~(?P<edits>[012])?)?)(?:\^(?P<boost>[0-9.]+))?""", re.VERBOSE)
 
 
@@ -120,8 +131,8 @@ class QuerySyntaxError(ValueError):
 
 
 class _Parser:
-    """Terms (joined by OR), AND, OR, NOT, + and -, "phrases"~slop, prefix*, w?ldcards, fuzzy~, [a TO b], ^boost, field:,
-    brackets and \\ escapes."""
+    """Terms (joined by OR), AND, OR, NOT, + and -, "phrases"~slop, prefix*, w?ldcards, fuzzy~, [a TO b], {a TO b} without the
+    ends, ^boost, field:, brackets and \\ escapes."""
 
     def __init__(self, text: str) -> None:
         self.tokens = []
@@ -173,7 +184,7 @@ class _Parser:
     def leaf(m: re.Match, own: str | None) -> Leaf:
         boost = float(m["boost"] or 1)
         if m["low"]:
-            return Leaf("range", m["low"].lower(), own, boost, ends=(m["low"].lower(), m["high"].lower()))
+            return Leaf("range", m["low"].lower(), own, boost, ends=(m["low"].lower(), m["high"].lower()), without_ends=(m["from"] == "{", m["to"] == "}"))
         if m["phrase"] is not None:
             return Leaf("phrase", m["phrase"], own, boost, int(m["slop"] or 0))
         word = m["word"]
@@ -191,8 +202,9 @@ def parse(text: str) -> Group:
 
 
 def _tokens(text: str) -> list[str]:
-    pattern = STANDARD_TOKEN.removeprefix("(?U)")
-    for java, python in ((r"[\p{L}\p{M}\p{N}_]", r"\w"), (r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d")):
+    alone = IDEOGRAPHS.replace(r"\x{20000}-\x{3ffff}", "\U00020000-\U0003ffff")
+    pattern = STANDARD_TOKEN.removeprefix("(?U)").replace(WORD_CHARACTER, rf"(?:(?![{alone}])\w)").replace(IDEOGRAPHS, alone)
+    for java, python in ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d")):
         pattern = pattern.replace(java, python)
     return [m[0] for m in re.finditer(pattern, text.lower())]
 
@@ -250,9 +262,40 @@ def plan(query: str, strict_and: bool = False) -> Plan:
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
 
-def _followed(starts: Column, spots: Column, offset: int, slop: int) -> Column:
-    """The starts that have one of the spots offset places after them, give or take slop."""
-    return F.filter(starts, lambda x: F.exists(spots, lambda y: F.abs(y - x - offset) <= slop))
+def _phrases(spots: list[Column], slop: int) -> Column:
+    """How often the terms at the spots stand as a phrase, as a double. A match needs, for each term, a spot that lies
+    its place in the phrase after a common start, or up to slop further on; it counts 1 over 1 plus the most by which one
+    does. So two terms the wrong way round are a match with slop 2, of weight 1/3."""
+    back = lambda p, k: F.transform(p, lambda x: x - k)
+    moved = [back(p, k) for k, p in enumerate(spots)]
+    starts = moved[0] if slop == 0 else F.array_distinct(F.concat(*moved))
+
+    def least(start: Column) -> Column:
+        gaps = [F.array_min(F.filter(F.transform(m, lambda x: x - start), lambda g: g >= 0)) for m in moved]
+        # greatest() would pass over a term that has none
+        return F.when(reduce(lambda a, b: a & b, [g.isNotNull() for g in gaps]), F.greatest(*gaps))
+
+    gaps = F.filter(F.transform(starts, least), lambda g: g <= slop)
+    return F.aggregate(gaps, F.lit(0.0), lambda total, g: total + 1 / (1 + g))
+
+
+def _swapped(words: set[str]) -> set[str]:
+    """The words with two neighbouring characters the other way round."""
+    return {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for w in words for i in range(len(w) - 1)}
+
+
+def _within(term: Column, value: str, edits: int) -> Column:
+    """Whether so many edits make one of the other; two neighbours the other way round are one edit."""
+    tests, words = [], {value}
+    for done in range(edits + 1):
+        if done < edits:
+            tests += [F.levenshtein(term, F.lit(w), edits - done) >= 0 for w in sorted(words)]
+        else:
+            tests.append(term.isin(sorted(words)))
+        words = _swapped(words)
+    near = reduce(lambda a, b: a | b, tests)
+    # lengths alone rule most terms out
+    return (F.abs(F.length(term) - len(value)) <= edits) & near
 
 
 class _Lookup:
@@ -294,10 +337,7 @@ class _Lookup:
                 spots.append(p)
                 idfs.append(i)
             long_, mean_ = self._add(F.lit(False), length, mean)
-            starts = spots[0]
-            for offset, p in enumerate(spots[1:], 1):
-                starts = _followed(starts, p, offset, leaf.slop)
-            found = F.coalesce(F.size(starts), F.lit(0))
+            found = F.coalesce(_phrases(spots, leaf.slop), F.lit(0.0))
             fits = F.coalesce(reduce(lambda a, b: a & b, [p.isNotNull() for p in spots]) & (found > 0), F.lit(False))
             return fits, F.when(fits, reduce(lambda a, b: a + b, idfs) * bm25_tf(found, long_, mean_)).otherwise(0.0) * leaf.boost
         if leaf.kind == "prefix":
@@ -305,10 +345,11 @@ class _Lookup:
         elif leaf.kind == "wildcard":
             test = term.rlike("^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in leaf.value) + "$")
         elif leaf.kind == "fuzzy":
-            test = F.levenshtein(term, F.lit(leaf.value)) <= leaf.slop
+            test = _within(term, leaf.value, leaf.slop)
         else:
-            low, high = leaf.ends
-            test = (F.lit(True) if low == "*" else term >= low) & (F.lit(True) if high == "*" else term <= high)
+            (low, high), (no_low, no_high) = leaf.ends, leaf.without_ends
+            above = F.lit(True) if low == "*" else term > low if no_low else term >= low
+            test = above & (F.lit(True) if high == "*" else term < high if no_high else term <= high)
         # many terms may fit: they count alike
         (hit,) = self._add(here & test, F.max(F.when(here & test, F.lit(1.0))))
         return hit.isNotNull(), F.coalesce(hit, F.lit(0.0)) * leaf.boost
@@ -357,8 +398,9 @@ def search_all(index: FieldIndex, query: str, fields: dict[str, float] | None =
         sides.append((kind, what, [(weight, *lookup.side(what, own)) for own, weight in weights]))
     if not lookup.needs:
         return none
-    wanted = index.postings.where(reduce(lambda a, b: a | b, lookup.needs))
-    known = wanted.join(index.df, ["field", "term"]).join(F.broadcast(index.stats), "field")  # a row for each field
+    needs = reduce(lambda a, b: a | b, lookup.needs)
+    # the same terms alone are read on both sides
+    known = index.postings.where(needs).join(index.df.where(needs), ["field", "term"]).join(F.broadcast(index.statistics()), "field")  # a row for each field
     if wide:
         rows = known.groupBy("doc_id").agg(*lookup.aggregates)
         columns = []
@@ -388,6 +430,14 @@ def search(index: FieldIndex, query: str, limit: int = 10, fields: dict[str, flo
     return found.orderBy(F.col("score").desc(), "doc_id").limit(limit)
 
 
+def search_with_fields(index: FieldIndex, query: str, limit: int = 10, fields: dict[str, float] | None = None, strict_and: bool = False) -> DataFrame:
+    """(doc_id, score, stored fields) of the best documents: what a result shows (see display.stored_fields), in order. A
+    few ids meet all documents, so Spark broadcasts them."""
+    found = search(index, query, limit, fields, strict_and)
+    shown = stored_fields(index.docs.join(F.broadcast(found), "doc_id"))  # at most limit rows
+    return shown.orderBy(F.col("score").desc(), "doc_id")
+
+
 def phrase_documents(index: FieldIndex, phrase: str, name: str) -> DataFrame:
     """(doc_id) of the documents whose field holds the phrase."""
     return search_all(index, f'{name}:"{phrase}"', {name: 1.0}).select("doc_id")

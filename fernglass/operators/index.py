@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fernglass.functions.text import join_full, tokenize
 from fernglass.functions.weights import idf_probabilistic, idf_standard, log_tf
 from fernglass.sources.readers import PLAYER
-from fernglass.sources.writers import write_table
+from fernglass.sources.writers import write_json, write_table
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,18 @@ class Index:
         """A missing table raises."""
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES])
 
+    def export_json(self, path: str, mode: str = "overwrite") -> None:
+        """The index as folders of JSON lines for other programs: a line for each document or term. Lists grow with their
+        term or document; posting_blocks() gives lists of bounded length."""
+        pairs = lambda c: F.map_from_entries(F.collect_list(F.struct("term", c)))
+        tables = {
+            "postings": postings(self.tf), "df": self.df, "vocabulary": vocabulary(self.df), "norms": self.norms, "meta": self.docs,
+            "tf": self.tf.groupBy("doc_id").agg(pairs("tf").alias("tf")),
+            "weights": self.weights.groupBy("doc_id").agg(pairs("w_standard").alias("standard"), pairs("w_probabilistic").alias("probabilistic")),
+        }
+        for name, table in tables.items():
+            write_json(table, f"{path}/{name}", mode)
+
 
 def player_documents(players: DataFrame, key: str = "doc_id") -> DataFrame:
     """(doc_id, text, meta) of player records: the fields that aren't empty, joined ('N/A' counts), and the whole record

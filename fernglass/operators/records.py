@@ -62,7 +62,15 @@ def blanks_to_na(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(NOT_FOUND)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def _corrupt(name: str, team: str) -> Column:
+    return F.col(name).eqNullSafe("Unknown") | F.col(team).eqNullSafe("Unknown Status (Meta Missing)")
+
+
 def without_corrupt(df: DataFrame, name: str = "Player", team: str = "CurrentTeam") -> DataFrame:
     """Without records that have no name or no meta section. Nulls are kept."""
-    bad = F.col(name).eqNullSafe("Unknown") | F.col(team).eqNullSafe("Unknown Status (Meta Missing)")
-    return df.where(~bad)
+    return df.where(~_corrupt(name, team))
+
+
+def counts(df: DataFrame, name: str = "Player", team: str = "CurrentTeam") -> DataFrame:
+    """(processed, kept): how many records there are, and how many without_corrupt() leaves, in one pass."""
+    return df.agg(F.count("*").alias("processed"), F.count_if(~_corrupt(name, team)).alias("kept"))

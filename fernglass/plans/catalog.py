@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernglass.functions import text as T
+from fernglass.functions.storage import scratch
 from fernglass.operators import boolean, display, extract_html, extract_wiki, fielded, index, ranked, records
+from fernglass.operators import search as entry
+from fernglass.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 RANKED_QUERY = "the of and that idiot"
+#: Without an operator, so that the common entry ranks it.
+ENTRY_QUERY = "the of that idiot"
 BOOLEAN = {
     "boolean_and": "the of",
     "boolean_or": "trash OR clown",
@@ -23,9 +28,11 @@ BOOLEAN = {
     "boolean_or_not": "the OR NOT of",
     "boolean_quoted": '"the of" OR "" mit',
     "boolean_missing": "missing-term",
+    "boolean_trailing": "the OR",
 }
 PART_FIELDS = {"p_name": 10.0, "p_type": 7.0, "p_brand": 1.0}
 PHRASE = "in the"
+PLAYER_QUERY = "machinery bigland 7"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +49,21 @@ def _tf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> index.Index:
-    return index.build(table(spark, d, "documents"))
+    return index.build(table(spark, d, "documents"), keep=[F.col("lang"), F.col("source")])
+
+
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _saved_index(spark: SparkSession, d: str) -> index.Index:
+    """The index of the documents as it is searched: built and saved once for a session and folder, sorted by term, then
+    loaded."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _SAVED:
+        path, _ = scratch(spark)
+        _index(spark, d).save(path)
+        _SAVED[at] = path
+    return index.Index.load(spark, _SAVED[at])
 
 
 # --- index ----------------------------------------------------------------------------------------------------------
@@ -120,27 +141,60 @@ def player_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ranked_standard(spark: SparkSession, d: str) -> DataFrame:
-    return ranked.search(_index(spark, d), RANKED_QUERY, 10, "standard")
+    return ranked.search(_saved_index(spark, d), RANKED_QUERY, 10, "standard")
 
 
 @query
 def ranked_probabilistic(spark: SparkSession, d: str) -> DataFrame:
-    return ranked.search(_index(spark, d), RANKED_QUERY, 10, "probabilistic")
+    return ranked.search(_saved_index(spark, d), RANKED_QUERY, 10, "probabilistic")
 
 
 @query
 def ranked_batch(spark: SparkSession, d: str) -> DataFrame:
-    return ranked.search_batch(table(spark, d, "benchmark"), _index(spark, d), 10, key="item_id", text="text").select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
+    return ranked.search_batch(table(spark, d, "benchmark"), _saved_index(spark, d), 10, key="item_id", text="text").select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
 
 
 @query
 def ranked_empty(spark: SparkSession, d: str) -> DataFrame:
-    return ranked.search(_index(spark, d), "?!", 10)
+    return ranked.search(_saved_index(spark, d), "?!", 10)
 
 
 @query
 def total_hits(spark: SparkSession, d: str) -> DataFrame:
-    return ranked.total_hits(_index(spark, d), RANKED_QUERY)
+    return ranked.total_hits(_saved_index(spark, d), RANKED_QUERY)
+
+
+@query
+def search_ranked_mode(spark: SparkSession, d: str) -> DataFrame:
+    return entry.search(_saved_index(spark, d), ENTRY_QUERY, 7)
+
+
+@query
+def search_boolean_mode(spark: SparkSession, d: str) -> DataFrame:
+    return entry.search(_saved_index(spark, d), BOOLEAN["boolean_or"], 7)
+
+
+@query
+def search_boolean_total(spark: SparkSession, d: str) -> DataFrame:
+    return entry.total(_saved_index(spark, d), BOOLEAN["boolean_or"])
+
+
+@query
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """A new index, saved and loaded: its weights."""
+    path, _ = scratch(spark)
+    _index(spark, d).save(path)
+    return index.Index.load(spark, path).weights.select("doc_id", "term", "tf", "df", F.round("w_standard", 6).alias("w_standard"))
+
+
+@query
+def index_json(spark: SparkSession, d: str) -> DataFrame:
+    """The index in JSON, read again: terms and their documents."""
+    path, _ = scratch(spark)
+    _saved_index(spark, d).export_json(path)
+    postings_ = spark.read.schema("term string, doc_ids array<bigint>").json(f"{path}/postings")
+    df = spark.read.schema("term string, df bigint").json(f"{path}/df")
+    return postings_.join(df, "term").select("term", "df", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
 
 
 # --- Boolean --------------------------------------------------------------------------------------------------------
@@ -241,6 +295,12 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return found.select("page_id", F.col("at").cast("bigint").alias("at"), "link")
 
 
+@query
+def html_comments(spark: SparkSession, d: str) -> DataFrame:
+    found = extract_html.comment_sections(F.col("html"), "ad 1")
+    return table(spark, d, "pages").select("page_id", F.array_join(found, "|").alias("comments"))
+
+
 @query
 def html_unescape(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("&lt;b&gt; "), F.col("c_name"), F.lit(" &amp; &#39;"), F.col("c_mktsegment"), F.lit("&quot;")).alias("t"))
@@ -281,11 +341,9 @@ def player_extract_missing(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def natural_sort(spark: SparkSession, d: str) -> DataFrame:
-    from fernglass.sources.readers import numbered
-
     k = F.col("c_custkey")
     files = table(spark, d, "customer").select(F.concat(F.chr((65 + k % 26).cast("int")), F.lit("_"), k.cast("string"), F.lit(".html")).alias("file"))
-    return numbered(files.withColumn("_key", T.natural_key(F.col("file"))), ["_key", "file"], name="place").select("place", "file")
+    return readers.numbered(files.withColumn("_key", T.natural_key(F.col("file"))), ["_key", "file"], name="place").select("place", "file")
 
 
 # --- wiki -----------------------------------------------------------------------------------------------------------
@@ -361,6 +419,66 @@ def clean_name_surname(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", "name", T.surname(F.col("name")).alias("surname"))
 
 
+# --- files ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def page_framing(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written as a dump of several files, and framed again."""
+    path, _ = scratch(spark)
+    pages = _wiki_pages(spark, d).select(F.concat(F.lit("  <siteinfo>x</siteinfo>\n  "), "page", F.lit("</page>")).alias("t"))
+    writers.write_text(pages, "t", path)
+    page = F.col("page")
+    read = readers.read_wiki_pages(spark, path)
+    return read.select(extract_wiki.page_title(page).alias("title"), extract_wiki.infobox_field(page, "height_in").alias("height_in"))
+
+
+def _awkward(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with quotes, commas and line ends in their fields."""
+    k = F.col("c_custkey")
+    name = F.concat("c_name", F.when(k % 2 == 0, F.lit(', the "old" one')).otherwise(F.lit("\nof two lines")))
+    return table(spark, d, "customer").select(k.cast("string").alias("key"), name.alias("name"), F.format_string("%03d", k % 1000).alias(" code "))
+
+
+@query
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path, _ = scratch(spark)
+    writers.write_csv(_awkward(spark, d), path, single_file=True)
+    return readers.read_csv(spark, path)
+
+
+@query
+def csv_declared(spark: SparkSession, d: str) -> DataFrame:
+    path, _ = scratch(spark)
+    writers.write_csv(_awkward(spark, d), path)
+    return readers.read_csv(spark, path, readers.strings("key", "name", "code"))
+
+
+@query
+def csv_inferred(spark: SparkSession, d: str) -> DataFrame:
+    path, _ = scratch(spark)
+    writers.write_csv(_awkward(spark, d), path)
+    read = readers.read_csv_inferred(spark, path).toDF("key", "name", "code")
+    return read.select(F.col("key").cast("bigint").alias("key"), "name", F.col("code").cast("string").alias("code"))
+
+
+@query
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path, _ = scratch(spark)
+    writers.write_json(_awkward(spark, d), path)
+    return spark.read.json(path).toDF("code", "key", "name")
+
+
+@query
+def sample_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", "c_name").orderBy("c_custkey").limit(3)
+
+
+@query
+def progress_counts(spark: SparkSession, d: str) -> DataFrame:
+    return records.counts(_players(spark, d))
+
+
 # --- fielded --------------------------------------------------------------------------------------------------------
 
 
@@ -377,13 +495,54 @@ def _fielded(text: str) -> Query:
 
 
 FIELDED = {"bm25_multifield": "small ring 13", "bm25_and": "red AND economy", "bm25_not": "small NOT economy", "bm25_and_not": "red AND bolt NOT economy", "exact_numeric": "21"}
+FIELDED |= {"bm25_range_exclusive": "p_name:{red TO ring}", "bm25_transposed": "smlal~1", "bm25_slop": 'p_name:"bolt red"~2'}
 FIELDED |= {"bm25_prefix": "ec*", "bm25_wildcard": "b?lt", "bm25_fuzzy": "smoll~1", "bm25_range": "p_name:[rad TO ret]", "bm25_must": "+small -ring economy^2", "bm25_blank": "   "}
 QUERIES |= {name: _fielded(text) for name, text in FIELDED.items()}
 
 
+@query
+def append_index(spark: SparkSession, d: str) -> DataFrame:
+    """An index saved in two parts, searched as one."""
+    path, _ = scratch(spark)
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), *PART_FIELDS)
+    for k, mode in ((0, "overwrite"), (1, "append")):
+        fielded.build(p.where(F.col("doc_id") % 2 == k), list(PART_FIELDS)).save(path, mode)
+    return fielded.search_all(fielded.FieldIndex.load(spark, path), FIELDED["bm25_multifield"], PART_FIELDS).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _player_index(spark: SparkSession, d: str) -> fielded.FieldIndex:
+    """Customers as player records with all search fields."""
+    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    k, place = F.col("c_custkey"), F.replace("n_name", F.lit("_"), F.lit(" "))
+    made = c.select(
+        k.alias("doc_id"), F.replace("c_name", F.lit("#"), F.lit(" ")).alias("Player"), F.col("c_mktsegment").alias("Position"), F.concat(F.lit("College of "), place).alias("College"),
+        F.when(k % 3 == 0, "").otherwise(place).alias("BornCity"), F.when(k % 4 == 0, None).otherwise("Bigland").alias("BornState"), F.lit("").alias("BirthPlace_Other"),
+        F.when(k % 5 == 0, "Retired").otherwise(F.concat("c_mktsegment", F.lit(" Bears"))).alias("CurrentTeam"), F.lit("Undrafted").alias("DraftTeam"), F.lit("N/A").alias("HighSchool"),
+        F.concat(F.lit("a player of "), place, F.lit(" in "), "c_mktsegment").alias("info"), F.concat(F.lit("6-"), (k % 12).cast("string")).alias("Height"), F.concat((180 + k % 90).cast("string"), F.lit("lb")).alias("Weight"),
+    )
+    return fielded.build(fielded.derived_fields(made), [*fielded.SEARCH_FIELDS, "height_text", "weight_text"], ["height", "weight"])
+
+
+@query
+def fielded_topk(spark: SparkSession, d: str) -> DataFrame:
+    return fielded.search(_player_index(spark, d), PLAYER_QUERY, 10)
+
+
+@query
+def fielded_results(spark: SparkSession, d: str) -> DataFrame:
+    found = fielded.search_with_fields(_player_index(spark, d), PLAYER_QUERY, 10)
+    return found.select("doc_id", "score", "player", "position", "college", "currentteam", "borncity", "weight")
+
+
+@query
+def fielded_height_text(spark: SparkSession, d: str) -> DataFrame:
+    """A field that only the query's own syntax reaches."""
+    return fielded.search_all(_player_index(spark, d), "+height_text:11 +machinery").select("doc_id")
+
+
 @query
 def field_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return _part_index(spark, d).stats.select("field", "n", F.round("mean_len", 6).alias("mean_len"))
+    return _part_index(spark, d).statistics().select("field", "n", F.round("mean_len", 6).alias("mean_len"))
 
 
 @query

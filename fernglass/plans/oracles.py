@@ -5,7 +5,7 @@ from __future__ import annotations
 from fernglass.operators.display import PLAYERS
 from fernglass.operators.fielded import SEARCH_FIELDS
 
-from .catalog import _BIRTHS, _STATES, PART_FIELDS, RANKED_QUERY
+from .catalog import _BIRTHS, _STATES, ENTRY_QUERY, PART_FIELDS, PLAYER_QUERY, RANKED_QUERY
 
 TOKEN = r"'[a-z0-9]+(?:[''\-][a-z0-9]+)*'"
 
@@ -121,6 +121,31 @@ _MUST = f"""{_BM}, fs as (select ptf.doc_id, field, term, boost * ln(1 + (n - df
     group by doc_id"""
 
 
+#: Pairs of spots of two neighbours: bolt then red, or red then bolt, with at most two places of moving; the best match of
+#: each start counts 1 / (1 + the moves). A query that names a field counts with the boosts of all.
+_SLOP = f"""with w as (select p_partkey as doc_id, {_STOK.format(x='p_name')} as t from part), n as (select doc_id, len(t) as len, generate_subscripts(t, 1) as pos, unnest(t) as term from w),
+    st as (select count(*) as n, avg(len(t)) as ml from w), df as (select term, count(distinct doc_id) as df from n group by term),
+    moved as (select doc_id, len, term, pos - case when term = 'red' then 1 else 0 end as q from n where term in ('bolt', 'red')),
+    starts as (select distinct doc_id, len, q from moved),
+    gaps as (select s.doc_id, s.len, s.q, greatest(min(m.q) filter (m.term = 'bolt'), min(m.q) filter (m.term = 'red')) - s.q as gap, count(distinct m.term) as k
+        from starts s join moved m on m.doc_id = s.doc_id and m.q >= s.q group by s.doc_id, s.len, s.q),
+    found as (select doc_id, any_value(len) as len, sum(1 / (1 + gap)) as f from gaps where k = 2 and gap <= 2 group by doc_id)
+    select doc_id, round({sum(PART_FIELDS.values())}::double * (select sum(ln(1 + (n - df + 0.5) / (df + 0.5))) from df, st where term in ('bolt', 'red')) * f / (f + 1.2::double * (0.25::double + 0.75::double * len / ml)), 6) as score
+    from found, st"""
+
+_PLACE = "replace(n_name, '_', ' ')"
+_CUSTOMERS = f"""c as (select c_custkey as doc_id, replace(c_name, '#', ' ') as player, c_mktsegment as position, 'College of ' || {_PLACE} as college, case when c_custkey % 3 = 0 then '' else {_PLACE} end as borncity,
+    case when c_custkey % 4 = 0 then '' else 'Bigland' end as bornstate, case when c_custkey % 5 = 0 then 'Retired' else c_mktsegment || ' Bears' end as currentteam, 'Undrafted' as draftteam, 'N/A' as highschool,
+    'a player of ' || {_PLACE} || ' in ' || c_mktsegment as info, (180 + c_custkey % 90)::varchar as weight, '6-' || (c_custkey % 12) as height from customer join nation on c_nationkey = n_nationkey)"""
+_FIELD_TEXT = {"full_name_search": "player", "position_search": "position", "college_search": "college", "location_search": "concat_ws(' ', nullif(borncity, ''), nullif(bornstate, ''))", "birthplace_other": "''"}
+_TOPK = f"""with {_CUSTOMERS}, parts as ({" union all ".join(f"select doc_id, '{f}' as field, {b}::double as boost, {_STOK.format(x=_FIELD_TEXT.get(f, f))} as toks from c" for f, b in SEARCH_FIELDS.items())}),
+    ptf as (select doc_id, field, boost, len(toks) as len, term, count(*) as tf from (select *, unnest(toks) as term from parts) group by all), pdf as (select field, term, count(*) as df from ptf group by all),
+    st as (select field, count(*) as n, avg(len(toks)) as ml from parts where len(toks) > 0 group by field),
+    top as (select doc_id, round(sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2::double * (0.25::double + 0.75::double * len / ml))), 4) as score from ptf join pdf using (field, term) join st using (field)
+        where term in ({", ".join(f"'{t}'" for t in PLAYER_QUERY.split())}) group by doc_id order by score desc, doc_id limit 10)"""
+
+_AWKWARD = "select c_custkey::varchar as key, c_name || case when c_custkey % 2 = 0 then ', the \"old\" one' else chr(10) || 'of two lines' end as name, printf('%03d', c_custkey % 1000) as code from customer"
+
 ORACLES = {
     "tokenize": f"select doc_id, len({_tok('text')}) as n_tokens from documents",
     "term_frequency": f"with {_TF} select doc_id, term, tf from tf",
@@ -192,4 +217,26 @@ ORACLES = {
     "stored_projection": """select c_custkey as doc_id, round(c_acctbal, 4) as score, case when c_custkey % 2 <> 0 then c_name when c_custkey % 3 <> 0 then c_name else 'Unknown' end as player,
         c_mktsegment as position, 'N/A' as college, 'N/A' as currentteam from customer""",
     "display_rows": f"select c_custkey as rank, '| ' || {_LINE} || ' |' as line from customer",
+    "search_ranked_mode": f"""{_scores('standard', f"select 0 as query_id, '{ENTRY_QUERY}' as query")}, top as (select doc_id, score, row_number() over (order by score desc, doc_id) as rank from scores)
+        select rank, doc_id, score, lang, source from top join documents using (doc_id) where rank <= 7""",
+    "search_boolean_mode": f"""select row_number() over (order by doc_id) as rank, doc_id, null::double as score, lang, source from documents where {_has('trash')} or {_has('clown')} order by doc_id limit 7""",
+    "search_boolean_total": f"select count(*) as total from documents where {_has('trash')} or {_has('clown')}",
+    "index_build": f"{_INDEX} select doc_id, term, tf, df, round(w_standard, 6) as w_standard from w",
+    "index_json": f"with {_TF} select term, count(*) as df, string_agg(doc_id::varchar, ',' order by doc_id) as doc_ids from tf group by term",
+    "boolean_trailing": f"select doc_id from documents where {_has('the')}",
+    "page_framing": """select case when p_partkey % 10 = 0 then 'Template:' else '' end || p_name || ' (part)' as title, (p_partkey % 12)::varchar as height_in from part""",
+    "csv_round_trip": _AWKWARD,
+    "csv_declared": _AWKWARD,
+    "csv_inferred": f"select key::bigint as key, name, code::int::varchar as code from ({_AWKWARD})",
+    "json_round_trip": f"select code, key, name from ({_AWKWARD})",
+    "sample_rows": "select c_custkey, c_name from customer order by c_custkey limit 3",
+    "progress_counts": f"with {_PLAYERS} select count(*) as processed, count(*) filter (Player <> 'Unknown' and CurrentTeam <> 'Unknown Status (Meta Missing)') as kept from players",
+    "html_comments": "select page_id, coalesce(array_to_string(list_filter(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1), lambda x: contains(x, 'ad 1')), '|'), '') as comments from pages",
+    "bm25_range_exclusive": f"{_BM} select doc_id, round({sum(PART_FIELDS.values())}, 6)::double as score from (select distinct doc_id from ptf where field = 'p_name' and term > 'red' and term < 'ring')",
+    "bm25_transposed": _like("damerau_levenshtein(term, 'smlal') <= 1"),
+    "bm25_slop": _SLOP,
+    "append_index": f"{_BM} select doc_id, round(sum(s), 6) as score from sc where term in ('small', 'ring', '13') group by doc_id",
+    "fielded_topk": f"{_TOPK} select doc_id, score from top",
+    "fielded_results": f"""{_TOPK} select doc_id, score, player, position, college, currentteam, coalesce(nullif(borncity, ''), 'N/A') as borncity, weight from top join c using (doc_id)""",
+    "fielded_height_text": f"with {_CUSTOMERS} select doc_id from c where doc_id % 12 = 11 and position = 'MACHINERY'",
 }

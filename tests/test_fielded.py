@@ -62,3 +62,38 @@ def test_display(spark, made):
     line = display.rows(shown.selectExpr("doc_id + 1 as rank", "1.23456D as score", "*"), display.FIELDED).orderBy("rank").first().line
     assert line == "| 1   |  1.2346 | Tom Brown            | QB  | Big State    | Bears      |  6-2 |    210 | N/A        | N/A   | N/A   |"
     assert display.header(display.FIELDED).startswith("|  #  |  Score  |") and display.footer(10, 12).startswith("...") and display.footer(2, 2) is None
+
+
+@pytest.mark.parametrize(
+    "query, ids",
+    [
+        ("player:{brown TO tom}", {1, 2, 3}), ("player:[brown TO tom}", {0, 1, 2, 3}), ("player:{tim TO tom]", {0}), ("player:{smith TO *}", {0, 1}), ("player:tmo~1", {0}), ("player:bronw~1", {0, 1, 3}),
+        ("player:bronw~2", {0, 1, 3}), ('info:"fox quick"~1', {3}), ('info:"fox quick"~2', {1, 3}), ('info:"fox quick"~3', {0, 1, 3}), ('info:"quick fox red"~4', {0, 1}),
+    ],
+)
+def test_syntax(made, query, ids):
+    assert {r.doc_id for r in fielded.search_all(made, query, BOOSTS).collect()} == ids
+
+
+def test_append(spark, made, tmp_path):
+    rows = spark.createDataFrame(ROWS, "doc_id long, Player string, Position string, College string, CurrentTeam string, Height string, Weight string, info string")
+    low = fielded.derived_fields(rows)
+    for k in (0, 1):
+        fielded.build(low.where(f"doc_id % 2 = {k}"), [*BOOSTS, "height_text", "weight_text"], ["height", "weight"]).save(str(tmp_path), "append")
+    whole = fielded.FieldIndex.load(spark, str(tmp_path))
+    for q in ("smith", "brown", "210", '"quick red"', "bro*"):
+        assert sorted(fielded.search(whole, q, 5, BOOSTS).collect()) == sorted(fielded.search(made, q, 5, BOOSTS).collect())
+
+
+def test_results_with_fields(made):
+    got = fielded.search_with_fields(made, "brown", 2, BOOSTS).collect()
+    assert [(r.doc_id, r.player, r.college, r.weight) for r in got] == [(3, "Brown Brown Smith", "N/A", "210"), (0, "Tom Brown", "Big State", "210")]
+
+
+def test_ideographs_are_words(spark):
+    from fernglass.functions.text import standard_tokens
+    from pyspark.sql import functions as F
+
+    text = "東京 Tower タワー ひら \U00020000x O'Brien 5-10 1,5"
+    want = ["東", "京", "tower", "タワー", "ひ", "ら", "\U00020000", "x", "o'brien", "5", "10", "1,5"]
+    assert spark.range(1).select(standard_tokens(F.lit(text)).alias("t")).first().t == want == fielded._tokens(text)
