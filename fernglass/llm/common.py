@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fernglass.functions.storage import cut, global_index, kept_table, written
 
-__all__ = ["cut", "fresh", "global_index", "hash_unit", "hash_unit_sql", "identity", "kept_table", "running_before", "table", "word_count", "written"]
+__all__ = ["cut", "fresh", "global_index", "hash_unit", "hash_unit_sql", "identity", "kept_table", "running_before", "small_batches", "table", "word_count", "written"]
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch of rows that goes to Python with whole texts.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session sends Python batches of at most BATCH_BYTES, or one longer row. Spark's own bound is ten
+    thousand rows or 64 MB, of which a worker and the JVM hold several at once, in and out. A lower bound stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = conf.get(name, "").removesuffix("b")
+    if not own.isdigit() or not 0 < int(own) <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """The name, with underscores before it until it is none of the columns."""
     taken = {c.lower() for c in columns}

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, small_batches
 from .graph import components
 
 FIELD = "<*>"
@@ -188,7 +188,7 @@ def drop_recurring_lines(
     replaced; others, whatever their names, go along. Memory: two tiles, each of `tile` lines or of tile_tokens tokens, in
     a task; a longer line is in a tile alone. An empty table gives an empty result.
     """
-    plain = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    plain = small_batches(docs).select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

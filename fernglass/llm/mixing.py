@@ -22,7 +22,8 @@ def targets(sources: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float
     The sources in order of code point, null last, weigh as in weights, again and again. They divide share times
     the total size by weight; a target above most times its source's size stops there, and the excess goes to the
     others by weight until none is above. Each round is one aggregation over the table of sources that returns four
-    numbers; a source that has stopped stays so, so rounds end.
+    numbers; a source that has stopped stays so, so rounds end. Sources without words have target 0; an empty table gives
+    an empty result.
     """
     ranked = global_index(sources, [F.col("source").asc_nulls_last()], "_i")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_i") % len(weights) + 1).cast("int"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, fresh, identity
+from .common import WORD, cut, fresh, identity, small_batches
 from .graph import components
 from .near_vectors import local_roots
 from .shingles import WORDS, band_codes, choose_bands, shingle_set
@@ -153,7 +153,7 @@ def _find(plain: DataFrame, threshold: float, words: int, recall: float, tile: i
             made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(codes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["id", "_i", "_j", "size", "name", "codes"])
 
-    described = cut(plain.select("id", "_i", "_j", "text").mapInArrow(describe, "id bigint, _i bigint, _j bigint, size bigint, name binary, codes array<bigint>"))
+    described = cut(small_batches(plain).select("id", "_i", "_j", "text").mapInArrow(describe, "id bigint, _i bigint, _j bigint, size bigint, name binary, codes array<bigint>"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_i", "_j"))
     classes = described.where("name is not null").groupBy("name").agg(first.alias("first"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("codes").alias("codes"))
     classes = cut(classes.withColumns({"uid": F.monotonically_increasing_id(), "id": F.col("first.id")}))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .labelled import held_out, logistic, share_of, training_rows
 
 BITS = 17
@@ -165,7 +166,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
             scores = [own.score(features(t or "")) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], [key, "held_out", "score"])
 
-    plain = docs.select(F.col(key).alias(key), held_out(F.col(key)).alias("held_out"), F.col(text).cast("string").alias("_text"))
+    plain = small_batches(docs).select(F.col(key).alias(key), held_out(F.col(key)).alias("held_out"), F.col(text).cast("string").alias("_text"))
     kind = plain.schema[key].dataType.simpleString()
     out = plain.mapInArrow(scored, f"`{key}` {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -185,4 +186,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", thresh
             good = pa.array([own.score(features(t or "")) >= threshold for t in batch.column(at).to_pylist()], pa.bool_())
             yield batch.filter(good)
 
-    return docs.mapInArrow(kept, docs.schema)
+    return small_batches(docs).mapInArrow(kept, docs.schema)

@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .labelled import held_out, logistic, share_of, training_rows
 
 #: The lengths of the grams that are looked at: short ones for words of their own, long ones for words that are odd only
@@ -230,7 +231,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
             found = [gains.of(t or "") if gains else np.zeros(5) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([model.score(x) for x in found], pa.float64())], [key, "held_out", "score"])
 
-    plain = docs.select(F.col(key).alias(key), held_out(F.col(key)).alias("held_out"), F.col(text).cast("string").alias("_text"))
+    plain = small_batches(docs).select(F.col(key).alias(key), held_out(F.col(key)).alias("held_out"), F.col(text).cast("string").alias("_text"))
     kind = plain.schema[key].dataType.simpleString()
     out = plain.mapInArrow(scored, f"`{key}` {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -52,6 +52,19 @@ def test_shards(documents):
     assert sharding.shard(documents([])).count() == 0
 
 
+def test_shards_at_size(spark):
+    """One more shard takes keys into itself alone, in its share; a changed weight moves keys to or from its shard alone."""
+    k = F.col("id")
+    weights = [1.0, 2.0, 1.0, 4.0]
+    plans = {"a": weights, "more": [*weights, 2.0], "less": [1.0, 1.0, 1.0, 4.0], "gone": [1.0, 2.0, 0.0, 4.0]}
+    rows = spark.range(20_000).select(*[sharding.rendezvous(k, w)["shard"].alias(n) for n, w in plans.items()]).collect()
+    assert all(r.more in (r.a, 4) for r in rows) and abs(sum(r.more == 4 for r in rows) / len(rows) - 0.2) < 0.02
+    assert all(r.less == r.a or r.a == 1 for r in rows) and 0 < sum(r.less != r.a for r in rows) < 0.2 * len(rows)
+    assert all(r.gone == r.a or r.a == 2 for r in rows) and all(r.gone != 2 for r in rows)
+    table = spark.range(3000).select(k.alias("doc_id"), F.lit("t").alias("text"))
+    assert all(r.grown_shard in (r.shard, 16) for r in sharding.shard(table).collect())
+
+
 def test_shard_weights(spark):
     keys = spark.range(4000).withColumn("t", F.lit("x"))
     share = lambda w: Counter(r.shard for r in keys.select(sharding.rendezvous(F.col("id"), w)["shard"].alias("shard")).collect())
@@ -250,3 +263,37 @@ def test_url_aliases(spark):
     assert [got[i].verdict for i in range(9)] == ["block", "block", "block", "allow", "allow", "allow", "allow", "block", "block"]
     assert got[0].alias_of == got[3].alias_of == "http://a.com/1" and got[6].alias_of is None
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_url_extremes(spark, documents):
+    """Very long URLs and pages, repeated rows, and columns with the operator's own names."""
+    long_url, link = "http://a.com/" + "x" * 50_000, '<link rel="canonical" href="{}">'
+    pages = [
+        (1, long_url, "<p>" * 200_000 + link.format("http://b.net/" + "y" * 50_000)), (2, long_url + "#f", None), (2, long_url + "#f", None), (3, "http://c.org/", "<link " + "rel " * 50_000), (None, "http://d.net/", None),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit("z") for c in ("host", "path", "rule", "verdict", "alias_of", "node", "root", "a", "b", "_u", "_n", "_r", "to", "tag")})
+    got = urls.filter_urls(df).collect()
+    assert sorted((r.page_id or 0, r.verdict) for r in got) == [(0, "block"), (1, "block"), (2, "block"), (2, "block"), (3, "allow")]
+
+
+def test_targets_of_nothing(spark):
+    assert mixing.targets(spark.createDataFrame([], "source string, source_size long")).count() == 0
+    assert common.global_index(spark.range(0), [F.col("id")], "at").count() == 0
+    assert [r.target for r in mixing.targets(spark.createDataFrame([("a", 0), (None, 0)], "source string, source_size long")).collect()] == [0, 0]
+
+
+def test_small_batches(spark):
+    """A table of long texts goes to Python in batches of bounded bytes."""
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "1000b")
+        assert common.small_batches(spark.range(1)).sparkSession.conf.get(name) == "1000b"
+        spark.conf.set(name, "67108864b")
+        df = common.small_batches(spark.range(2000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("t")))
+        sizes = [r.n for r in df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n bigint").collect()]
+        assert sum(sizes) > 2000 * 10_000 and max(sizes) < 1.5 * common.BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)

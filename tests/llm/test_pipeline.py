@@ -1,4 +1,5 @@
 import os
+import zlib
 from collections import Counter
 
 import pytest
@@ -7,7 +8,8 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from fernglass.llm.oracles import ORACLES
 
-from .test_texts import labelled_corpus, prose
+from .test_native import least_padding
+from .test_texts import jaccard_truth, labelled_corpus, prose, spark_hash, texts_without_recurring_lines
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -53,6 +55,58 @@ def test_stage_of_nothing(spark, messy, name, stage):
     assert stage(spark, docs, messy).count() == 0
 
 
+def test_run_against_plain_python(spark, documents, tmp_path):
+    """All five stages with null, equal and shared keys, each stage done over by plain means."""
+    import random
+
+    import duckdb
+    import numpy as np
+
+    from fernglass.llm import quality
+
+    folder, r = str(tmp_path / "sf"), random.Random(8)
+    rows, marks, _ = labelled_corpus(160)
+    rows = [(i, t, f"s{i % 3}") for i, t in rows]
+    one, line, version = prose(r, 60), "This site uses cookies to give you the best experience of all", "Session opened for user {} on host alpha just now"
+    rows += [(None, one, "t")] * 3 + [(700, one, "t")] + [(None, prose(r, 50), "t"), (None, prose(r, 50), None), (701, None, "t"), (702, "", None)]
+    rows += [(800, prose(r, 40), "u"), (800, prose(r, 45), "u"), (800, prose(r, 45), "u"), (3, prose(r, 70), "u")]
+    rows += [(900 + k, prose(r, 30) + "\n" + (line if k % 2 else version.format(prose(r, 1))), "v") for k in range(9)] + [(None, prose(r, 30) + "\n" + line, "v"), (950, line, "v")]
+    near = prose(r, 100).split()
+    rows += [(960 + k, " ".join([*near[:k], "odd", *near[k + 1 :]]), "w") for k in range(5)]
+    documents(rows).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in marks.items()], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+    seen = sorted((spark_hash(i, "quality"), i) for i in marks if zlib.crc32(str(i).encode()) % 4 != 2)
+    own = {}
+    for i, t, _ in rows:
+        own.setdefault(i, []).append(t or "")
+    texts = {i: min(own[i], key=lambda t: spark_hash(t)) for _, i in seen}
+    y = np.array([marks[i] for _, i in seen])
+    model = quality.fit([quality.features(texts[i]) for _, i in seen], y, float(y.mean()))
+    good = [x for x in rows if model.score(quality.features(x[1] or "")) >= 0.7]
+    left = [(i, t, s) for (i, _, s), (_, t) in zip(good, texts_without_recurring_lines([x[:2] for x in good]))]
+    left = [x for x, before in zip(left, good) if x[1] == before[1] or x[1].split()]
+    _, root = jaccard_truth(list(enumerate(t for _, t, _ in left)))
+    first = {}
+    for n, (i, t, _) in enumerate(left):
+        at = root[n] if (t or "").split() else ("alone", n)
+        first[at] = min(first.get(at, (True, 0, n)), (i is None, i or 0, n))
+    single = [left[n] for _, _, n in first.values()]
+    c = duckdb.connect()
+    c.execute("create table documents(doc_id bigint, text varchar, source varchar)")
+    c.executemany("insert into documents values (?, ?, ?)", [list(x) for x in single])
+    want = Counter()
+    cursor = c.execute(ORACLES["op5_source_mixing"])
+    names = [d[0] for d in cursor.description]
+    for x in (dict(zip(names, v)) for v in cursor.fetchall()):
+        want[x["doc_id"], x["size"]] += x["taken"] // x["size"] if x["size"] else 0
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert Counter((x.doc_id, x.n_tokens) for x in got) == +want
+    assert sum(x.bucket_len - x.n_tokens for x in got) == least_padding([x.n_tokens for x in got], 16)
+    assert len({(x.bucket, x.batch, x.slot) for x in got}) == len(got) > 150
+    assert len(rows) > len(good) > len(left) > len(single) and sum(i is None for i, _, _ in single) > 1 and sum(i == 800 for i, _, _ in single) == 3
+
+
 def test_run(spark):
     assert entry.queries()["pipeline"](spark, SF).count() > 0
 

@@ -68,6 +68,18 @@ def test_near_texts(documents, tile, shingles_):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and max(links.values()) > 50
 
 
+def test_near_texts_long(documents):
+    r = random.Random(9)
+    base = prose(r, 30_000).split()
+    near, far = list(base), list(base)
+    near[100] = near[20_000] = "changed"
+    far[::12] = ["other"] * len(far[::12])
+    rows = [(5, " ".join(base)), (6, " ".join(near)), (7, " ".join(far)), (8, "short one")]
+    links, roots = jaccard_truth(rows)
+    got = ngram_join.near_texts(documents(rows), tile_shingles=1000).collect()
+    assert {x.doc_id: (x.n_links, x.component_id) for x in got} == {i: (links[i], roots[i]) for i, _ in rows} and roots[6] == 5 and roots[7] == 7
+
+
 def test_near_texts_edges(documents):
     assert ngram_join.near_texts(documents([])).count() == 0
     text, other = prose(random.Random(1), 30), prose(random.Random(2), 30)
