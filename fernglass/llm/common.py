@@ -28,7 +28,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     """df; from now on its session sends Python batches of at most BATCH_BYTES, or one longer row. Spark's own bound is ten
     thousand rows or 64 MB, of which a worker and the JVM hold several at once, in and out. A lower bound stays."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    own = conf.get(name, "").removesuffix("b")
+    own = conf.get(name, f"{64 << 20}b").removesuffix("b")
     if not own.isdigit() or not 0 < int(own) <= BATCH_BYTES:
         conf.set(name, f"{BATCH_BYTES}b")
     return df
