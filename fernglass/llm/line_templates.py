@@ -147,7 +147,7 @@ def links(placed: DataFrame, similarity: float, tile: int, tile_tokens: int) ->
     met = met.join(large.select("leaf"), "leaf").withColumn("t", _tiles(F.col("_c"), F.col("n"), tile, tile_tokens))
     # keys of at most a tile, several to a unit of about a tile
     single = met.where("t = 1")
-    parts = single.groupBy("leaf").agg(F.count("*").alias("_m"), F.first("n").alias("_n")).select("leaf", _tiles(F.col("_m"), F.col("_n"), tile, tile_tokens).alias("_p"))
+    parts = cut(single.groupBy("leaf").agg(F.count("*").alias("_m"), F.first("n").alias("_n")).select("leaf", _tiles(F.col("_m"), F.col("_n"), tile, tile_tokens).alias("_p")))
     dealt = single.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("key"), F.col("_p"))).join(tokens_of, "line")
     out = out.unionByName(dealt.select("leaf", "part", "key", "line", "tokens").groupBy("leaf", "part").applyInArrow(_linked(similarity), edges))
     # larger keys: all lines against the smallest first
@@ -156,7 +156,7 @@ def links(placed: DataFrame, similarity: float, tile: int, tile_tokens: int) ->
     hot = cut(hot.select("leaf", "key", "line", "tokens", "t", "_low", (agree >= F.col("n") * F.lit(similarity) - 1e-9).alias("near")))
     out = out.unionByName(hot.where("near and line <> _low").select(F.col("line").alias("a"), F.col("_low").alias("b")))
     left = hot.where("not near").groupBy("leaf", "key").agg(F.count("*").alias("_r"), F.first(F.size("tokens")).alias("_n"))
-    left = left.select("leaf", "key", _tiles(F.col("_r"), F.col("_n"), tile, tile_tokens).alias("_q"))
+    left = cut(left.select("leaf", "key", _tiles(F.col("_r"), F.col("_n"), tile, tile_tokens).alias("_q")))
     both = hot.join(left, ["leaf", "key"])
     spread = lambda tiles: F.explode(F.sequence(F.lit(0), tiles - 1))
     home = lambda tiles: F.pmod(F.xxhash64("line"), tiles).cast("int")
@@ -208,7 +208,8 @@ def drop_recurring_lines(
 
     able = lines.where((F.col("n") >= least_variable) & F.col("fixed"))
     leaves = able.groupBy("leaf").agg(F.count("*").alias("_l"), F.sum("c").alias("_d"), F.first("n").alias("n"))
-    open_ = able.join(leaves.where((F.col("_l") > 1) & (F.col("_d") >= enough)).select("leaf"), "leaf")
+    # kept, so that Spark can split the join at a leaf with many lines; it can't above an aggregation
+    open_ = able.join(cut(leaves.where((F.col("_l") > 1) & (F.col("_d") >= enough)).select("leaf")), "leaf")
     # one document carries the tokens of a line: the first that holds it
     carried = open_.groupBy("first", "carrier").agg(F.collect_list("line").alias("lines"))
     carriers = plain.join(carried, F.col("id").eqNullSafe(F.col("first")) & (F.xxhash64("text") == F.col("carrier"))).select("text", "lines")

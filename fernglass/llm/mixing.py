@@ -77,7 +77,9 @@ def _decide(docs: DataFrame, key: str, text: str, source: str, weights: Sequence
     expected = F.least(F.lit(float(most)), F.coalesce(F.col("rate") * F.col("favour"), F.lit(float(most))))
     # certain: the words of whole copies; a sum of whole numbers over strata, so the same in any order
     certain = strata.join(rates, F.col("source").eqNullSafe(F.col("_r"))).groupBy("_r", "rate", "source_size", "target").agg(F.sum(F.floor(expected) * F.col("words")).alias("_c"))
-    # the hot source is a key with many rows on one side and a single row on the other; Spark splits such a join
+    certain = cut(certain)
+    # the hot source is a key with many rows on one side and a single row on the other; Spark splits such a join where no
+    # aggregation stands below it
     joined = sized.join(certain, F.col("source").eqNullSafe(F.col("_r"))).withColumn("_e", F.when(F.col("size") > 0, expected).otherwise(0.0))
     joined = joined.withColumn("_whole", F.floor("_e")).withColumn("_part", F.col("_e") - F.col("_whole"))
     rank = F.when(F.col("_part") > 0, pareto_rank(F.col("_u"), F.col("_part")))

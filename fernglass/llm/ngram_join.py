@@ -161,6 +161,7 @@ def _find(plain: DataFrame, threshold: float, words: int, recall: float, tile: i
     agreed = classes.select("uid", "size", F.posexplode("codes").alias("band", "code"))
     tiles = F.greatest(F.ceil(F.count("*") / F.lit(tile)), F.ceil(F.sum("size") / F.lit(tile_shingles)))
     buckets = agreed.groupBy("band", "code").agg(F.count("*").alias("_c"), F.least(tiles, F.count("*")).cast("int").alias("t")).where("_c > 1").drop("_c")
+    buckets = cut(buckets)  # so that Spark can split the join at a hot bucket; it can't above an aggregation
     home = F.pmod(F.xxhash64("uid"), F.col("t")).cast("int")
     dealt = agreed.join(buckets, ["band", "code"]).select("uid", "band", "code", home.alias("_h"), F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("_o"))
     side = F.when(F.col("_o") == F.col("_h"), 1).when(F.col("_h") < F.col("_o"), 0).otherwise(2)
