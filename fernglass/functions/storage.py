@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,13 +14,14 @@ from pyspark.sql import functions as F
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir, or the context's checkpoint folder. Where neither is
-    set, a local session gets a folder of its own; on a cluster, whose executors couldn't see that, it is an error."""
+    set, a local session gets a folder of its own until it ends; on a cluster, whose executors couldn't see that, it is an error."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        if not context.master.split("[")[0] == "local":
+        if context.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="fernglass-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
