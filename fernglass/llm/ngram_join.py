@@ -26,6 +26,8 @@ from .shingles import WORDS, band_codes, choose_bands, shingle_set
 
 #: Holds of a text with a word.
 ANY_WORD = WORD.removesuffix("+")
+#: Classes in a tile. Smaller tiles make more units of a hot bucket, which spread more evenly, and move each text more often.
+TILE = 256
 
 
 def set_name(shingles: np.ndarray) -> bytes:
@@ -185,7 +187,7 @@ def _find(plain: DataFrame, threshold: float, words: int, recall: float, tile: i
 
 
 def near_texts(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, words: int = WORDS, recall: float = 0.9999, tile: int = 512, tile_shingles: int = 1_000_000
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, words: int = WORDS, recall: float = 0.9999, tile: int = TILE, tile_shingles: int = 1_000_000
 ) -> DataFrame:
     """Links between all documents whose sets of word shingles have a Jaccard similarity of threshold or more.
 
@@ -227,7 +229,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
     i, j, seen = (fresh(n, docs.columns) for n in ("_i", "_j", "_seen"))
     marks = identity(docs)
     plain = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"), marks[0].alias("_i"), marks[1].alias("_j"))
-    found = _find(plain, threshold, words, recall, 512, 1_000_000)
+    found = _find(plain, threshold, words, recall, TILE, 1_000_000)
     marked = docs.withColumns({i: marks[0], j: marks[1]})
     first = cut(found.lowest.select(F.col("first._i").alias(i), F.col("first._j").alias(j), F.lit(True).alias(seen)))
     worded = F.coalesce(F.col(text).cast("string").rlike(ANY_WORD), F.lit(False))
