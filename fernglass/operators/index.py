@@ -112,3 +112,20 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[C
     size = docs.agg(F.count("*").alias("n"))
     weights = term_weights(tf, df, size)
     return Index(docs.select(F.col(key).alias("doc_id"), *(keep or [])), tf, df, weights, vector_norms(weights), size)
+
+
+def build_saved(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: list[Column] | None = None, mode: str = "overwrite") -> Index:
+    """Builds the index in the folder, table by table, each from those that are saved already, and loads it. So documents
+    are tokenised once, where save() of a lazy index computes each table from them anew."""
+    spark = docs.sparkSession
+
+    def saved(name: str, df: DataFrame, sort: str | None = None) -> DataFrame:
+        write_table(df, f"{path}/{name}", sort, mode)
+        return spark.read.parquet(f"{path}/{name}")
+
+    saved("docs", docs.select(F.col(key).alias("doc_id"), *(keep or [])))
+    size = saved("size", docs.agg(F.count("*").alias("n")))
+    tf = saved("tf", term_frequencies(docs, key, text), "term")
+    df = saved("df", document_frequencies(tf), "term")
+    saved("norms", vector_norms(saved("weights", term_weights(tf, df, size), "term")))
+    return Index.load(spark, path)

@@ -49,7 +49,7 @@ def _tf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> index.Index:
-    return index.build(table(spark, d, "documents"), keep=[F.col("lang"), F.col("source")])
+    return index.build(table(spark, d, "documents"))
 
 
 _SAVED: dict[tuple[str, str], str] = {}
@@ -61,7 +61,7 @@ def _saved_index(spark: SparkSession, d: str) -> index.Index:
     at = (spark.sparkContext.applicationId, d)
     if at not in _SAVED:
         path, _ = scratch(spark)
-        _index(spark, d).save(path)
+        index.build_saved(table(spark, d, "documents"), path, keep=[F.col("lang"), F.col("source")])
         _SAVED[at] = path
     return index.Index.load(spark, _SAVED[at])
 
@@ -183,8 +183,7 @@ def search_boolean_total(spark: SparkSession, d: str) -> DataFrame:
 def index_build(spark: SparkSession, d: str) -> DataFrame:
     """A new index, saved and loaded: its weights."""
     path, _ = scratch(spark)
-    _index(spark, d).save(path)
-    return index.Index.load(spark, path).weights.select("doc_id", "term", "tf", "df", F.round("w_standard", 6).alias("w_standard"))
+    return index.build_saved(table(spark, d, "documents"), path).weights.select("doc_id", "term", "tf", "df", F.round("w_standard", 6).alias("w_standard"))
 
 
 @query

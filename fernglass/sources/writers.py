@@ -21,5 +21,6 @@ def write_text(df: DataFrame, column: str, path: str, mode: str = "overwrite") -
 
 
 def write_table(df: DataFrame, path: str, sort: str | None = None, mode: str = "overwrite") -> None:
-    """Parquet; with sort, rows are dealt by that column's ranges and sorted, so that reads skip row groups."""
-    (df.repartitionByRange(sort).sortWithinPartitions(sort) if sort else df).write.mode(mode).parquet(path)
+    """Parquet; with sort, rows of a value lie together in one file, and files are sorted by it, so that reads skip row
+    groups. Dealt by hash: ranges would have to be sampled first, which computes df twice."""
+    (df.repartition(sort).sortWithinPartitions(sort) if sort else df).write.mode(mode).parquet(path)

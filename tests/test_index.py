@@ -58,6 +58,29 @@ def test_save_and_load(spark, made, tmp_path):
     assert ranked.search(index.Index.load(spark, str(tmp_path)), "z").collect() == ranked.search(made, "z").collect()
 
 
+def test_build_saved(spark, made, tmp_path):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    saved = index.build_saved(docs, str(tmp_path))
+    for name in index.Index.TABLES:
+        rows = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+        assert rows(getattr(saved, name)) == rows(getattr(made, name)), name
+
+
+def test_json(spark, made, tmp_path):
+    made.export_json(str(tmp_path))
+    weights = {r.doc_id: r.standard.asDict() for r in spark.read.json(f"{tmp_path}/weights").collect()}
+    assert weights[2]["z"] == pytest.approx(math.log(3)) and set(weights) == {1, 2, 3, 5}
+    assert {r.term: r.doc_ids for r in spark.read.json(f"{tmp_path}/postings").collect()}["y"] == [1, 3, 5]
+
+
+def test_entry(made):
+    from fernglass.operators import search
+
+    assert [(r["rank"], r.doc_id, r.score) for r in search.search(made, "x NOT y").collect()] == [(1, 2, None)]
+    assert [(r["rank"], r.doc_id) for r in search.search(made, "z x", 2).collect()][0] == (1, 2) and search.search(made, "or").count() == 0
+    assert search.total(made, "y or z").first().total == 4 and search.total(made, "z").first().total == 1 and search.search(made, "").count() == 0
+
+
 def test_stream(spark, made, tmp_path):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     docs.where("doc_id < 3").write.parquet(str(tmp_path / "in/a.parquet"))
