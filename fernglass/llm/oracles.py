@@ -190,6 +190,38 @@ select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dropped, 0)::
 from docs d left join left_ x on d.r = x.r
 """
 
+_SAFE = r"regexp_replace(coalesce(text, ''), '<(\\*)(turn:|/turn>|part:)', '<\\\1\2', 'g')"
+OP12 = rf"""
+with rows as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, {_SAFE} as safe from conversations
+    union all select -7, i, case when i = 0 then 'user' else 'assistant' end, t, regexp_replace(t, '</turn>', '<\\/turn>') from (select unnest([0, 1]) as i, '\### Assistant: </turn> ok' as t)),
+whole as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, safe) as told,
+    coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, safe), '') as learnt,
+    string_agg('<turn:' || replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g') || '>' || safe || '</turn>' || chr(10), '') as formatted from rows group by conv_id)
+select conv_id, n_turns, sha256(told) as turns_sha256, length(learnt) as loss_chars, sha256(learnt) as loss_sha256, length(formatted) as formatted_chars from whole
+"""
+
+#: Pairs of equal 5-grams of a document, by their distance: pairs without a gap between them are a run.
+OP13 = rf"""
+with crc as (select list(v order by i) as t from (select i, list_reduce(range(8), lambda a, k: case when a % 2 = 1 then xor(a // 2, 3988292384::bigint) else a // 2 end, i::bigint) as v from range(256) r(i))),
+docs as (select row_number() over () as r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w,
+    4294967295 - list_reduce(regexp_extract_all(hex(encode(doc_id::varchar)), '..').list_transform(lambda h: ('0x' || h)::bigint), lambda a, x: xor(a // 256, t[xor(a, x) % 256 + 1]), 4294967295::bigint) as h
+    from documents, crc),
+cuts as (select r, doc_id, w, len(w) as n, coalesce(h % 10 = 0, false) as planted, (h // 10) % len(w) as a, h // 10 as g from docs),
+texts as (select r, doc_id, n, case when planted and n > 0 then list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) else w end as w from cuts),
+grams as (select r, n, unnest(range(n - 4)) as i, unnest(list_transform(range(n - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) as gram from texts where n >= 6),
+pairs as (select x.r, x.i, y.i - x.i as q from grams x join grams y on x.r = y.r and x.gram = y.gram and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+stretches as (select r, q, min(i) as start, count(*) + 4 + q as length from (select *, i - row_number() over (partition by r, q order by i) as island from pairs) group by r, q, island),
+runs as (select r, start, length, min(q) as period from stretches where length >= greatest(6, 4 * q) group by r, start, length),
+best as (select r, count(*) as n_runs, max({{'l': length, 's': -start, 'p': -period}}) as b, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as told from runs group by r),
+words as (select r, unnest(range(n)) as i, unnest(w) as word from texts),
+lost as (select distinct r, unnest(range(start + period, start + length)) as i from runs),
+kept as (select r, string_agg(word, ' ' order by i) as text from words anti join lost using (r, i) group by r)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, (-b['s'])::bigint as start, b['l']::bigint as length, (-b['p'])::bigint as period, (1000 * b['l'] // -b['p'])::bigint as exponent_milli,
+    sha256(coalesce(told, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
+from texts left join best using (r) left join kept using (r)
+"""
+
 ORACLES = {
     "op1_embedding_near_dedup": OP1, "op2_url_filter": OP2, "op3_ngram_join": OP3, "op4_length_packing": OP4, "op5_source_mixing": OP5, "op7_sharding": OP7, "op8_line_dedup": OP8,
+    "op12_chat_format": OP12, "op13_periodic_runs": OP13,
 }
