@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernglass.functions.text import once
+
 #: What marks a turn and a part.
 TURN, TURN_END, PART = "<turn:", "</turn>\n", "<part:"
 _CONTROL = r"(turn:|/turn>|part:)"
@@ -91,12 +93,19 @@ def _attached(parts: Column, expansions: dict[str, Callable[[Column], Column]])
 def sums_before(values: Column, block: int = 64) -> Column:
     """For each number of an array the sum of those before it. Sums go by blocks, so long arrays don't cost the square."""
     total = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    n = F.size(values)
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / block).cast("int") - 1, F.lit(0))), lambda b: total(F.slice(values, b * block + 1, F.lit(block))))
-    led = lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b)))
-    leads = F.transform(F.array(blocks), led)
-    add = lambda lead: F.transform(values, lambda _, i: F.element_at(lead, (F.floor(i / block) + 1).cast("int")) + total(F.slice(values, (F.floor(i / block) * block + 1).cast("int"), i % block)))
-    return F.element_at(F.transform(leads, add), 1)
+
+    def blocks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / block).cast("int") - 1, F.lit(0))), lambda b: total(F.slice(v, b * block + 1, F.lit(block))))
+
+    def leads(sums: Column) -> Column:
+        return F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b)))
+
+    def added(v: Column, lead: Column) -> Column:
+        first = lambda i: F.floor(i / block).cast("int")
+        return F.transform(v, lambda _, i: F.element_at(lead, first(i) + 1) + total(F.slice(v, first(i) * block + 1, i % block)))
+
+    # what a lambda reads is bound to a variable, else it would be computed anew for each element
+    return once(values, lambda v: once(blocks(v), lambda sums: once(leads(sums), lambda lead: added(v, lead))))
 
 
 def format_chats(
@@ -138,12 +147,15 @@ def format_chats(
     learnt = F.when(F.col("_learnt"), F.filter(spans, lambda s: s["is_text"])).otherwise(F.array().cast("array<struct<is_text:boolean,offset:int,length:int>>"))
     line = F.struct("_turn", "_role", F.concat("_head", content, F.lit(TURN_END)).alias("s"), learnt.alias("loss"), F.col("_attached").alias("attached"))
     told = seen.select("_key", line.alias("_line")).groupBy("_key").agg(F.sort_array(F.collect_list("_line")).alias("_lines"))
-    told = told.select("_key", "_lines", sums_before(F.transform("_lines", lambda x: F.length(x["s"]))).alias("_at"))
-    loss = F.flatten(
-        F.transform(
-            "_lines",
-            lambda x, i: F.transform(x["loss"], lambda s: F.struct(i.alias("turn"), s["offset"].alias("offset"), (F.element_at("_at", i + 1) + s["offset"]).alias("at"), s["length"].alias("length"))),
-        )
+    starts_of = sums_before(F.transform("_lines", lambda x: F.length(x["s"])))
+    loss = once(
+        starts_of,
+        lambda at: F.flatten(
+            F.transform(
+                "_lines",
+                lambda x, i: F.transform(x["loss"], lambda s: F.struct(i.alias("turn"), s["offset"].alias("offset"), (F.element_at(at, i + 1) + s["offset"]).alias("at"), s["length"].alias("length"))),
+            )
+        ),
     )
     attachments = F.flatten(
         F.transform("_lines", lambda x, i: F.transform(x["attached"], lambda a: F.struct(i.alias("turn"), a["part"].alias("part"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))))
@@ -165,11 +177,13 @@ def turns(formatted: Column) -> Column:
     """Read back: array of (role, parts), parts being (kind, text); a turn's first part is left out where it is an empty text
     before another."""
 
-    def turn(s: Column) -> Column:
-        name, content = F.regexp_extract(s, rf"(?s)^{TURN}([^>]*)>", 1), F.regexp_extract(s, rf"(?s)^{TURN}[^>]*>(.*)$", 1)
+    def parts_of(content: Column) -> Column:
         marks = F.concat(F.array(F.lit("text")), F.regexp_extract_all(content, F.lit(rf"{PART}(\w*)>"), 1))
-        made = F.arrays_zip(marks.alias("kind"), F.transform(F.split(content, rf"{PART}\w*>"), unescaped).alias("text"))
-        kept = F.filter(made, lambda p, i: (i > 0) | (p["text"] != "") | (F.size(made) == 1))
+        return F.arrays_zip(marks.alias("kind"), F.transform(F.split(content, rf"{PART}\w*>"), unescaped).alias("text"))
+
+    def turn(s: Column) -> Column:
+        name, made = F.regexp_extract(s, rf"(?s)^{TURN}([^>]*)>", 1), parts_of(F.regexp_extract(s, rf"(?s)^{TURN}[^>]*>(.*)$", 1))
+        kept = once(made, lambda m: F.filter(m, lambda p, i: (i > 0) | (p["text"] != "") | (F.size(m) == 1)))
         return F.struct(_role_out(name).alias("role"), kept.alias("parts"))
 
     return F.transform(_turn_strings(formatted), turn)
@@ -188,5 +202,4 @@ def texts(formatted: Column) -> Column:
 def under_loss(formatted: Column, loss: Column) -> Column:
     """Read back: the texts under the loss mask, in order, unescaped. They are found by turn and offset, so that a long
     conversation isn't walked through from its start for each."""
-    strings = F.transform(F.array(_turn_strings(formatted)), lambda s: F.transform(loss, lambda x: unescaped(F.substring(F.element_at(s, x["turn"] + 1), x["offset"] + 1, x["length"]))))
-    return F.element_at(strings, 1)
+    return once(_turn_strings(formatted), lambda s: F.transform(loss, lambda x: unescaped(F.substring(F.element_at(s, x["turn"] + 1), x["offset"] + 1, x["length"]))))

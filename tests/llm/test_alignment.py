@@ -70,7 +70,7 @@ def plain_alignment(tools, text):
 def test_bytes(tools):
     _, _, a_bytes, b_bytes = tools
     made = alignment.Aligner(open(alignment.BYTE_LEVEL, "rb").read(), open(alignment.PIECES, "rb").read())
-    assert made.by_words and all(made.a_bytes[i] == t for i, t in a_bytes.items()) and len(a_bytes) == 50_256
+    assert made.by_words and all(made.a_bytes[i] == t for i, t in a_bytes.items()) and len(a_bytes) == 50_256 - 13  # bytes that no text has
     assert all(made.b_bytes[i] == t for i, t in b_bytes.items()) and min(map(len, made.b_bytes)) > 0
 
 
