@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -21,8 +23,9 @@ MOST_BYTES = 16 << 20
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, bounds: tuple[int, int], key: str = "doc_id", text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
     """(text, label, _h) of labelled rows that aren't held out: of label 0 at most bounds[0], of label 1 at most
-    bounds[1], those with the smallest key hashes _h, and of each label no more than come before its texts exceed
-    most_bytes. So both the rows and their bytes are bounded whatever the tables hold.
+    bounds[1], those with the smallest key hashes _h. In that order a text is taken if it fits in what is left of most_bytes,
+    which each label has; one that doesn't is passed over, and those after it are tried. So both the rows and their bytes are
+    bounded whatever the tables hold. A label all of whose texts are longer than most_bytes has no rows, and is logged.
 
     The keys of the sample are sent to all tasks. Labels that are null or neither 0 nor 1 are left out; of repeated labels
     of a key the larger holds, of a key's documents the one whose text has the smallest hash. A key without a document
@@ -34,9 +37,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bounds: tuple[
     texts = docs.select(F.col(key).alias("_k2"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(parts[0].unionByName(parts[1])), F.col("_k2") == F.col("_k"))
     found = cut(found.groupBy("_k", "label", "_h").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
-    before = Window.partitionBy("label").orderBy("_h", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = found.select("_k", F.sum(F.octet_length("text")).over(before).alias("_b"))  # a few thousand narrow rows
-    return found.join(F.broadcast(sizes.where(F.col("_b") <= most_bytes).select(F.col("_k").alias("_k3"))), F.col("_k") == F.col("_k3")).select("text", "label", "_h")
+    sizes = found.select("label", "_h", F.octet_length("text").alias("size")).collect()  # a few thousand rows of three numbers
+    left, kept = dict.fromkeys((0, 1), most_bytes), []
+    for x in sorted(sizes):
+        if x["size"] <= left[x["label"]]:
+            left[x["label"]] -= x["size"]
+            kept.append(x["_h"])
+    for value in {x["label"] for x in sizes} - {x["label"] for x in sizes if x["_h"] in set(kept)}:
+        logging.getLogger(__name__).warning("nothing to learn from: each text labelled %s = %d has more than %d bytes", label, value, most_bytes)
+    return found.where(F.col("_h").isin(kept)).select("text", "label", "_h")
 
 
 def share_of(labels: DataFrame, label: str, key: str = "doc_id") -> float | None:

@@ -9,7 +9,7 @@ coordinate descent. n-grams are hashed to a fixed number of features.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -69,6 +69,10 @@ class Model(NamedTuple):
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(found) + self.offset, -35, 35))))
 
 
+#: Bytes of the texts of each label that the model learns from.
+MOST_BYTES = 12 << 20
+
+
 def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     """For each feature the log of its share among the features of label 1 over that of label 0."""
     counts = np.full((2, DIM), smooth)
@@ -77,7 +81,22 @@ def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray, smooth: float =
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 20, seed: int = 5) -> tuple[np.ndarray, float]:
+class Scaled(Sequence):
+    """The ratios of each row's features, scaled to length 1. Made when they are read: kept, they would take twice the
+    memory of the features."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray) -> None:
+        self.rows, self.ratio = rows, ratio
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        v = self.ratio[self.rows[i]]
+        return v / max(np.sqrt(v @ v), 1e-12)
+
+
+def dual_coordinate_descent(rows: list[np.ndarray], values: Sequence[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 20, seed: int = 5) -> tuple[np.ndarray, float]:
     """(w, b) with the least |w|^2 / 2 + b^2 / 2 + cost * sum of hinge losses. One dual variable is solved for at a
     time, in a new random order each epoch; stops when no variable moves by much."""
     y = np.where(labels == 1, 1.0, -1.0)
@@ -109,11 +128,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float | None = None,
 
     def plain(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         ratio = log_count_ratio([rows[i] for i in at], labels[at])
-        values = []
-        for i in at:
-            v = ratio[rows[i]]
-            values.append(v / max(np.sqrt(v @ v), 1e-12))
-        w, b = dual_coordinate_descent([rows[i] for i in at], values, labels[at], cost)
+        seen = [rows[i] for i in at]
+        w, b = dual_coordinate_descent(seen, Scaled(seen, ratio), labels[at], cost)
         return w * ratio, ratio**2, b
 
     everything = np.arange(len(rows))
@@ -132,16 +148,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, share: float | None = None,
     return Model(*plain(everything), slope, float(offset + prior - np.log(own / (1 - own))))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 4000, key: str = "doc_id", text: str = "text") -> Model:
-    """Fits the model on at most `bound` labelled rows, half of each label, and MOST_BYTES of their texts (see
-    training_rows); their features come to the driver, 4 bytes each, at most four for each byte of text. The share of label 1 is counted over all labels that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = 4000, key: str = "doc_id", text: str = "text", most_bytes: int = MOST_BYTES) -> Model:
+    """Fits the model on at most `bound` labelled rows, half of each label, and most_bytes of the texts of each label (see
+    training_rows); their features come to the driver, 4 bytes each, at most four for each byte of text, so no more than 32
+    times most_bytes (384 MB) whatever the texts are. The share of label 1 is counted over all labels that aren't held out."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), batch.column(2)], ["found", "label", "_h"])
 
-    sample = training_rows(docs, labels, label, (bound // 2, bound - bound // 2), key, text).mapInArrow(found, "found binary, label int, _h bigint").toArrow()
+    sample = training_rows(docs, labels, label, (bound // 2, bound - bound // 2), key, text, most_bytes).mapInArrow(found, "found binary, label int, _h bigint").toArrow()
     order = np.lexsort((np.array([len(v) for v in sample["found"].to_pylist()], np.int64), sample["_h"].to_numpy()))
     rows = [np.frombuffer(v, np.int32) for v in sample.column("found").to_pylist()]
     y = sample["label"].to_numpy()
@@ -149,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     return fit([rows[i] for i in order], y[order], share)
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, bound: int = 4000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, bound: int = 4000, key: str = "doc_id", text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
     """Scores every whole text by its n-grams alone.
 
     Returns key, held_out (the row's label, if any, wasn't learnt from), score (0 to 1; higher: label 1 likelier) and
@@ -157,7 +174,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     the bias. Equal texts get equal scores. Without labels of both kinds all scores are equal. Other columns aren't
     read.
     """
-    model = train(docs, labels, label, bound, key, text)
+    model = train(docs, labels, label, bound, key, text, most_bytes)
     held = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: two vectors of DIM numbers
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +189,10 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, bound: int = 4000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, bound: int = 4000, key: str = "doc_id", text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
     """The documents, all columns, without those that classify() gives 0. Scores go along with the rows, so no join
     is needed, and the key need not be unique."""
-    model = train(docs, labels, label, bound, key, text)
+    model = train(docs, labels, label, bound, key, text, most_bytes)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text)

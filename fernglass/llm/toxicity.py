@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .labelled import held_out, logistic, share_of, training_rows
+from .labelled import MOST_BYTES, held_out, logistic, share_of, training_rows
 
 #: The lengths of the grams that are looked at: short ones for words of their own, long ones for words that are odd only
 #: as a whole.
@@ -207,22 +207,22 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None) -> Model:
     return Model(toxic, ordinary, weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bounds: tuple[int, int] = (3600, 1800), key: str = "doc_id", text: str = "text") -> Model:
-    """Fits the model on at most bounds[0] ordinary and bounds[1] toxic labelled rows and MOST_BYTES of their
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bounds: tuple[int, int] = (3600, 1800), key: str = "doc_id", text: str = "text", most_bytes: int = MOST_BYTES) -> Model:
+    """Fits the model on at most bounds[0] ordinary and bounds[1] toxic labelled rows and most_bytes of their
     texts of each label (see training_rows), which come to the driver. The share of toxic texts is counted over all labels that aren't held out."""
-    sample = training_rows(docs, labels, label, bounds, key, text).toArrow()
+    sample = training_rows(docs, labels, label, bounds, key, text, most_bytes).toArrow()
     rows = sorted(zip(sample["_h"].to_pylist(), sample["text"].to_pylist(), sample["label"].to_pylist(), strict=True))
     return fit([t for _, t, _ in rows], np.array([y for _, _, y in rows], int), share_of(labels, label, key))
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.3, bounds: tuple[int, int] = (3600, 1800), key: str = "doc_id", text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.3, bounds: tuple[int, int] = (3600, 1800), key: str = "doc_id", text: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
     """Scores every whole text by the gains of its windows alone.
 
     Returns key, held_out (the row's label, if any, wasn't learnt from), score (0 to 1; higher: toxic likelier) and
     predicted (1 if score >= threshold, else 0). A null text counts as empty: one empty window that gains nothing. Equal
     texts get equal scores. Without labels of both kinds all scores are equal. Other columns aren't read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, bounds, key, text))  # two dictionaries of fixed size
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, bounds, key, text, most_bytes))  # two dictionaries of fixed size
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value

@@ -1,11 +1,13 @@
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fernglass.llm import labelled, line_templates, ngram_join, quality, shingles, toxicity
 
@@ -423,11 +425,42 @@ def test_training_rows_are_bounded(spark, documents):
     few = labelled.training_rows(docs, labels, "quality", (100, 100), most_bytes=90).collect()
     for y in (0, 1):
         queue = [r.text for r in sorted(everything, key=lambda r: r._h) if r.label == y]
-        fits = [t for n, t in enumerate(queue) if sum(map(len, queue[: n + 1])) <= 90]
+        left, fits = 90, []
+        for t in queue:
+            if len(t) <= left:
+                left -= len(t)
+                fits.append(t)
         assert sorted(r.text for r in few if r.label == y) == sorted(fits)
     assert labelled.training_rows(documents([]), labels, "quality", (5, 5)).count() == 0
 
 
+def test_training_passes_over_long_texts(spark, documents, caplog):
+    """However long the first text of each label is, the others are learnt from; if all are too long, that is logged."""
+    docs = documents([(i, ("good words here " if i % 2 else "bad stuff there ") * 4 + str(i)) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    rows = sorted(labelled.training_rows(docs, labels, "quality", (99, 99)).collect(), key=lambda r: r._h)
+    first = {y: next(r.text for r in rows if r.label == y) for y in (0, 1)}
+    long = docs.withColumn("text", F.when(F.col("text").isin(*first.values()), F.repeat("text", F.lit(50))).otherwise(F.col("text")))
+    got = labelled.training_rows(long, labels, "quality", (99, 99), most_bytes=2_500).collect()
+    assert len(got) == len(rows) - 2 and {r.label for r in got} == {0, 1}
+    scores = {r.doc_id: r.score for r in quality.classify(long, labels, most_bytes=2_500).collect()}
+    assert min(scores[i] for i in range(1, 60, 2)) > max(scores[i] for i in range(0, 60, 2))
+    assert labelled.training_rows(docs, labels, "quality", (99, 99), most_bytes=10).count() == 0 and "nothing to learn from" in caplog.text
+
+
+def test_memory_of_training():
+    """4,000 texts of as many features as the bound allows: the descent keeps nothing of their size beside them."""
+    random = np.random.default_rng(1)
+    rows = [np.unique(random.integers(0, quality.DIM, 2_000)).astype(np.int32) for _ in range(2_000)]
+    held = sum(r.nbytes for r in rows)
+    labels = np.arange(len(rows)) % 2
+    tracemalloc.start()
+    quality.dual_coordinate_descent(rows, quality.Scaled(rows, quality.log_count_ratio(rows, labels)), labels, epochs=2)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < held / 2 and 32 * quality.MOST_BYTES < 500e6
+
+
 def test_keep_good(judged):
     docs, labels, quality_, _ = judged
     good = {r.doc_id: r.predicted for r in quality.classify(docs, labels).collect()}
