@@ -43,6 +43,12 @@ def scratch(spark: SparkSession) -> tuple[str, Callable[[], None]]:
     return path, lambda: files.delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """df as a Parquet table in the shared folder, and what deletes it. Unlike a checkpoint it has the size of its files as
     statistics; those of checkpoints multiply from join to join, which loops can't bear."""

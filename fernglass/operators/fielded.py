@@ -50,7 +50,7 @@ class FieldIndex:
         """mode 'append' adds documents to those that are there, 'overwrite' replaces them. A document that is appended
         again counts again."""
         for name in self.TABLES:
-            write_table(getattr(self, name), f"{path}/{name}", "term" if name in ("postings", "df") else None, mode)
+            write_table(getattr(self, name), f"{path}/{name}", ("term",) if name in ("postings", "df") else (), mode)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FieldIndex:

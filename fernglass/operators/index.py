@@ -8,15 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernglass.functions.text import join_full, tokenize
-from fernglass.functions.weights import idf_probabilistic, idf_standard, log_tf
+from fernglass.functions.storage import exists
+from fernglass.functions.weights import PROBABILISTIC, STANDARD, idf_probabilistic, idf_standard, log_tf
 from fernglass.sources.readers import PLAYER
 from fernglass.sources.writers import write_json, write_table
 
+from .topk import blocks
+
 
 @dataclass(frozen=True)
 class Index:
     """docs(doc_id, ...), tf(doc_id, term, tf), df(term, df), weights(doc_id, term, tf, df, w_standard, w_probabilistic),
-    norms(doc_id, n_standard, n_probabilistic), size(n): one row, the number of documents."""
+    norms(doc_id, n_standard, n_probabilistic), size(n): one row, the number of documents. What searches for the best alone
+    use, and an index may lack: unit(term, block, doc_id, u_standard, u_probabilistic), weights over norms, and impacts(term,
+    block, top_standard, top_probabilistic), their maxima in each block of documents."""
 
     docs: DataFrame
     tf: DataFrame
@@ -24,18 +29,21 @@ class Index:
     weights: DataFrame
     norms: DataFrame
     size: DataFrame
+    unit: DataFrame | None = None
+    impacts: DataFrame | None = None
 
     TABLES = ("docs", "tf", "df", "weights", "norms", "size")
 
     def save(self, path: str, mode: str = "overwrite") -> None:
         """Each table as Parquet; those with terms sorted by term, so that a search reads few row groups."""
         for name in self.TABLES:
-            write_table(getattr(self, name), f"{path}/{name}", "term" if name in ("tf", "df", "weights") else None, mode)
+            write_table(getattr(self, name), f"{path}/{name}", ("term",) if name in ("tf", "df", "weights") else (), mode)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        """A missing table raises."""
-        return cls(*[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES])
+        """A missing table raises, but unit and impacts, which an index may lack."""
+        more = [spark.read.parquet(f"{path}/{name}") if exists(spark, f"{path}/{name}") else None for name in ("unit", "impacts")]
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES], *more)
 
     def export_json(self, path: str, mode: str = "overwrite") -> None:
         """The index as folders of JSON lines for other programs: a line for each document or term. Lists grow with their
@@ -104,6 +112,18 @@ def vector_norms(weights: DataFrame) -> DataFrame:
     return weights.groupBy("doc_id").agg(length("w_standard").alias("n_standard"), length("w_probabilistic").alias("n_probabilistic"))
 
 
+def unit_weights(weights: DataFrame, norms: DataFrame) -> DataFrame:
+    """(term, block, doc_id, u_standard, u_probabilistic): weights over the lengths of their vectors, so that a cosine is a sum
+    over terms; null where a vector has no length. Documents of like length share blocks."""
+    joined = weights.join(norms.join(blocks(norms, F.col(f"n_{STANDARD}")), "doc_id"), "doc_id")
+    return joined.select("term", "block", "doc_id", *[(F.col(f"w_{m}") / F.nullif(F.col(f"n_{m}"), F.lit(0.0))).alias(f"u_{m}") for m in (STANDARD, PROBABILISTIC)])
+
+
+def block_maxima(unit: DataFrame) -> DataFrame:
+    """(term, block, top_standard, top_probabilistic): the largest magnitude of each. A term's weights have one sign."""
+    return unit.groupBy("term", "block").agg(*[F.max(F.abs(F.col(f"u_{m}"))).alias(f"top_{m}") for m in (STANDARD, PROBABILISTIC)])
+
+
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[Column] | None = None) -> Index:
     """The index of the documents. keep: columns of docs that results show. tf is used by three tables; save() and load()
     an index that is searched more than once."""
@@ -114,12 +134,13 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[C
     return Index(docs.select(F.col(key).alias("doc_id"), *(keep or [])), tf, df, weights, vector_norms(weights), size)
 
 
-def build_saved(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: list[Column] | None = None, mode: str = "overwrite") -> Index:
+def build_saved(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: list[Column] | None = None, mode: str = "overwrite", by_block: bool = False) -> Index:
     """Builds the index in the folder, table by table, each from those that are saved already, and loads it. So documents
-    are tokenised once, where save() of a lazy index computes each table from them anew."""
+    are tokenised once, where save() of a lazy index computes each table from them anew. by_block: with unit and impacts, by
+    which searches for the best documents leave most others out (see topk)."""
     spark = docs.sparkSession
 
-    def saved(name: str, df: DataFrame, sort: str | None = None) -> DataFrame:
+    def saved(name: str, df: DataFrame, *sort: str) -> DataFrame:
         write_table(df, f"{path}/{name}", sort, mode)
         return spark.read.parquet(f"{path}/{name}")
 
@@ -127,5 +148,8 @@ def build_saved(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     size = saved("size", docs.agg(F.count("*").alias("n")))
     tf = saved("tf", term_frequencies(docs, key, text), "term")
     df = saved("df", document_frequencies(tf), "term")
-    saved("norms", vector_norms(saved("weights", term_weights(tf, df, size), "term")))
+    weights = saved("weights", term_weights(tf, df, size), "term")
+    norms = saved("norms", vector_norms(weights))
+    if by_block:
+        saved("impacts", block_maxima(saved("unit", unit_weights(weights, norms), "term", "block")), "term", "block")
     return Index.load(spark, path)

@@ -11,6 +11,7 @@ from fernglass.functions.text import tokenize
 from fernglass.functions.weights import PROBABILISTIC, STANDARD, idf_probabilistic, idf_standard, log_tf
 
 from .index import Index
+from .topk import Passes, passes
 
 #: Scores are rounded to this many digits before they rank, so that copies tie whatever the order of summing.
 DIGITS = 6
@@ -51,13 +52,28 @@ def search(index: Index, query: str, k: int = 10, idf: str = STANDARD) -> DataFr
     return score(one, index, idf).select("doc_id", "score").orderBy(F.col("score").desc(), "doc_id").limit(k)
 
 
-def search_batch(queries: DataFrame, index: Index, k: int = 10, idf: str = STANDARD, key: str = "query_id", text: str = "query") -> DataFrame:
-    """(query_id, rank, doc_id, score): the k best documents of each query."""
+def search_batch(queries: DataFrame, index: Index, k: int = 10, idf: str = STANDARD, key: str = "query_id", text: str = "query", prune: bool = False) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k best documents of each query. prune leaves out what can't be among them (see
+    topk), on an index with blocks: it reads and scores less, in more and smaller steps, which pays where terms have many
+    more documents than blocks. Both ways give the same rows."""
+    if prune:
+        return best_passes(queries, index, k, idf, key, text).best
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     ranked = score(queries, index, idf, key, text).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
+def best_passes(queries: DataFrame, index: Index, k: int, idf: str = STANDARD, key: str = "query_id", text: str = "query") -> Passes:
+    """The passes of a search for the k best. A weight is the product of a count's and a term's, the same in query and document,
+    so magnitudes multiply to what the weights do."""
+    method = idf_method(idf)
+    vectors = query_vectors(queries, index, method, key, text).where("q_norm > 0")
+    terms = vectors.select("query_id", "term", F.abs(F.col("q") / F.col("q_norm")).alias("q"))
+    impacts = index.impacts.select("term", "block", F.col(f"top_{method}").alias("top")).where("top is not null")
+    postings = index.unit.select("term", "block", "doc_id", F.abs(F.col(f"u_{method}")).alias("u")).where("u is not null")
+    return passes(terms, impacts, postings, k, ("term",), DIGITS)
+
+
 def total_hits(index: Index, query: str, idf: str = STANDARD) -> DataFrame:
     """(total): how many documents score() gives, exactly."""
     one = index.size.select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))

@@ -42,20 +42,47 @@ def merged(left: Column, right: Column | None = None, na_as_null: bool = False)
     return F.coalesce(*parts, F.lit(NOT_FOUND))
 
 
+def full_join(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """(first, second): structs of the rows of both sides that agree in the keys, null beside a row without a partner. Keys
+    are columns of both; nulls match nothing.
+
+    A full outer join can't split a key: all its rows are one task. So rows with a null key, which need no partner looked for,
+    go round the join; those with a partner are an inner join, and those without are found by anti joins with the other side's
+    keys. Adaptive execution splits a frequent key in all three, on either side.
+    """
+    whole = [df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")) for df in (first, second)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    has = F.lit(True)
+    for n in names:
+        has &= F.col(n).isNotNull()
+    a, b = (df.where(has) for df in whole)
+    kinds = [df.schema["_row"].dataType for df in whole]
+    none = [F.lit(None).cast(kind) for kind in kinds]
+    both = a.withColumnRenamed("_row", "first").join(b.withColumnRenamed("_row", "second"), names).select("first", "second")
+    # the other side's keys, a few of each at most; dealt by more than the key, so that the join has a shuffle of its own to split
+    few = lambda df: df.select(*names, (F.spark_partition_id() % 8).alias("_s")).distinct().select(*names)
+    left, right = (x.join(few(y), names, "left_anti").select("_row") for x, y in ((a, b), (b, a)))
+    lone = [df.where(~has).select("_row").unionAll(rest) for df, rest in zip(whole, (left, right), strict=True)]
+    out = both.unionAll(lone[0].select(F.col("_row").alias("first"), none[1].alias("second")))
+    return out.unionAll(lone[1].select(none[0].alias("first"), F.col("_row").alias("second")))
+
+
 def merge_players(first: DataFrame, second: DataFrame, na_as_null: bool = False, sort: bool = True) -> DataFrame:
     """The full outer join of two sources by name and year of birth, 16 strings without nulls, sorted by Player.
 
-    Many rows may match many. Null keys match nothing; 'N/A' years match each other unless na_as_null. One sort-merge
-    join on both keys; AQE sizes its partitions.
+    Many rows may match many. Null keys match nothing; 'N/A' years match each other unless na_as_null. Neither many rows
+    without a key nor many of one key gather in one task, nor do they in the sort, which goes on by a hash where names
+    are equal.
     """
     a = all_strings(first).withColumn("_key", name_key(F.col("Player")))
     b = all_strings(second)
     b = b.withColumns({"_key": name_key(F.col("player_name")), "Height": height(F.col("height_ft"), F.col("height_in"))}).withColumnsRenamed(RENAMED | {"player_name": "Player"})
-    year = [F.when(~is_missing(d["BornYear"]), d["BornYear"]) if na_as_null else d["BornYear"] for d in (a, b)]
-    joined = a.join(b, (a["_key"] == b["_key"]) & (year[0] == year[1]), "outer")
-    value = {c: merged(a[c], b[c], na_as_null) for c in SHARED} | {c: merged(a[c]) for c in FIRST} | {k: merged(b[c]) for k, c in SECOND.items()}
+    year = F.when(~is_missing(F.col("BornYear")), F.col("BornYear")) if na_as_null else F.col("BornYear")
+    joined = full_join(a.withColumn("_year", year), b.withColumn("_year", year), ["_key", "_year"])
+    x, y = F.col("first"), F.col("second")
+    value = {c: merged(x[c], y[c], na_as_null) for c in SHARED} | {c: merged(x[c]) for c in FIRST} | {k: merged(y[c]) for k, c in SECOND.items()}
     out = joined.select(*[value[c].alias(c) for c in MERGED])
-    return out.orderBy("Player") if sort else out
+    return out.orderBy("Player", F.xxhash64(*MERGED)) if sort else out
 
 
 def blanks_to_na(df: DataFrame, columns: list[str]) -> DataFrame:

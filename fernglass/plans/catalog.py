@@ -61,7 +61,7 @@ def _saved_index(spark: SparkSession, d: str) -> index.Index:
     at = (spark.sparkContext.applicationId, d)
     if at not in _SAVED:
         path, _ = scratch(spark)
-        index.build_saved(table(spark, d, "documents"), path, keep=[F.col("lang"), F.col("source")])
+        index.build_saved(table(spark, d, "documents"), path, keep=[F.col("lang"), F.col("source")], by_block=True)
         _SAVED[at] = path
     return index.Index.load(spark, _SAVED[at])
 
@@ -154,6 +154,13 @@ def ranked_batch(spark: SparkSession, d: str) -> DataFrame:
     return ranked.search_batch(table(spark, d, "benchmark"), _saved_index(spark, d), 10, key="item_id", text="text").select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
 
 
+@query
+def ranked_batch_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The same by blocks, leaving out what can't be among the best."""
+    found = ranked.search_batch(table(spark, d, "benchmark"), _saved_index(spark, d), 10, key="item_id", text="text", prune=True)
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
+
+
 @query
 def ranked_empty(spark: SparkSession, d: str) -> DataFrame:
     return ranked.search(_saved_index(spark, d), "?!", 10)

@@ -161,7 +161,7 @@ ORACLES = {
     "player_documents": f"select doc_id, concat_ws(' ', {_TEXT_ORDER}) as text, Player as name, CurrentTeam as team, BornYear as born from ({_PLAYER_ROWS})",
     "ranked_standard": _ranked("standard"),
     "ranked_probabilistic": _ranked("probabilistic"),
-    "ranked_batch": f"{_scores('standard', 'select item_id as query_id, text as query from benchmark')} select * from (select query_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, doc_id, score from scores) where rank <= 10",
+    **dict.fromkeys(("ranked_batch", "ranked_batch_pruned"), f"{_scores('standard', 'select item_id as query_id, text as query from benchmark')} select * from (select query_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, doc_id, score from scores) where rank <= 10"),
     "ranked_empty": "select doc_id, 0.0::double as score from documents where false",
     "total_hits": _scores("standard", f"select 0 as query_id, '{RANKED_QUERY}' as query") + " select count(*) as total from scores",
     "boolean_and": f"select doc_id from documents where {_has('the')} and {_has('of')}",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,16 @@ def write_text(df: DataFrame, column: str, path: str, mode: str = "overwrite") -
     df.select(F.col(column).alias("value")).write.mode(mode).text(path)
 
 
-def write_table(df: DataFrame, path: str, sort: str | None = None, mode: str = "overwrite") -> None:
-    """Parquet; with sort, rows of a value lie together in one file, and files are sorted by it, so that reads skip row
-    groups. Dealt by hash: ranges would have to be sampled first, which computes df twice."""
-    (df.repartition(sort).sortWithinPartitions(sort) if sort else df).write.mode(mode).parquet(path)
+#: Rows of a file of a sorted table at most.
+FILE_ROWS = 4_000_000
+
+
+def write_table(df: DataFrame, path: str, sort: Sequence[str] = (), mode: str = "overwrite", file_rows: int = FILE_ROWS) -> None:
+    """Parquet; with sort, rows of a first value lie together, and files are sorted, so that reads skip row groups.
+
+    Rows are dealt by the hash of the first column and rebalanced: adaptive execution splits what is larger than its advisory
+    size, so a value that half of all rows have becomes several tasks, and files, each of them sorted. No file has more
+    than file_rows rows. Ranges would have to be sampled first, which computes df twice.
+    """
+    dealt = df.hint("rebalance", sort[0]).sortWithinPartitions(*sort) if sort else df
+    dealt.write.mode(mode).option("maxRecordsPerFile", file_rows).parquet(path)

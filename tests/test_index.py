@@ -88,3 +88,57 @@ def test_stream(spark, made, tmp_path):
     stream = index_stream.read_documents(spark, str(tmp_path / "in/*"), docs.schema)
     index_stream.append_documents(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert ranked.search(index_stream.load(spark, str(tmp_path / "out")), "x y z").collect() == ranked.search(made, "x y z").collect()
+
+
+def test_hot_term_is_split(spark, tmp_path):
+    """A term that half of all rows have is several tasks and files; a rare one is in one."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from fernglass.sources.writers import write_table
+
+    n = 200_000
+    term = F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 4 == 1, "warm").otherwise(F.concat(F.lit("t"), (F.col("id") % 5_000).cast("string")))
+    rows = spark.range(0, n, 1, 8).select(F.col("id").alias("doc_id"), term.alias("term"), F.md5(F.col("id").cast("string")).alias("pad"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        write_table(rows, str(tmp_path / "split"), ["term", "doc_id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    write_table(rows, str(tmp_path / "cut"), ["term"], file_rows=30_000)
+    for name, most in (("split", n // 4), ("cut", 30_000)):
+        files = [pq.read_metadata(f) for f in (tmp_path / name).glob("*.parquet")]
+        assert max(f.num_rows for f in files) <= most and sum(f.num_rows for f in files) == n
+        assert spark.read.parquet(str(tmp_path / name)).exceptAll(rows).isEmpty()
+    tables = [pq.read_table(f) for f in (tmp_path / "split").glob("*.parquet")]
+    for t in tables:
+        keys = list(zip(t["term"].to_pylist(), t["doc_id"].to_pylist(), strict=True))
+        assert keys == sorted(keys)
+    assert sum("hot" in t["term"].to_pylist() for t in tables) > 1
+
+
+@pytest.mark.parametrize("idf", ["standard", "probabilistic"])
+def test_best_without_scoring_all(spark, tmp_path, idf):
+    """By blocks: the rows of scoring everything, and fewer than half of the pairs scored, even in part."""
+    docs, queries = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    made = index.build_saved(docs, str(tmp_path), by_block=True)
+    args = {"key": "item_id", "text": "text", "idf": idf}
+    row = lambda r: (r.query_id, r["rank"], r.doc_id, r.score)
+    for k in (1, 10):
+        assert sorted(map(row, ranked.search_batch(queries, made, k, prune=True, **args).collect())) == sorted(map(row, ranked.search_batch(queries, made, k, **args).collect()))
+    done = ranked.best_passes(queries, made, 10, idf, "item_id", "text")
+    scored = done.seeds.select("query_id", "doc_id").union(done.found.select("query_id", "doc_id")).distinct().count()
+    assert scored < 0.5 * ranked.score(queries, made, **args).count()
+
+
+def test_best_edges(spark, tmp_path):
+    """Ties, copies, unknown terms, empty queries, terms in all documents, documents without a vector."""
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice("a b c d e f common rare".split()) for _ in range(rnd.randint(0, 9))) + " every") for i in range(300)] + [(400, None), (401, ""), (402, "every"), (403, "a b"), (404, "a b")]
+    made = index.build_saved(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path), by_block=True)
+    queries = spark.createDataFrame([(1, "a b"), (2, "rare every"), (3, "nothing"), (4, ""), (5, None), (6, "every"), (7, "a a a f")], "query_id long, query string")
+    row = lambda r: (r.query_id, r["rank"], r.doc_id, r.score)
+    for k in (3, 50, 500):
+        assert sorted(map(row, ranked.search_batch(queries, made, k, prune=True).collect())) == sorted(map(row, ranked.search_batch(queries, made, k).collect()))

@@ -1,3 +1,7 @@
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
 from fernglass.operators import records
 from fernglass.sources import readers, writers
 
@@ -44,3 +48,48 @@ def test_csv_round_trip(spark, tmp_path):
 def test_row_numbers(spark):
     df = spark.range(0, 50, numPartitions=5).selectExpr("50 - id as k")
     assert [r.doc_id for r in readers.numbered(df, ["k"]).orderBy("k").collect()] == list(range(1, 51))
+
+
+HOT = {
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+@pytest.fixture
+def hot(spark):
+    """A session in which a few kilobytes are a large partition."""
+    before = {k: spark.conf.get(k, None) for k in HOT}
+    for k, v in HOT.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("side", [0, 1])
+@pytest.mark.parametrize("common", [None, "Unknown", "alone"])
+def test_full_join_splits_hot_keys(hot, side, common, tmp_path):
+    """99 in 100 rows of one side without a name, or with one that the other side has once, or not at all."""
+    n = 40_000
+    many = hot.range(0, n, 1, 16).select(F.when(F.col("id") % 100 == 0, F.concat(F.lit("n"), "id")).otherwise(F.lit(common)).alias("k"), F.col("id").alias("x"), F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+    few = hot.range(300).select(F.when(F.col("id") == 7, "Unknown").otherwise(F.concat(F.lit("n"), F.col("id") * 100)).alias("k"), F.col("id").alias("y"))
+    pair = (many, few) if side == 0 else (few, many)
+    joined = records.full_join(*pair, ["k"])
+    old = pair[0].withColumnRenamed("k", "k1").join(pair[1].withColumnRenamed("k", "k2"), F.expr("k1 = k2"), "outer")
+    flat = joined.select("first.*", "second.*").toDF(*old.columns)
+    assert flat.exceptAll(old).isEmpty() and old.exceptAll(flat).isEmpty()
+    joined.write.parquet(str(tmp_path / "out"))  # a file for each task
+    sizes = [pq.read_metadata(f).num_rows for f in (tmp_path / "out").glob("*.parquet")]
+    assert sum(sizes) == old.count() and max(sizes) <= n / 5
+
+
+def test_full_join_edges(spark):
+    a = spark.createDataFrame([(1, "p"), (None, "q"), (1, "r"), (2, "s"), (1, "p")], "k int, a string")
+    b = spark.createDataFrame([(1, "t"), (None, "u"), (3, "v"), (1, "t")], "k int, a string")
+    rows = sorted(((r.first and tuple(r.first)), (r.second and tuple(r.second))) for r in records.full_join(a, b, ["k"]).collect() if r.first and r.second)
+    assert rows == sorted(((1, x), (1, "t")) for x in "prp" for _ in range(2))
+    lone = [(r.first or r.second) for r in records.full_join(a, b, ["k"]).collect() if not (r.first and r.second)]
+    assert sorted((r.k is None, r.k or 0, r.a) for r in lone) == [(False, 2, "s"), (False, 3, "v"), (True, 0, "q"), (True, 0, "u")]
+    none = a.where("false")
+    assert records.full_join(none, b, ["k"]).count() == 4 and records.full_join(a, none, ["k"]).count() == 5 and records.full_join(none, none, ["k"]).count() == 0
