@@ -11,13 +11,15 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernglass.functions.text import IDEOGRAPHS, STANDARD_TOKEN, WORD_CHARACTER, digits, first_full, join_full, standard_tokens
 from fernglass.functions.weights import bm25_idf, bm25_tf
 from fernglass.sources.writers import write_table
 
+from . import dictionary
+from .dictionary import Dictionary
 from .display import stored_fields
 
 # --- fixed values: fields, types, boosts ----------------------------------------------------------------------------
@@ -44,20 +46,27 @@ class FieldIndex:
     stats: DataFrame
     df: DataFrame
 
+    dictionary: Dictionary | None = None
+
     TABLES = ("docs", "postings", "stats", "df")
 
     def save(self, path: str, mode: str = "overwrite") -> None:
         """mode 'append' adds documents to those that are there, 'overwrite' replaces them. A document that is appended
-        again counts again."""
+        again counts again. The dictionary, from which patterns are looked up, is that of the terms of this part."""
         for name in self.TABLES:
             write_table(getattr(self, name), f"{path}/{name}", ("term",) if name in ("postings", "df") else (), mode)
+        words = dictionary.make(self.df)
+        write_table(words.grams, f"{path}/grams", ("gram", "term"), mode)
+        write_table(words.deletions, f"{path}/deletions", ("variant", "term"), mode)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FieldIndex:
         """The index over all parts that were saved there; a missing table raises."""
         docs, postings, stats, df = (spark.read.parquet(f"{path}/{name}") for name in cls.TABLES)
         stats = stats.groupBy("field").agg(F.sum("n").alias("n"), F.sum("total_len").alias("total_len"))
-        return cls(docs, postings, stats, df.groupBy("field", "term").agg(F.sum("df").alias("df")))
+        # a term of two parts is in both dictionaries
+        words = Dictionary(*[spark.read.parquet(f"{path}/{name}").distinct() for name in ("grams", "deletions")])
+        return cls(docs, postings, stats, df.groupBy("field", "term").agg(F.sum("df").alias("df")), words)
 
     def statistics(self) -> DataFrame:
         """(field, n, mean_len)."""
@@ -100,7 +109,7 @@ def build(docs: DataFrame, text_fields: list[str], string_fields: list[str] | No
 
 @dataclass
 class Leaf:
-    """What is looked up. kind: term, phrase, prefix, wildcard, fuzzy, range or exact."""
+    """What is looked up. kind: term, phrase, prefix, wildcard, fuzzy, regex, range, exact or all."""
 
     kind: str
     value: str
@@ -122,7 +131,7 @@ class Group:
 Node = Leaf | Group
 
 _LEX = re.compile(r"""\s*(?:(?P<op>AND\b|OR\b|NOT\b|&&|\|\||!)|(?P<sign>[+\-])(?=\S)|(?P<open>\()|(?P<close>\))(?:\^(?P<gboost>[0-9.]+))?
-    |(?P<field>\w+):(?=\S)|"(?P<phrase>[^"]*)"(?:~(?P<slop>\d+))?|(?P<from>[\[{])(?P<low>\S+)\s+TO\s+(?P<high>[^\s\]}]+)(?P<to>[\]}])
+    |(?P<all>\*:\*)|(?P<field>\w+):(?=\S)|/(?P<regex>(?:\\.|[^/\\])+)/|"(?P<phrase>[^"]*)"(?:~(?P<slop>\d+))?|(?P<from>[\[{])(?P<low>\S+)\s+TO\s+(?P<high>[^\s\]}]+)(?P<to>[\]}])
     |(?P<word>(?:\\.|[^\s()"\[\]{}^~:\\])+)(?P<fuzzy>~(?P<edits>[012])?)?)(?:\^(?P<boost>[0-9.]+))?""", re.VERBOSE)
 
 
@@ -131,8 +140,8 @@ class QuerySyntaxError(ValueError):
 
 
 class _Parser:
-    """Terms (joined by OR), AND, OR, NOT, + and -, "phrases"~slop, prefix*, w?ldcards, fuzzy~, [a TO b], {a TO b} without the
-    ends, ^boost, field:, brackets and \\ escapes."""
+    """Terms (joined by OR), AND, OR, NOT, + and -, "phrases"~slop, prefix*, w?ldcards, fuzzy~, /regular expressions/ of whole
+    terms, [a TO b], {a TO b} without the ends, *:* for all documents, ^boost, field:, brackets and \\ escapes."""
 
     def __init__(self, text: str) -> None:
         self.tokens = []
@@ -183,6 +192,10 @@ class _Parser:
     @staticmethod
     def leaf(m: re.Match, own: str | None) -> Leaf:
         boost = float(m["boost"] or 1)
+        if m["all"]:
+            return Leaf("all", "", own, boost)
+        if m["regex"] is not None:
+            return Leaf("regex", m["regex"].replace("\\/", "/"), own, boost)
         if m["low"]:
             return Leaf("range", m["low"].lower(), own, boost, ends=(m["low"].lower(), m["high"].lower()), without_ends=(m["from"] == "{", m["to"] == "}"))
         if m["phrase"] is not None:
@@ -279,30 +292,76 @@ def _phrases(spots: list[Column], slop: int) -> Column:
     return F.aggregate(gaps, F.lit(0.0), lambda total, g: total + 1 / (1 + g))
 
 
-def _swapped(words: set[str]) -> set[str]:
-    """The words with two neighbouring characters the other way round."""
-    return {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for w in words for i in range(len(w) - 1)}
+#: Terms of a pattern that are looked up one by one at most; beyond, postings are tested. Best terms of a misspelling, by field.
+MOST_TERMS, FUZZY_TERMS = 1024, 50
+_PATTERNS = ("prefix", "wildcard", "fuzzy", "regex", "range")
+
+
+def _fits(leaf: Leaf) -> Column:
+    """Whether a term fits a pattern."""
+    term = F.col("term")
+    if leaf.kind == "prefix":
+        return term.startswith(leaf.value[:-1])
+    if leaf.kind == "wildcard":
+        return term.rlike("(?s)^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in leaf.value) + "$")
+    if leaf.kind == "regex":
+        return term.rlike(f"(?s)^(?:{leaf.value})$")
+    if leaf.kind == "fuzzy":
+        return dictionary.within(term, leaf.value, leaf.slop)
+    (low, high), (no_low, no_high) = leaf.ends, leaf.without_ends
+    above = F.lit(True) if low == "*" else term > low if no_low else term >= low
+    return above & (F.lit(True) if high == "*" else term < high if no_high else term <= high)
+
+
+def _leaves(node: Node | Exact) -> list[Leaf]:
+    if isinstance(node, Exact):
+        return []
+    return [node] if isinstance(node, Leaf) else [x for _, n in node.clauses for x in _leaves(n)]
+
+
+#: A term that a pattern stands for: field, term, df, and the edits away from it that it is.
+Found = tuple[str, str, int, int | None]
+
+
+def expand(index: FieldIndex, leaves: list[Leaf]) -> list[list[Found] | None]:
+    """The terms that each pattern stands for, by one job over the dictionary and the table df, before any posting is read.
+    None where there are more than MOST_TERMS: such a pattern is tested on postings. Of a misspelling's terms the
+    FUZZY_TERMS nearest of each field count, ties by term; nearness is 1 less the edits over the shorter length."""
+    parts = []
+    for i, leaf in enumerate(leaves):
+        terms, words = index.df.select("field", "term", "df"), None
+        if index.dictionary is not None and leaf.kind in ("wildcard", "fuzzy"):
+            words = index.dictionary.fitting(leaf.value) if leaf.kind == "wildcard" else index.dictionary.near(leaf.value)
+        if words is not None:
+            terms = terms.join(words, "term", "left_semi")
+        if leaf.field:
+            terms = terms.where(F.col("field") == leaf.field)
+        edits = dictionary.edits_between(F.col("term"), leaf.value, leaf.slop) if leaf.kind == "fuzzy" else F.lit(None).cast("int")
+        found = terms.where(_fits(leaf)).select(F.lit(i).alias("leaf"), "field", "term", "df", edits.alias("edits"))
+        if leaf.kind == "fuzzy":
+            order = Window.partitionBy("field").orderBy(_nearness(F.col("edits"), F.length("term"), len(leaf.value)).desc(), "term")
+            found = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= FUZZY_TERMS).drop("_n")
+        else:
+            found = found.limit(MOST_TERMS + 1)
+        parts.append(found)
+    rows = reduce(lambda a, b: a.unionAll(b), parts).collect() if parts else []  # bounded for each pattern
+    out: list[list[Found] | None] = [[] for _ in leaves]
+    for r in rows:
+        out[r.leaf].append((r.field, r.term, r.df, r.edits))
+    return [None if leaf.kind != "fuzzy" and len(x) > MOST_TERMS else sorted(x) for leaf, x in zip(leaves, out, strict=True)]
 
 
-def _within(term: Column, value: str, edits: int) -> Column:
-    """Whether so many edits make one of the other; two neighbours the other way round are one edit."""
-    tests, words = [], {value}
-    for done in range(edits + 1):
-        if done < edits:
-            tests += [F.levenshtein(term, F.lit(w), edits - done) >= 0 for w in sorted(words)]
-        else:
-            tests.append(term.isin(sorted(words)))
-        words = _swapped(words)
-    near = reduce(lambda a, b: a | b, tests)
-    # lengths alone rule most terms out
-    return (F.abs(F.length(term) - len(value)) <= edits) & near
+def _nearness(edits, length, own: int):  # noqa: ANN001, ANN202
+    """Of a term of the length that is so many edits from a word of length own."""
+    return F.when(edits == 0, 1.0).otherwise(1 - edits / F.least(length, F.lit(own)))
 
 
 class _Lookup:
     """Collects leaves: which postings they need, and what a (document, field) row is aggregated to."""
 
-    def __init__(self, fields: dict[str, float]) -> None:
+    def __init__(self, fields: dict[str, float], found: list[tuple[Leaf, list[Found] | None]] | None = None) -> None:
         self.fields, self.needs, self.aggregates = fields, [], []
+        self.found = found or []
 
     def _add(self, test: Column, *aggregates: Column) -> list[Column]:
         self.needs.append(test)
@@ -340,20 +399,32 @@ class _Lookup:
             found = F.coalesce(_phrases(spots, leaf.slop), F.lit(0.0))
             fits = F.coalesce(reduce(lambda a, b: a & b, [p.isNotNull() for p in spots]) & (found > 0), F.lit(False))
             return fits, F.when(fits, reduce(lambda a, b: a + b, idfs) * bm25_tf(found, long_, mean_)).otherwise(0.0) * leaf.boost
-        if leaf.kind == "prefix":
-            test = term.startswith(leaf.value[:-1])
-        elif leaf.kind == "wildcard":
-            test = term.rlike("^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in leaf.value) + "$")
-        elif leaf.kind == "fuzzy":
-            test = _within(term, leaf.value, leaf.slop)
-        else:
-            (low, high), (no_low, no_high) = leaf.ends, leaf.without_ends
-            above = F.lit(True) if low == "*" else term > low if no_low else term >= low
-            test = above & (F.lit(True) if high == "*" else term < high if no_high else term <= high)
+        if leaf.kind == "all":
+            return F.lit(True), F.lit(leaf.boost)
+        terms = next(x for known, x in self.found if known is leaf)
+        if leaf.kind == "fuzzy":
+            return self.misspelt(leaf, here, terms or [])
         # many terms may fit: they count alike
-        (hit,) = self._add(here & test, F.max(F.when(here & test, F.lit(1.0))))
+        test = here & (_fits(leaf) if terms is None else term.isin(sorted({t for _, t, _, _ in terms})) if terms else F.lit(False))
+        (hit,) = self._add(test, F.max(F.when(test, F.lit(1.0))))
         return hit.isNotNull(), F.coalesce(hit, F.lit(0.0)) * leaf.boost
 
+    def misspelt(self, leaf: Leaf, here: Column, terms: list[Found]) -> tuple[Column, Column]:
+        """Each term scores as if it were as frequent as the most frequent of its field, times its nearness; scores add up."""
+        if not terms:
+            return F.lit(False), F.lit(0.0)
+        spot = lambda field, t: F.concat(field, F.lit("\n"), t)
+        near, most = {}, {}
+        for field, t, df, edits in terms:
+            near[f"{field}\n{t}"] = 1.0 if edits == 0 else 1 - edits / min(len(t), len(leaf.value))
+            most[field] = max(df, most.get(field, 0))
+        literal = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
+        weight = F.element_at(literal(near), spot(F.col("field"), F.col("term")))
+        test = here & F.col("term").isin(sorted({t for _, t, _, _ in terms})) & spot(F.col("field"), F.col("term")).isin(sorted(near))
+        each = weight * bm25_idf(F.element_at(literal(most), F.col("field")), F.col("n")) * bm25_tf(F.col("tf"), F.col("len"), F.col("mean_len"))
+        (score,) = self._add(test, F.sum(F.when(test, each)))
+        return score.isNotNull(), F.coalesce(score, F.lit(0.0)) * leaf.boost
+
     def node(self, node: Node, own: str | None = None) -> tuple[Column, Column]:
         if isinstance(node, Leaf):
             return self.leaf(node, own)
@@ -374,7 +445,7 @@ class _Lookup:
 def _names_a_field(node: Group | Exact | Leaf) -> bool:
     if isinstance(node, Group):
         return any(_names_a_field(n) for _, n in node.clauses)
-    return isinstance(node, Leaf) and node.field is not None
+    return isinstance(node, Leaf) and (node.field is not None or node.kind == "all")
 
 
 def search_all(index: FieldIndex, query: str, fields: dict[str, float] | None = None, strict_and: bool = False) -> DataFrame:
@@ -388,21 +459,26 @@ def search_all(index: FieldIndex, query: str, fields: dict[str, float] | None =
         whole = plan(query, strict_and)
     except QuerySyntaxError:
         return none
-    lookup = _Lookup(fields)
     parts = [(kind, what) for kind, group in (("must", whole.must), ("should", whole.should), ("not", whole.without)) for what in group]
+    leaves = [x for _, what in parts for x in _leaves(what)]
+    patterns = [x for x in leaves if x.kind in _PATTERNS]
+    lookup = _Lookup(fields, list(zip(patterns, expand(index, patterns), strict=True)))
     # a side is tried in each search field; one that names fields looks at several at once, and needs them in one row
     wide = any(_names_a_field(what) for _, what in parts)
     sides = []
     for kind, what in parts:
         weights = [(None, 1.0)] if isinstance(what, Exact) or not wide else list(fields.items())
         sides.append((kind, what, [(weight, *lookup.side(what, own)) for own, weight in weights]))
-    if not lookup.needs:
+    everything = any(x.kind == "all" for x in leaves)
+    if not lookup.needs and not everything:
         return none
-    needs = reduce(lambda a, b: a | b, lookup.needs)
+    needs = reduce(lambda a, b: a | b, lookup.needs, F.lit(False))
     # the same terms alone are read on both sides
     known = index.postings.where(needs).join(index.df.where(needs), ["field", "term"]).join(F.broadcast(index.statistics()), "field")  # a row for each field
+    if everything:  # documents without a term that is looked for have a row, too
+        known = known.unionByName(index.docs.select("doc_id").distinct(), allowMissingColumns=True)
     if wide:
-        rows = known.groupBy("doc_id").agg(*lookup.aggregates)
+        rows = known.groupBy("doc_id").agg(*(lookup.aggregates or [F.count("*").alias("_a")]))
         columns = []
         for i, (_, _, tried) in enumerate(sides):
             columns.append(reduce(lambda a, b: a | b, [f for _, f, _ in tried]).alias(f"_f{i}"))

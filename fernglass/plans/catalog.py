@@ -501,11 +501,21 @@ def _fielded(text: str) -> Query:
 
 
 FIELDED = {"bm25_multifield": "small ring 13", "bm25_and": "red AND economy", "bm25_not": "small NOT economy", "bm25_and_not": "red AND bolt NOT economy", "exact_numeric": "21"}
-FIELDED |= {"bm25_range_exclusive": "p_name:{red TO ring}", "bm25_transposed": "smlal~1", "bm25_slop": 'p_name:"bolt red"~2'}
+FIELDED |= {"bm25_range_exclusive": "p_name:{gizmo TO red}", "bm25_transposed": "smlal~1", "bm25_slop": 'p_name:"bolt red"~2'}
 FIELDED |= {"bm25_prefix": "ec*", "bm25_wildcard": "b?lt", "bm25_fuzzy": "smoll~1", "bm25_range": "p_name:[rad TO ret]", "bm25_must": "+small -ring economy^2", "bm25_blank": "   "}
+FIELDED |= {"bm25_match_all": "*:* -small", "bm25_regex": "/(ri|bo)[a-z]{1,2}/", "bm25_infix": "*lat*", "bm25_fuzzy_score": "bolt~2"}
 QUERIES |= {name: _fielded(text) for name, text in FIELDED.items()}
 
 
+@query
+def bm25_by_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns on a saved index: their terms are read from its dictionary."""
+    path, _ = scratch(spark)
+    _part_index(spark, d).save(path)
+    found = fielded.search_all(fielded.FieldIndex.load(spark, path), "b?lt glod~2 wid*t", PART_FIELDS)
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query
 def append_index(spark: SparkSession, d: str) -> DataFrame:
     """An index saved in two parts, searched as one."""

@@ -113,6 +113,15 @@ def _like(test: str, where: str = "true") -> str:
     return f"{_BM} select doc_id, round(sum(boost), 6) as score from (select distinct doc_id, field, boost from ptf where {test} and {where}) group by doc_id"
 
 
+def _near(word: str, edits: int) -> str:
+    """Terms so many edits away score by BM25 with the largest document frequency of theirs in the field, times 1 less the edits
+    over the shorter length."""
+    return f"""{_BM}, away as (select field, term, df, damerau_levenshtein(term, '{word}') as e from pdf where damerau_levenshtein(term, '{word}') <= {edits}),
+        most as (select field, max(df) as df from away group by field)
+        select doc_id, round(sum(boost * (1 - e / least(length(term), {len(word)})::double) * ln(1 + (n - most.df + 0.5) / (most.df + 0.5)) * tf / (tf + 1.2::double * (0.25::double + 0.75::double * len / ml))), 6) as score
+        from ptf join away using (field, term) join most using (field) join st using (field) group by doc_id"""
+
+
 #: small must be in a field, ring mustn't, economy counts twice; all in one field.
 _MUST = f"""{_BM}, fs as (select ptf.doc_id, field, term, boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2::double * (0.25::double + 0.75::double * len / ml)) as s
     from ptf join pdf using (field, term) join st using (field))
@@ -204,7 +213,12 @@ ORACLES = {
     "bm25_and_not": f"{_BM} select doc_id, round(s, 6) as score from (select doc_id, sum(s) as s from sc where term in ('red', 'bolt') group by doc_id) where doc_id not in (select doc_id from sc where term = 'economy')",
     "bm25_prefix": _like("term like 'ec%'"),
     "bm25_wildcard": _like("term like 'b_lt'"),
-    "bm25_fuzzy": _like("levenshtein(term, 'smoll') <= 1"),
+    "bm25_fuzzy": _near("smoll", 1),
+    "bm25_fuzzy_score": _near("bolt", 2),
+    "bm25_match_all": f"{_BM} select doc_id, sum(boost)::double as score from parts where not list_contains(toks, 'small') group by doc_id",
+    "bm25_regex": _like("regexp_full_match(term, '(ri|bo)[a-z]{1,2}')"),
+    "bm25_infix": _like("term like '%lat%'"),
+    "bm25_by_dictionary": f"select doc_id, round(sum(score), 6) as score from (({_like("term like 'b_lt'")}) union all ({_near("glod", 2)}) union all ({_like("term like 'wid%t'")})) group by doc_id",
     "bm25_range": f"{_BM} select doc_id, round({sum(PART_FIELDS.values())}, 6)::double as score from (select distinct doc_id from ptf where field = 'p_name' and term >= 'rad' and term <= 'ret')",
     "bm25_must": _MUST,
     "bm25_blank": "select p_partkey as doc_id, 0.0::double as score from part where false",
@@ -232,8 +246,8 @@ ORACLES = {
     "sample_rows": "select c_custkey, c_name from customer order by c_custkey limit 3",
     "progress_counts": f"with {_PLAYERS} select count(*) as processed, count(*) filter (Player <> 'Unknown' and CurrentTeam <> 'Unknown Status (Meta Missing)') as kept from players",
     "html_comments": "select page_id, coalesce(array_to_string(list_filter(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1), lambda x: contains(x, 'ad 1')), '|'), '') as comments from pages",
-    "bm25_range_exclusive": f"{_BM} select doc_id, round({sum(PART_FIELDS.values())}, 6)::double as score from (select distinct doc_id from ptf where field = 'p_name' and term > 'red' and term < 'ring')",
-    "bm25_transposed": _like("damerau_levenshtein(term, 'smlal') <= 1"),
+    "bm25_range_exclusive": f"{_BM} select doc_id, round({sum(PART_FIELDS.values())}, 6)::double as score from (select distinct doc_id from ptf where field = 'p_name' and term > 'gizmo' and term < 'red')",
+    "bm25_transposed": _near("smlal", 1),
     "bm25_slop": _SLOP,
     "append_index": f"{_BM} select doc_id, round(sum(s), 6) as score from sc where term in ('small', 'ring', '13') group by doc_id",
     "fielded_topk": f"{_TOPK} select doc_id, score from top",

@@ -97,3 +97,73 @@ def test_ideographs_are_words(spark):
     text = "東京 Tower タワー ひら \U00020000x O'Brien 5-10 1,5"
     want = ["東", "京", "tower", "タワー", "ひ", "ら", "\U00020000", "x", "o'brien", "5", "10", "1,5"]
     assert spark.range(1).select(standard_tokens(F.lit(text)).alias("t")).first().t == want == fielded._tokens(text)
+
+
+def test_dictionary_candidates(spark):
+    """Every term that fits is among the candidates: for all pairs of many words, at most two edits apart."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from fernglass.operators import dictionary
+
+    random_ = random.Random(6)
+    words = {"".join(random_.choice("abc") for _ in range(random_.randint(1, 11))) for _ in range(250)} | {"a", "ab", "naïve", "日本語", "\U00020000x"}
+    df = spark.createDataFrame([("f", w, 1) for w in words], "field string, term string, df long")
+    held = dictionary.make(df)
+    variants, grams = {}, {}
+    for r in held.deletions.collect():
+        variants.setdefault(r.variant, set()).add(r.term)
+    for r in held.grams.collect():
+        grams.setdefault(r.gram, set()).add(r.term)
+    assert max(len([v for v in variants if w in variants[v]]) for w in words) <= 37
+
+    def apart(a, b):
+        rows = [list(range(len(b) + 1))]
+        for i, x in enumerate(a):
+            row = [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(rows[i][j + 1] + 1, row[j] + 1, rows[i][j] + (x != y)))
+                if i and j and x == b[j - 1] and a[i - 1] == y:
+                    row[-1] = min(row[-1], rows[i - 1][j - 1] + 1)
+            rows.append(row)
+        return rows[-1][-1]
+
+    for value in random_.sample(sorted(words), 60) + ["zz", "abcabcabcabcabc"]:
+        near = {w for v in dictionary.variants(value) for w in variants.get(v, ())}
+        assert {w for w in words if apart(w, value) <= 2} <= near
+    edits = {r.term: r.e for r in df.select("term", dictionary.edits_between(F.col("term"), "abcab", 2).alias("e")).collect()}
+    assert edits == {w: d if (d := apart(w, "abcab")) <= 2 else None for w in words}
+    for pattern in ("a?b*", "*bca*", "abc*", "*c", "日*語", "a"):
+        want = {w for w in words if fielded.re.fullmatch(pattern.replace("*", ".*").replace("?", "."), w)}
+        own = dictionary.literal_grams(pattern)
+        got = set.intersection(*[grams.get(g, set()) for g in own]) if own else words
+        assert want <= got
+    assert held.fitting("?*") is None and dictionary.literal_grams("ab") == ["^ab", "ab$"]
+
+
+@pytest.mark.parametrize("query", ["b?own", "*row*", "bro*", "tmo~1", "bronw~2", "/t[io]m/", "player:[brown TO sam]", "zzz~2", "*", "+*ro* -t?m"])
+def test_saved_dictionary_gives_the_same(spark, made, tmp_path, query, monkeypatch):
+    """By dictionary, by the table of terms, or by postings where a pattern has too many terms."""
+    made.save(str(tmp_path))
+    saved = fielded.FieldIndex.load(spark, str(tmp_path))
+    want = sorted(fielded.search_all(made, query, BOOSTS).collect())
+    assert sorted(fielded.search_all(saved, query, BOOSTS).collect()) == want
+    if "~" not in query:
+        monkeypatch.setattr(fielded, "MOST_TERMS", 0)
+        assert sorted(fielded.search_all(saved, query, BOOSTS).collect()) == want
+
+
+def test_match_all_and_regex(made):
+    every = {r.doc_id: r.score for r in fielded.search_all(made, "*:*", BOOSTS).collect()}
+    assert set(every) == {0, 1, 2, 3} and all(s == pytest.approx(sum(BOOSTS.values())) for s in every.values())
+    hits = lambda q: {r.doc_id for r in fielded.search_all(made, q, BOOSTS).collect()}
+    assert hits("*:* AND *:*") == {0, 1, 2, 3}
+    assert hits("/t[io]m/") == {0, 1} and hits("/ro/") == set() and hits(r"player:/b.*n/") == {0, 1, 3}
+
+
+def test_fuzzy_scores(made):
+    """Blended: each term counts as if as frequent as the most frequent, times its nearness."""
+    got = {r.doc_id: r.score for r in fielded.search_all(made, "tim~1", {"player": 1.0}).collect()}
+    exact = {r.doc_id: r.score for r in fielded.search_all(made, "tim", {"player": 1.0}).collect()}
+    assert set(got) == {0, 1} and got[1] == pytest.approx(exact[1]) and got[0] == pytest.approx(exact[1] * (1 - 1 / 3))
