@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, LongType, StringType, StructField, StructType
 
 from fernglass.functions import text as T
 from fernglass.functions.storage import scratch
@@ -460,6 +461,46 @@ def csv_declared(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_csv(spark, path, readers.strings("key", "name", "code"))
 
 
+def _damaged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Customers as lines, some with a field too few or too many, a balance that is no number, or no name; read with checks."""
+    source, path = scratch(spark)[0], scratch(spark)[0]
+    k, balance = F.col("c_custkey"), F.when(F.col("c_custkey") % 13 == 0, F.lit("much")).otherwise(F.col("c_acctbal").cast("decimal(12,2)").cast("string"))
+    fields = [k.cast("string"), F.when(k % 17 == 0, F.lit("")).otherwise(F.col("c_name")), balance]
+    line = F.when(k % 7 == 0, F.concat_ws(",", *fields[:2])).when(k % 11 == 0, F.concat_ws(",", *fields, F.lit("more"))).otherwise(F.concat_ws(",", *fields))
+    writers.write_text(table(spark, d, "customer").select(line.alias("line")), "line", source)
+    schema = StructType([StructField("key", LongType()), StructField("name", StringType()), StructField("balance", DecimalType(12, 2))])
+    return writers.write_checked(readers.read_csv_checked(spark, source, schema, required=["name"], header=False), path)
+
+
+@query
+def csv_accepted(spark: SparkSession, d: str) -> DataFrame:
+    return _damaged(spark, d)[0].select("key", "name", F.col("balance").cast("string").alias("balance"))
+
+
+@query
+def csv_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """Why rows were rejected, and the text of those that couldn't be taken apart."""
+    return _damaged(spark, d)[1].select("key", F.array_join("reasons", "|").alias("reasons"), "raw")
+
+
+@query
+def observed_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Counted while both tables were written."""
+    seen = _damaged(spark, d)[2]
+    return spark.createDataFrame([(seen["read"], seen["accepted"], seen["rejected"])], "read long, accepted long, rejected long")
+
+
+@query
+def extraction_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Players are extracted and written; how many pages there were, and how many players without a meta section, is counted
+    on the way."""
+    path, _ = scratch(spark)
+    found = extract_html.extract_players(_player_pages(spark, d), keep=("doc_id",))
+    seen = writers.write_observed(found, path, {"pages": F.count("*"), "missing": F.count_if(F.col("CurrentTeam") == "Unknown Status (Meta Missing)")})
+    read = spark.read.parquet(path).agg(F.count("*").alias("written"))
+    return read.select(F.lit(seen["pages"]).cast("bigint").alias("pages"), F.lit(seen["missing"]).cast("bigint").alias("missing"), "written")
+
+
 @query
 def csv_inferred(spark: SparkSession, d: str) -> DataFrame:
     path, _ = scratch(spark)

@@ -122,6 +122,10 @@ def _near(word: str, edits: int) -> str:
         from ptf join away using (field, term) join most using (field) join st using (field) group by doc_id"""
 
 
+_MONEY = "c_acctbal::decimal(12,2)::varchar"
+_NAMED = "case when c_custkey % 17 = 0 then '' else c_name end"
+_SOUND = "c_custkey % 7 <> 0 and c_custkey % 11 <> 0 and c_custkey % 13 <> 0 and c_custkey % 17 <> 0"
+
 #: small must be in a field, ring mustn't, economy counts twice; all in one field.
 _MUST = f"""{_BM}, fs as (select ptf.doc_id, field, term, boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2::double * (0.25::double + 0.75::double * len / ml)) as s
     from ptf join pdf using (field, term) join st using (field))
@@ -213,6 +217,12 @@ ORACLES = {
     "bm25_and_not": f"{_BM} select doc_id, round(s, 6) as score from (select doc_id, sum(s) as s from sc where term in ('red', 'bolt') group by doc_id) where doc_id not in (select doc_id from sc where term = 'economy')",
     "bm25_prefix": _like("term like 'ec%'"),
     "bm25_wildcard": _like("term like 'b_lt'"),
+    "csv_accepted": f"select c_custkey as key, c_name as name, {_MONEY} as balance from customer where {_SOUND}",
+    "csv_rejected": f"""select c_custkey as key, case when c_custkey % 7 = 0 or c_custkey % 11 = 0 then 'columns' else concat_ws('|', case when c_custkey % 13 = 0 then 'balance: decimal(12,2)' end,
+        case when c_custkey % 17 = 0 then 'name: missing' end) end as reasons, case when c_custkey % 7 = 0 then c_custkey || ',' || {_NAMED}
+        when c_custkey % 11 = 0 then c_custkey || ',' || {_NAMED} || ',' || case when c_custkey % 13 = 0 then 'much' else {_MONEY} end || ',more' end as raw from customer where not ({_SOUND})""",
+    "observed_totals": f"select count(*) as read, count(*) filter ({_SOUND}) as accepted, count(*) filter (not ({_SOUND})) as rejected from customer",
+    "extraction_totals": "select count(*) as pages, count(*) filter (c_custkey % 13 = 0) as missing, count(*) as written from customer",
     "bm25_fuzzy": _near("smoll", 1),
     "bm25_fuzzy_score": _near("bolt", 2),
     "bm25_match_all": f"{_BM} select doc_id, sum(boost)::double as score from parts where not list_contains(toks, 'small') group by doc_id",

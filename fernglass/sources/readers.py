@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +43,22 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, required: Sequence[str] = (), header: bool = True) -> DataFrame:
+    """The columns of the schema, and raw and reasons: why a row should be rejected, an empty array for a sound one.
+
+    'columns': the row has more or fewer fields than the schema, raw being its text; 'name: type': the field of that name isn't
+    empty and can't be read as the type, and is null; 'name: missing': a required field is empty. A row with 'columns'
+    has no other reason, as its fields can't be told apart. Rows are read once, and none is left out.
+    """
+    strings_ = T.StructType([T.StructField(f.name, T.StringType()) for f in schema] + [T.StructField("raw", T.StringType())])
+    read = spark.read.options(header=header, escape='"', multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="raw", enforceSchema=True).schema(strings_).csv(path)
+    value = {f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema}
+    fields = [F.when(F.col(f"`{f.name}`").isNotNull() & value[f.name].isNull(), F.lit(f"{f.name}: {f.dataType.simpleString()}")) for f in schema]
+    fields += [F.when(F.col(f"`{c}`").isNull(), F.lit(f"{c}: missing")) for c in required]
+    reasons = F.when(F.col("raw").isNotNull(), F.array(F.lit("columns"))).otherwise(F.array_compact(F.array(*fields)))
+    return read.select(*[v.alias(c) for c, v in value.items()], "raw", reasons.alias("reasons"))
+
+
 def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with header whose column types Spark infers; '007' becomes 7. For parity alone: prefer read_csv."""
     return spark.read.options(header=True, escape='"', multiLine=True, inferSchema=True).csv(path)

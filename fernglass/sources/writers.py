@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,23 @@ def write_table(df: DataFrame, path: str, sort: Sequence[str] = (), mode: str =
     """
     dealt = df.hint("rebalance", sort[0]).sortWithinPartitions(*sort) if sort else df
     dealt.write.mode(mode).option("maxRecordsPerFile", file_rows).parquet(path)
+
+
+def write_observed(df: DataFrame, path: str, totals: dict[str, Column], mode: str = "overwrite", by: Sequence[str] = ()) -> dict[str, int]:
+    """Writes Parquet, and returns the totals (aggregates by name) of the rows as they went by: no second pass is made. They
+    are of the write that succeeded; tasks that ran twice count once. by: columns that folders are made of."""
+    seen = Observation()
+    writer = df.observe(seen, *[c.alias(name) for name, c in totals.items()]).write.mode(mode)
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    return dict(seen.get)
+
+
+def write_checked(checked: DataFrame, path: str, mode: str = "overwrite") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """(accepted, rejected, totals) of rows with reasons (see readers.read_csv_checked), in one pass: both tables lie under path.
+    Accepted rows have the columns of the data; rejected ones raw and reasons as well. totals: read, accepted, rejected."""
+    accepted = F.size("reasons") == 0
+    totals = {"read": F.count("*"), "accepted": F.count_if(accepted), "rejected": F.count_if(~accepted)}
+    marked = checked.withColumn("_accepted", accepted)
+    seen = write_observed(marked, path, totals, mode, ["_accepted"])
+    rows = checked.sparkSession.read.schema(marked.schema).parquet(path)  # one part may have no files
+    return rows.where("_accepted").drop("_accepted", "raw", "reasons"), rows.where("not _accepted").drop("_accepted"), seen

@@ -93,3 +93,23 @@ def test_full_join_edges(spark):
     assert sorted((r.k is None, r.k or 0, r.a) for r in lone) == [(False, 2, "s"), (False, 3, "v"), (True, 0, "q"), (True, 0, "u")]
     none = a.where("false")
     assert records.full_join(none, b, ["k"]).count() == 4 and records.full_join(a, none, ["k"]).count() == 5 and records.full_join(none, none, ["k"]).count() == 0
+
+
+def test_rejected_rows(spark, tmp_path):
+    """Rows that can't be read are put aside with their reasons, and counted, in one pass."""
+    from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
+
+    lines = ["id,name,born,score", '1,"a, ""b""",2001-02-03,1.5', "2,,2001-02-03,", "x,c,2001-02-30,y", "4,d", "5,e,2000-01-01,1,9", '6,"two', 'lines",,2', "", ",,,"]
+    (tmp_path / "in.csv").write_text("\n".join(lines) + "\n")
+    schema = StructType([StructField("id", LongType()), StructField("name", StringType()), StructField("born", DateType()), StructField("score", DoubleType())])
+    checked = readers.read_csv_checked(spark, str(tmp_path / "in.csv"), schema, required=["name"])
+    good, bad, totals = writers.write_checked(checked, str(tmp_path / "out"))
+    assert [(r.id, r.name, str(r.born), r.score) for r in good.orderBy("id").collect()] == [(1, 'a, "b"', "2001-02-03", 1.5), (6, "two\nlines", "None", 2.0)]
+    assert {r.raw for r in bad.where("raw is not null").collect()} == {"4,d", "5,e,2000-01-01,1,9"}
+    assert totals["read"] == totals["accepted"] + totals["rejected"] == good.count() + bad.count() and totals["accepted"] == 2
+    assert sorted(x for r in bad.collect() for x in r.reasons) == sorted(["name: missing", "id: bigint", "born: date", "score: double", "columns", "columns", "name: missing"])
+    # none rejected, and none at all
+    for n, text in enumerate(("id,name,born,score\n1,a,,\n", "id,name,born,score\n")):
+        (tmp_path / f"{n}.csv").write_text(text)
+        good, bad, totals = writers.write_checked(readers.read_csv_checked(spark, str(tmp_path / f"{n}.csv"), schema), str(tmp_path / f"out{n}"))
+        assert (good.count(), bad.count()) == (totals["accepted"], totals["rejected"]) == (1 - n, 0)
