@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fernglass.functions.storage import exists
 from fernglass.functions.text import IDEOGRAPHS, STANDARD_TOKEN, WORD_CHARACTER, digits, first_full, join_full, standard_tokens
 from fernglass.functions.weights import bm25_idf, bm25_tf
 from fernglass.sources.writers import write_table
@@ -35,6 +36,10 @@ NAME_COLUMNS = ("player", "name", "player_name", "nfl_player_name")
 # --------------------------------------------------------------------------------------------------------------------
 
 
+#: Columns of saved documents: how often the index had been appended to, and whether the row says that a document is gone.
+GENERATION, GONE = "_generation", "_gone"
+
+
 @dataclass(frozen=True)
 class FieldIndex:
     """docs(doc_id, stored fields), postings(field, term, doc_id, tf, positions, len), stats(field, n, total_len),
@@ -51,22 +56,65 @@ class FieldIndex:
     TABLES = ("docs", "postings", "stats", "df")
 
     def save(self, path: str, mode: str = "overwrite") -> None:
-        """mode 'append' adds documents to those that are there, 'overwrite' replaces them. A document that is appended
-        again counts again. The dictionary, from which patterns are looked up, is that of the terms of this part."""
-        for name in self.TABLES:
-            write_table(getattr(self, name), f"{path}/{name}", ("term",) if name in ("postings", "df") else (), mode)
+        """mode 'append' adds a generation of documents to those that are there, 'overwrite' replaces them. The dictionary, from
+        which patterns are looked up, is that of the terms of this part."""
+        spark = self.docs.sparkSession
+        old = mode == "append" and exists(spark, f"{path}/docs")
+        last = spark.read.parquet(f"{path}/docs").agg(F.max(GENERATION)).first()[0] if old else None
+        number = F.lit(0 if last is None else last + 1).cast("int")
         words = dictionary.make(self.df)
-        write_table(words.grams, f"{path}/grams", ("gram", "term"), mode)
-        write_table(words.deletions, f"{path}/deletions", ("variant", "term"), mode)
+        tables = {
+            "postings": (self.postings.withColumn(GENERATION, number), ("term",)), "df": (self.df, ("term",)), "stats": (self.stats, ()),
+            "grams": (words.grams, ("gram", "term")), "deletions": (words.deletions, ("variant", "term")),
+            "docs": (self.docs.withColumns({GENERATION: number, GONE: F.lit(False)}), ()),
+        }
+        # documents come last: until then nothing knows of the generation
+        for name, (table, sort) in tables.items():
+            write_table(table, f"{path}/{name}", sort, mode)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> FieldIndex:
-        """The index over all parts that were saved there; a missing table raises."""
+    def load(cls, spark: SparkSession, path: str, newest: bool = False) -> FieldIndex:
+        """The index over all parts that were saved there; a missing table raises. A document that was appended again counts
+        again, unless newest: then its last generation alone is found, and documents that were deleted aren't.
+
+        Postings of older generations are left out by an anti join with the documents that have them, and what those count for
+        in the statistics is taken off their sums; so a search reads what it would without them, and them.
+        """
         docs, postings, stats, df = (spark.read.parquet(f"{path}/{name}") for name in cls.TABLES)
         stats = stats.groupBy("field").agg(F.sum("n").alias("n"), F.sum("total_len").alias("total_len"))
+        df = df.groupBy("field", "term").agg(F.sum("df").alias("df"))
+        if newest:
+            last = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.max(GENERATION).alias("_last"), F.max_by(GONE, GENERATION).alias("_off"))
+            marked = docs.join(last, F.col("doc_id") == F.col("_id"))
+            is_stale = (F.col(GENERATION) < F.col("_last")) | F.col("_off")
+            stale = marked.where(is_stale).select("doc_id", GENERATION).distinct()
+            docs = marked.where(~is_stale).drop("_id", "_last", "_off")
+            off = postings.join(stale, ["doc_id", GENERATION], "left_semi")
+            postings = postings.join(stale, ["doc_id", GENERATION], "left_anti")
+            less = off.groupBy("field", "term").agg(F.count("*").alias("_less"))
+            df = df.join(less, ["field", "term"], "left").select("field", "term", (F.col("df") - F.coalesce("_less", F.lit(0))).alias("df")).where("df > 0")
+            fields = off.groupBy("field", "doc_id", GENERATION).agg(F.first("len").alias("len")).groupBy("field").agg(F.count("*").alias("_n"), F.sum("len").alias("_len"))
+            stats = stats.join(fields, "field", "left").select("field", (F.col("n") - F.coalesce("_n", F.lit(0))).alias("n"), (F.col("total_len") - F.coalesce("_len", F.lit(0))).alias("total_len")).where("n > 0")
         # a term of two parts is in both dictionaries
         words = Dictionary(*[spark.read.parquet(f"{path}/{name}").distinct() for name in ("grams", "deletions")])
-        return cls(docs, postings, stats, df.groupBy("field", "term").agg(F.sum("df").alias("df")), words)
+        return cls(docs.where(f"not {GONE}").drop(GENERATION, GONE), postings.drop(GENERATION), stats, df, words)
+
+    @staticmethod
+    def delete(ids: DataFrame, path: str) -> None:
+        """From now on load(newest=True) leaves out the documents of the ids (doc_id), in whatever generation they are; one
+        that is appended later is there again."""
+        spark = ids.sparkSession
+        docs = spark.read.parquet(f"{path}/docs")
+        last = docs.agg(F.max(GENERATION)).first()[0]
+        gone = ids.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct().withColumns({GENERATION: F.lit(last + 1).cast("int"), GONE: F.lit(True)})
+        gone = docs.limit(0).unionByName(gone, allowMissingColumns=True)
+        gone.write.mode("append").parquet(f"{path}/docs")
+
+    @classmethod
+    def compact(cls, spark: SparkSession, path: str, to: str) -> FieldIndex:
+        """The newest documents of an index as one generation in another folder."""
+        cls.load(spark, path, newest=True).save(to)
+        return cls.load(spark, to)
 
     def statistics(self) -> DataFrame:
         """(field, n, mean_len)."""

@@ -567,6 +567,19 @@ def append_index(spark: SparkSession, d: str) -> DataFrame:
     return fielded.search_all(fielded.FieldIndex.load(spark, path), FIELDED["bm25_multifield"], PART_FIELDS).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query
+def reindexed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents saved with other texts, then as they are, all of them again, and as many others that are deleted: the newest count."""
+    path, _ = scratch(spark)
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), *PART_FIELDS)
+    other = p.withColumn("p_name", F.concat("p_name", F.lit(" small ring"))).unionByName(p.withColumn("doc_id", -F.col("doc_id") - 1))
+    for docs, mode in ((other, "overwrite"), (p, "append"), (p, "append")):
+        fielded.build(docs, list(PART_FIELDS)).save(path, mode)
+    fielded.FieldIndex.delete(other.where("doc_id < 0").select("doc_id"), path)
+    found = fielded.search_all(fielded.FieldIndex.load(spark, path, newest=True), FIELDED["bm25_multifield"], PART_FIELDS)
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
 def _player_index(spark: SparkSession, d: str) -> fielded.FieldIndex:
     """Customers as player records with all search fields."""
     c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))

@@ -259,7 +259,7 @@ ORACLES = {
     "bm25_range_exclusive": f"{_BM} select doc_id, round({sum(PART_FIELDS.values())}, 6)::double as score from (select distinct doc_id from ptf where field = 'p_name' and term > 'gizmo' and term < 'red')",
     "bm25_transposed": _near("smlal", 1),
     "bm25_slop": _SLOP,
-    "append_index": f"{_BM} select doc_id, round(sum(s), 6) as score from sc where term in ('small', 'ring', '13') group by doc_id",
+    **dict.fromkeys(("append_index", "reindexed"), f"{_BM} select doc_id, round(sum(s), 6) as score from sc where term in ('small', 'ring', '13') group by doc_id"),
     "fielded_topk": f"{_TOPK} select doc_id, score from top",
     "fielded_results": f"""{_TOPK} select doc_id, score, player, position, college, currentteam, coalesce(nullif(borncity, ''), 'N/A') as borncity, weight from top join c using (doc_id)""",
     "fielded_height_text": f"with {_CUSTOMERS} select doc_id from c where doc_id % 12 = 11 and position = 'MACHINERY'",

@@ -167,3 +167,29 @@ def test_fuzzy_scores(made):
     got = {r.doc_id: r.score for r in fielded.search_all(made, "tim~1", {"player": 1.0}).collect()}
     exact = {r.doc_id: r.score for r in fielded.search_all(made, "tim", {"player": 1.0}).collect()}
     assert set(got) == {0, 1} and got[1] == pytest.approx(exact[1]) and got[0] == pytest.approx(exact[1] * (1 - 1 / 3))
+
+
+def test_generations(spark, tmp_path):
+    """Appended again, changed, deleted and appended after that: as if only the newest had ever been there."""
+    from pyspark.sql import functions as F
+
+    def built(rows):
+        return fielded.build(spark.createDataFrame(rows, "doc_id long, a string, b string"), ["a", "b"])
+
+    rows = [(i, f"red w{i % 3}", None if i % 4 == 0 else "blue blue") for i in range(20)]
+    path, once = str(tmp_path / "many"), str(tmp_path / "once")
+    built([(i, "old red red", "gone") for i, _, _ in rows] + [(99, "red", "gone"), (98, "red", "gone")]).save(path, "append")
+    built(rows[:10]).save(path, "append")
+    built(rows).save(path, "append")
+    fielded.FieldIndex.delete(spark.createDataFrame([(99,), (98,), (99,), (5,), (1234,)], "doc_id int"), path)
+    built([rows[5], (98, "red again", "blue")]).save(path, "append")
+    want = built([*rows, (98, "red again", "blue")])
+    want.save(once)
+    compacted = fielded.FieldIndex.compact(spark, path, str(tmp_path / "compacted"))
+    for got in (fielded.FieldIndex.load(spark, path, newest=True), compacted):
+        for name in ("docs", "postings", "stats", "df"):
+            x, y = getattr(got, name), getattr(want, name)
+            assert sorted(map(str, x.select(*sorted(y.columns)).collect())) == sorted(map(str, y.select(*sorted(y.columns)).collect())), name
+        for q in ("red", "blue w1", "gone", "old", "w*", "a:agian~2"):
+            assert sorted(fielded.search(got, q, 50, {"a": 2.0, "b": 1.0}).collect()) == sorted(fielded.search(want, q, 50, {"a": 2.0, "b": 1.0}).collect())
+    assert {r.doc_id for r in fielded.search_all(fielded.FieldIndex.load(spark, path), "gone", {"b": 1.0}).collect()} == {*range(20), 98, 99}
