@@ -116,7 +116,7 @@ def test_oracles(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = entry.queries()[name](spark, SF)
     columns = sorted(df.columns)
@@ -127,6 +127,19 @@ def test_oracles(spark, name):
     assert got == Counter(tuple(row[names.index(x)] for x in columns) for row in cursor.fetchall())
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_search_against_exact_sql(spark, folder):
+    import duckdb
+
+    from fernglass.llm.oracles import EXACT_SEARCH
+
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '/root/testdata/{folder}/embeddings.parquet'")
+    got = entry.queries()["op9_nearest_neighbours"](spark, f"/root/testdata/{folder}").select("query_id", "rank", "vec_id", "score").collect()
+    want = {(q, r): (v, s) for q, r, v, s in c.execute(EXACT_SEARCH).fetchall()}
+    assert len(got) == len(want) and all(want[r.query_id, r["rank"]] == (r.vec_id, pytest.approx(r.score, abs=1e-12)) for r in got)
+
+
 def test_all_are_registered():
     found = entry.queries()
-    assert "pipeline" in found and all(sum(n.startswith(f"op{k}_") for n in found) == 1 for k in range(1, 11))
+    assert "pipeline" in found and all(sum(n.startswith(f"op{k}_") for n in found) == 1 for k in range(1, 14))
