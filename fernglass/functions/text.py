@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import re
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -11,12 +13,22 @@ from pyspark.sql.types import ArrayType, StringType
 # --- fixed values: the patterns of the two tokenizers --------------------------------------------------------------
 #: Runs of ASCII letters and digits, joined by single inner apostrophes or hyphens; applied to lower-cased text.
 TOKEN = r"[a-z0-9]+(?:['\-][a-z0-9]+)*"
-#: Hiragana and ideographs, which are words one by one.
-IDEOGRAPHS = r"\u3040-\u309f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\x{20000}-\x{3ffff}"
-#: Close to Unicode word breaks: letters, digits and underscores, joined by ' . : between letters, by , . ; ' between
-#: digits.
-WORD_CHARACTER = rf"[\p{{L}}\p{{M}}\p{{N}}_&&[^{IDEOGRAPHS}]]"
-STANDARD_TOKEN = rf"(?U)[{IDEOGRAPHS}]|{WORD_CHARACTER}+(?:(?:(?<=\p{{L}})['.:](?=\p{{L}})|(?<=\p{{N}})[,.;'](?=\p{{N}})){WORD_CHARACTER}+)*"
+#: Ideographs and hiragana are words one by one.
+ALONE = r"[\p{IsHan}\p{IsHiragana}]"
+#: Scripts whose words have no spaces between them: a run of each of their letters and marks is a word.
+UNSPACED = r"\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}\p{IsTai_Viet}"
+#: Katakana and the marks that go with it.
+KATAKANA = r"\p{IsKatakana}\u3031-\u3035\u309b\u309c\u30a0\u30fc\uff70"
+#: Marks and formats, which belong to the character before them; not the zero-width space.
+IGNORED = r"\p{M}\u200c\u200d\u00ad\u2060-\u2064\u200e\u200f\ufeff"
+#: What joins words: underscores and the like.
+JOINS = r"\p{Pc}\u202f"
+#: What stands between two letters, between two digits, or between two of either kind.
+MID_LETTER, MID_NUMBER, MID_BOTH = r":\u00b7\u0387\u055f\u05f4\u2027\ufe13\ufe55\uff1a", r",;\u037e\u0589\u060c\u060d\u066c\u07f8\u2044\ufe10\ufe14\ufe50\ufe54\uff0c\uff1b", r"'.\u2018\u2019\u2024\ufe52\uff07\uff0e"
+#: Pictures: blocks of emoji, and those among older symbols that are shown in colour by themselves.
+PICTURES = r"\U0001f300-\U0001f3fa\U0001f400-\U0001f64f\U0001f680-\U0001f6ff\U0001f900-\U0001faff\u231a\u231b\u23e9-\u23f3\u2614\u2615\u2648-\u2653\u26bd\u26be\u2705\u2728\u274c\u2753-\u2755\u2757\u2764\u2b50"
+#: The longest word; longer ones are cut.
+LONGEST = 255
 # --------------------------------------------------------------------------------------------------------------------
 
 
@@ -25,9 +37,49 @@ def tokenize(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0), F.array().cast("array<string>"))
 
 
+def _astral(pattern: str) -> str:
+    """Characters beyond 16 bits as themselves, as regular expressions write them in different ways."""
+    return re.sub(r"\\U([0-9a-f]{8})", lambda m: chr(int(m[1], 16)), pattern)
+
+
+def _word_pattern() -> str:
+    """One word by the default Unicode word breaks, in an expression that reads alike in Java and in Python's regex
+    module. All repeats are possessive: what follows a run can't begin with what the run took, so none needs to be given
+    back, and very long words need no stack."""
+    letter = rf"[\p{{IsAlphabetic}}&&[^\p{{M}}\p{{IsHan}}\p{{IsHiragana}}{KATAKANA}{UNSPACED}]]"
+    digit = r"[\p{Nd}\u066b]"
+    more = f"[{IGNORED}]*+"
+    run = lambda c: f"(?:{c}{more})++"
+    between = lambda c, mid: rf"{run(c)}(?:[{mid}{MID_BOTH}]{more}{run(c)})*+"
+    core = f"(?:(?:{between(letter, MID_LETTER)}|{between(digit, MID_NUMBER)})++|{run(f'[{KATAKANA}]')})"
+    joins = rf"(?:[{JOINS}]{more})"
+    # a katakana run and a word next to each other are two words, unless joined
+    words = f"{joins}*+{core}(?:{joins}++{core})*+{joins}*+"
+    unspaced = rf"[{UNSPACED}&&[\p{{L}}\p{{M}}]][{UNSPACED}{IGNORED}&&[\p{{L}}\p{{M}}]]*+"
+    picture = rf"[{PICTURES}][{IGNORED}\U0001f3fb-\U0001f3ff]*+(?:(?<=\u200d)[{PICTURES}\u2640\u2642\u2695\u2696\u2708][{IGNORED}\U0001f3fb-\U0001f3ff]*+)*+"
+    flag = "[\U0001f1e6-\U0001f1ff]{2}"
+    return _astral(f"{ALONE}{more}|{unspaced}|{flag}|{picture}|{words}")
+
+
+STANDARD_TOKEN = _word_pattern()
+
+
 def standard_tokens(text: Column) -> Column:
-    """Tokens of a full-text field in order: Unicode words in lower case, no stop words."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(STANDARD_TOKEN), 0), F.array().cast("array<string>"))
+    """Words of a full-text field in order, in lower case, no stop words, by the default Unicode word breaks: letters
+    with the marks on them, numbers, both mixed, single apostrophes, full stops and the like inside them, underscores. Ideographs and
+    hiragana are words one by one, runs of katakana, and of scripts without spaces, one word; pictures are words, too.
+    A word of more than 255 characters is cut into pieces of so many. Hebrew's own rules for quotes aren't applied. No words
+    for a null text."""
+    words = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(STANDARD_TOKEN), 0), F.array().cast("array<string>"))
+    pieces = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / LONGEST).cast("int")), lambda i: F.substr(w, i * LONGEST + 1, F.lit(LONGEST)))
+    cut = lambda ws: F.when(F.exists(ws, lambda w: F.length(w) > LONGEST), F.flatten(F.transform(ws, pieces))).otherwise(ws)
+    return once(words, cut)
+
+
+def words_of(text: str) -> list[str]:
+    """The same of one text, on the driver: for the words of a query."""
+    words = regex.findall(STANDARD_TOKEN, text.lower(), flags=regex.V1)
+    return [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
 
 
 def strip(text: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernglass.functions.storage import exists
-from fernglass.functions.text import IDEOGRAPHS, STANDARD_TOKEN, WORD_CHARACTER, digits, first_full, join_full, standard_tokens
+from fernglass.functions.text import digits, first_full, join_full, standard_tokens, words_of
 from fernglass.functions.weights import bm25_idf, bm25_tf
 from fernglass.sources.writers import write_table
 
@@ -243,6 +243,10 @@ class _Parser:
         if m["all"]:
             return Leaf("all", "", own, boost)
         if m["regex"] is not None:
+            try:
+                re.compile(m["regex"])
+            except re.error as e:
+                raise QuerySyntaxError(f"can't read /{m['regex']}/: {e}") from e
             return Leaf("regex", m["regex"].replace("\\/", "/"), own, boost)
         if m["low"]:
             return Leaf("range", m["low"].lower(), own, boost, ends=(m["low"].lower(), m["high"].lower()), without_ends=(m["from"] == "{", m["to"] == "}"))
@@ -262,14 +266,6 @@ def parse(text: str) -> Group:
     return _Parser(text).group(False, None)
 
 
-def _tokens(text: str) -> list[str]:
-    alone = IDEOGRAPHS.replace(r"\x{20000}-\x{3ffff}", "\U00020000-\U0003ffff")
-    pattern = STANDARD_TOKEN.removeprefix("(?U)").replace(WORD_CHARACTER, rf"(?:(?![{alone}])\w)").replace(IDEOGRAPHS, alone)
-    for java, python in ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d")):
-        pattern = pattern.replace(java, python)
-    return [m[0] for m in re.finditer(pattern, text.lower())]
-
-
 @dataclass(frozen=True)
 class Exact:
     """One side of a query that asks for a height or a weight."""
@@ -288,6 +284,14 @@ def side(text: str) -> Group | Exact:
     return parse(text)
 
 
+def _readable(text: str) -> Group | Exact:
+    """The side, or one that fits nothing where it can't be parsed."""
+    try:
+        return side(text)
+    except QuerySyntaxError:
+        return Group([])
+
+
 @dataclass(frozen=True)
 class Plan:
     """must, should: sides; without must, one of should has to fit. without: the side that mustn't. times: what a sole
@@ -305,18 +309,19 @@ def plan(query: str, strict_and: bool = False) -> Plan:
     ' NOT ', with a space on both sides and in any case, splits the query once; ' AND ' before it splits once more, the
     two sides being alternatives unless strict_and. Without NOT, ' AND ' splits once, and both sides must fit, each in
     any field. Queries that are split are parsed in upper case. All else is one side, looked for in each field; if it
-    asks for a weight or height, its score counts once for each search field.
+    asks for a weight or height, its score counts once for each search field. A side that can't be parsed fits nothing,
+    and the others stand: as an alternative it adds none, as what mustn't be found it takes none away.
     """
     upper = query.upper()
     if " NOT " in upper:
         positive, negative = upper.split(" NOT ", 1)
         if " AND " in positive:
-            both = [side(p) for p in positive.split(" AND ", 1)]
-            return Plan(both if strict_and else [], [] if strict_and else both, [side(negative)])
-        return Plan([side(positive)], [], [side(negative)])
+            both = [_readable(p) for p in positive.split(" AND ", 1)]
+            return Plan(both if strict_and else [], [] if strict_and else both, [_readable(negative)])
+        return Plan([_readable(positive)], [], [_readable(negative)])
     if " AND " in upper:
-        return Plan([side(p) for p in upper.split(" AND ", 1)], [], [])
-    only = side(query)
+        return Plan([_readable(p) for p in upper.split(" AND ", 1)], [], [])
+    only = _readable(query)
     return Plan([only], [], [], float(len(SEARCH_FIELDS)) if isinstance(only, Exact) else 1.0)
 
 
@@ -427,7 +432,7 @@ class _Lookup:
         here = F.col("field") == name if name else F.col("field").isin(list(self.fields))
         term = F.col("term")
         if leaf.kind in ("term", "phrase", "exact"):
-            terms = [leaf.value] if leaf.kind == "exact" else _tokens(leaf.value)
+            terms = [leaf.value] if leaf.kind == "exact" else words_of(leaf.value)
             if not terms:
                 return F.lit(False), F.lit(0.0)
             # a word of several tokens is a phrase, unless it holds but one
@@ -498,15 +503,12 @@ def _names_a_field(node: Group | Exact | Leaf) -> bool:
 
 def search_all(index: FieldIndex, query: str, fields: dict[str, float] | None = None, strict_and: bool = False) -> DataFrame:
     """(doc_id, score) of every document that the query fits, scores not rounded. fields: search fields and boosts. A
-    blank query, or one that can't be parsed, fits none."""
+    blank query fits none; of one whose sides can't all be parsed, see plan()."""
     fields = SEARCH_FIELDS if fields is None else fields
     none = index.postings.select("doc_id", F.lit(0.0).alias("score")).where(F.lit(False))
     if not query.strip():
         return none
-    try:
-        whole = plan(query, strict_and)
-    except QuerySyntaxError:
-        return none
+    whole = plan(query, strict_and)
     parts = [(kind, what) for kind, group in (("must", whole.must), ("should", whole.should), ("not", whole.without)) for what in group]
     leaves = [x for _, what in parts for x in _leaves(what)]
     patterns = [x for x in leaves if x.kind in _PATTERNS]

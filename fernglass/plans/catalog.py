@@ -75,6 +75,13 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(T.tokenize(F.col("text"))).cast("bigint").alias("n_tokens"))
 
 
+@query
+def standard_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the full-text analysis: how many, and a digest of them in order."""
+    words = table(spark, d, "documents").select("doc_id", T.standard_tokens(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5"))
+
+
 @query
 def term_frequency(spark: SparkSession, d: str) -> DataFrame:
     return _tf(spark, d)
@@ -545,6 +552,8 @@ FIELDED = {"bm25_multifield": "small ring 13", "bm25_and": "red AND economy", "b
 FIELDED |= {"bm25_range_exclusive": "p_name:{gizmo TO red}", "bm25_transposed": "smlal~1", "bm25_slop": 'p_name:"bolt red"~2'}
 FIELDED |= {"bm25_prefix": "ec*", "bm25_wildcard": "b?lt", "bm25_fuzzy": "smoll~1", "bm25_range": "p_name:[rad TO ret]", "bm25_must": "+small -ring economy^2", "bm25_blank": "   "}
 FIELDED |= {"bm25_match_all": "*:* -small", "bm25_regex": "/(ri|bo)[a-z]{1,2}/", "bm25_infix": "*lat*", "bm25_fuzzy_score": "bolt~2"}
+#: Sides that can't be read: an alternative, what mustn't be found, and what must.
+FIELDED |= {"bm25_field_error": "small ( AND ring NOT economy", "bm25_not_error": "small NOT (economy", "bm25_not_regex_error": "ring NOT /[a/"}
 QUERIES |= {name: _fielded(text) for name, text in FIELDED.items()}
 
 

@@ -50,6 +50,11 @@ def _members(term: str) -> str:
     return f"select doc_id from tf where term = '{term}'"
 
 
+#: Words by Unicode's breaks, ideographs and hiragana set apart first.
+_LETTERS, _DIGITS = r"(?:[\pL\p{Nl}]\pM*)+", r"(?:\p{Nd}\pM*)+"
+_CORE = rf"(?:{_LETTERS}(?:[:.·’‘''․‧]\pM*{_LETTERS})*|{_DIGITS}(?:[,;.’‘''․]\pM*{_DIGITS})*)+"
+_WORDS = rf"regexp_extract_all(regexp_replace(lower(text), '([\p{{Han}}\p{{Hiragana}}]\pM*)', ' \1 ', 'g'), '\p{{Pc}}*{_CORE}(?:\p{{Pc}}+{_CORE})*\p{{Pc}}*')"
+
 _PLAYERS = """players as (select c_custkey as doc_id, case when c_custkey % 11 = 0 then 'Unknown' else c_name end as Player,
     case when c_custkey % 7 = 0 then 'Unknown Status (Meta Missing)' else c_mktsegment end as CurrentTeam from customer)"""
 
@@ -161,6 +166,7 @@ _AWKWARD = "select c_custkey::varchar as key, c_name || case when c_custkey % 2
 
 ORACLES = {
     "tokenize": f"select doc_id, len({_tok('text')}) as n_tokens from documents",
+    "standard_words": f"select doc_id, coalesce(len(w), 0) as n_words, md5(coalesce(array_to_string(w, ' '), '')) as words_md5 from (select doc_id, {_WORDS} as w from documents)",
     "term_frequency": f"with {_TF} select doc_id, term, tf from tf",
     "document_frequency": f"with {_TF}, {_DF} select term, df from df order by term",
     "postings": f"with {_TF} select term, string_agg(doc_id::varchar, ',' order by doc_id) as doc_ids from tf group by term",
@@ -215,6 +221,9 @@ ORACLES = {
     "bm25_and": f"{_BM} select a.doc_id, round(a.s + b.s, 6) as score from {_sum(chr(39) + 'red' + chr(39))} a join {_sum(chr(39) + 'economy' + chr(39))} b using (doc_id)",
     "bm25_not": f"{_BM} select doc_id, round(s, 6) as score from {_sum(chr(39) + 'small' + chr(39))} where doc_id not in (select doc_id from sc where term = 'economy')",
     "bm25_and_not": f"{_BM} select doc_id, round(s, 6) as score from (select doc_id, sum(s) as s from sc where term in ('red', 'bolt') group by doc_id) where doc_id not in (select doc_id from sc where term = 'economy')",
+    "bm25_field_error": f"{_BM} select doc_id, round(sum(s), 6) as score from sc where term = 'ring' and doc_id not in (select doc_id from sc where term = 'economy') group by doc_id",
+    "bm25_not_error": f"{_BM} select doc_id, round(sum(s), 6) as score from sc where term = 'small' group by doc_id",
+    "bm25_not_regex_error": f"{_BM} select doc_id, round(sum(s), 6) as score from sc where term = 'ring' group by doc_id",
     "bm25_prefix": _like("term like 'ec%'"),
     "bm25_wildcard": _like("term like 'b_lt'"),
     "csv_accepted": f"select c_custkey as key, c_name as name, {_MONEY} as balance from customer where {_SOUND}",
