@@ -37,6 +37,11 @@ def tokenize(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0), F.array().cast("array<string>"))
 
 
+def tokens(text: str | None) -> list[str]:
+    """The same of one text, on the driver: for the terms of a query."""
+    return re.findall(TOKEN, (text or "").lower())
+
+
 def _astral(pattern: str) -> str:
     """Characters beyond 16 bits as themselves, as regular expressions write them in different ways."""
     return re.sub(r"\\U([0-9a-f]{8})", lambda m: chr(int(m[1], 16)), pattern)

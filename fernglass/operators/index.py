@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,11 @@ class Index:
         more = [spark.read.parquet(f"{path}/{name}") if exists(spark, f"{path}/{name}") else None for name in ("unit", "impacts")]
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES], *more)
 
+    def of_terms(self, terms: Sequence[str]) -> Index:
+        """The index as a search for the terms sees it: the rows of others aren't read. Documents, norms and the size stay."""
+        few = lambda df: df.where(F.col("term").isin(list(terms)))
+        return replace(self, tf=few(self.tf), df=few(self.df), weights=few(self.weights))
+
     def export_json(self, path: str, mode: str = "overwrite") -> None:
         """The index as folders of JSON lines for other programs: a line for each document or term. Lists grow with their
         term or document; posting_blocks() gives lists of bounded length."""
@@ -58,6 +64,22 @@ class Index:
             write_json(table, f"{path}/{name}", mode)
 
 
+def import_json(spark: SparkSession, path: str, meta: str | None = None) -> Index:
+    """The index that export_json() wrote. meta: columns and types of the documents' table as DDL, read from the files where
+    it isn't given. Weights and norms are read, not made again; the size is the number of documents."""
+    docs = (spark.read.schema(meta) if meta else spark.read).json(f"{path}/meta")
+    key = docs.schema["doc_id"].dataType.simpleString()
+    read = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}")
+    df = read("df", "term string, df bigint")
+    tf = read("tf", f"doc_id {key}, tf map<string, bigint>").select("doc_id", F.explode("tf").alias("term", "tf"))
+    both = read("weights", f"doc_id {key}, standard map<string, double>, probabilistic map<string, double>")
+    pairs = both.select("doc_id", "probabilistic", F.explode("standard").alias("term", "w_standard"))
+    weights = pairs.select("doc_id", "term", "w_standard", F.element_at("probabilistic", F.col("term")).alias("w_probabilistic"))
+    weights = weights.join(tf, ["doc_id", "term"]).join(df, "term").select("doc_id", "term", "tf", "df", "w_standard", "w_probabilistic")
+    norms = read("norms", f"doc_id {key}, n_standard double, n_probabilistic double")
+    return Index(docs, tf, df, weights, norms, docs.agg(F.count("*").alias("n")))
+
+
 def player_documents(players: DataFrame, key: str = "doc_id") -> DataFrame:
     """(doc_id, text, meta) of player records: the fields that aren't empty, joined ('N/A' counts), and the whole record
     beside its main fields. Corrupt records should be out already; their numbers stay unused."""

@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernglass.functions.text import tokenize
+from fernglass.functions.text import tokenize, tokens
 from fernglass.functions.weights import PROBABILISTIC, STANDARD, idf_probabilistic, idf_standard, log_tf
 
 from .index import Index
@@ -49,7 +49,8 @@ def score(queries: DataFrame, index: Index, idf: str = STANDARD, key: str = "que
 def search(index: Index, query: str, k: int = 10, idf: str = STANDARD) -> DataFrame:
     """(doc_id, score): the k best documents, ties by id. A query without tokens, or of weight 0, gives none."""
     one = index.size.select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
-    return score(one, index, idf).select("doc_id", "score").orderBy(F.col("score").desc(), "doc_id").limit(k)
+    # so that the files' own statistics tell which parts hold the terms
+    return score(one, index.of_terms(tokens(query)), idf).select("doc_id", "score").orderBy(F.col("score").desc(), "doc_id").limit(k)
 
 
 def search_batch(queries: DataFrame, index: Index, k: int = 10, idf: str = STANDARD, key: str = "query_id", text: str = "query", prune: bool = False) -> DataFrame:
@@ -77,4 +78,4 @@ def best_passes(queries: DataFrame, index: Index, k: int, idf: str = STANDARD, k
 def total_hits(index: Index, query: str, idf: str = STANDARD) -> DataFrame:
     """(total): how many documents score() gives, exactly."""
     one = index.size.select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
-    return score(one, index, idf).agg(F.count("*").alias("total"))
+    return score(one, index.of_terms(tokens(query)), idf).agg(F.count("*").alias("total"))

@@ -13,6 +13,7 @@ from fernglass.functions.storage import scratch
 from fernglass.operators import boolean, display, extract_html, extract_wiki, fielded, index, ranked, records
 from fernglass.operators import search as entry
 from fernglass.sources import readers, writers
+from fernglass.streaming import index_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,6 +212,37 @@ def index_json(spark: SparkSession, d: str) -> DataFrame:
     return postings_.join(df, "term").select("term", "df", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
 
 
+@query
+def json_search(spark: SparkSession, d: str) -> DataFrame:
+    """A search of the index that was written in JSON and read again."""
+    path, _ = scratch(spark)
+    _saved_index(spark, d).export_json(path)
+    return ranked.search(index.import_json(spark, path), RANKED_QUERY)
+
+
+def _streamed(spark: SparkSession, d: str) -> str:
+    """The documents in four files, each of them a batch of a stream into an index; where that is."""
+    (files, _), (path, _), (state, _) = scratch(spark), scratch(spark), scratch(spark)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs.repartition(4, "doc_id").write.parquet(files)
+    index_stream.append_documents(index_stream.read_documents(spark, files, docs.schema, 1), path, state).awaitTermination()
+    return path
+
+
+@query
+def stream_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Batch by batch into an index, then searched."""
+    return ranked.search(index_stream.load(spark, _streamed(spark, d)), RANKED_QUERY)
+
+
+@query
+def stream_refreshed(spark: SparkSession, d: str) -> DataFrame:
+    """The same by norms that were kept, all batches being in them."""
+    path = _streamed(spark, d)
+    index_stream.refresh(spark, path)
+    return ranked.search(index_stream.load(spark, path, kept_norms=True), RANKED_QUERY)
+
+
 # --- Boolean --------------------------------------------------------------------------------------------------------
 
 

@@ -178,7 +178,7 @@ ORACLES = {
     "transpose_weights": f"{_INDEX} select term, doc_id, round(w_standard, 6) as w_standard from w order by term, doc_id",
     "doc_norms": f"{_INDEX} select doc_id, round(n_standard, 6) as n_standard, round(n_probabilistic, 6) as n_probabilistic from norms",
     "player_documents": f"select doc_id, concat_ws(' ', {_TEXT_ORDER}) as text, Player as name, CurrentTeam as team, BornYear as born from ({_PLAYER_ROWS})",
-    "ranked_standard": _ranked("standard"),
+    **dict.fromkeys(("ranked_standard", "json_search", "stream_ranked", "stream_refreshed"), _ranked("standard")),
     "ranked_probabilistic": _ranked("probabilistic"),
     **dict.fromkeys(("ranked_batch", "ranked_batch_pruned"), f"{_scores('standard', 'select item_id as query_id, text as query from benchmark')} select * from (select query_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, doc_id, score from scores) where rank <= 10"),
     "ranked_empty": "select doc_id, 0.0::double as score from documents where false",

@@ -90,6 +90,55 @@ def test_stream(spark, made, tmp_path):
     assert ranked.search(index_stream.load(spark, str(tmp_path / "out")), "x y z").collect() == ranked.search(made, "x y z").collect()
 
 
+def _rows(df):
+    return sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.select(*sorted(df.columns)).collect())
+
+
+def test_ten_batches(spark, tmp_path):
+    """As an index built at once; a search reads its terms alone; kept norms are exact after a refresh; half a batch isn't seen."""
+    docs = [(i, " ".join(f"w{(i * j) % 7}" for j in range(i % 5)) + (" all" if i % 3 else "")) for i in range(40)]
+    made = index.build(spark.createDataFrame(docs, "doc_id long, text string"))
+    for b in range(10):
+        spark.createDataFrame(docs[b * 4 : b * 4 + 4], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"in/{b}.parquet"))
+    path = str(tmp_path / "out")
+    stream = index_stream.read_documents(spark, str(tmp_path / "in/*"), spark.createDataFrame([], "doc_id long, text string").schema, 1)
+    index_stream.append_documents(stream, path, str(tmp_path / "state")).awaitTermination()
+    assert index_stream.last_batch(spark, path) == 9
+    got = index_stream.load(spark, path)
+    for name in ("docs", "tf", "df", "size", "weights"):
+        assert _rows(getattr(got, name)) == _rows(getattr(made, name)), name
+    want = ranked.search(made, "w1 w3 all").collect()
+    assert ranked.search(got, "w1 w3 all").collect() == want and want
+    # no refresh yet: norms are of the time of each batch, those of the last batch are exact
+    kept = index_stream.load(spark, path, kept_norms=True).norms
+    assert kept.count() == made.norms.count() and _rows(kept) != _rows(made.norms)
+    assert _rows(kept.where("doc_id >= 36")) == _rows(made.norms.where("doc_id >= 36"))
+    assert index_stream.refresh(spark, path) == 9
+    fresh = index_stream.load(spark, path, kept_norms=True)
+    assert _rows(fresh.norms) == _rows(made.norms) and ranked.search(fresh, "w1 w3 all").collect() == want
+    scans = [line for line in ranked.search(fresh, "w1 w3")._jdf.queryExecution().sparkPlan().toString().splitlines() if "FileScan" in line]
+    of_terms = [line for line in scans if "term#" in line]
+    assert of_terms and all("In(term, [w1,w3])" in line for line in of_terms)
+    assert not [line for line in scans if line not in of_terms and ("tf#" in line or "df#" in line)]
+    # a batch that hasn't come to its end
+    made.tf.write.parquet(f"{path}/tf/batch=10")
+    made.df.write.parquet(f"{path}/df/batch=10")
+    assert ranked.search(index_stream.load(spark, path), "w1 w3 all").collect() == want
+
+
+def test_import_json(spark, made, tmp_path):
+    made.export_json(str(tmp_path))
+    again = index.import_json(spark, str(tmp_path))
+    for name in ("docs", "tf", "df", "weights", "norms", "size"):
+        assert _rows(getattr(again, name)) == _rows(getattr(made, name)), name
+    assert _rows(index.import_json(spark, str(tmp_path), "doc_id long").docs) == _rows(made.docs)
+    assert ranked.search(again, "x y z").collect() == ranked.search(made, "x y z").collect()
+
+
+def test_search_of_nothing(made):
+    assert ranked.search(made, None).count() == 0 and ranked.total_hits(made, "").first().total == 0
+
+
 def test_hot_term_is_split(spark, tmp_path):
     """A term that half of all rows have is several tasks and files; a rare one is in one."""
     import pyarrow.parquet as pq
