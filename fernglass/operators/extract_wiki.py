@@ -30,6 +30,9 @@ TEAMS = (
 )
 NAMESPACES = ("Category:", "Template:", "Wikipedia:", "User:", "File:", "MediaWiki:")
 TITLE = r"(?d)<title>(.*?)</title>"
+INFOBOX_VALUE = r"(?siuU)\|\s*{field}\s*=\s*(.*?)(?=(?:\n\s*\||\s*\|\s*\w+\s*=)|\n\s*\}}|\z)"
+NEXT_FIELD = r"(?U)\|\s*\w+\s*="
+LAST_BAR = r"(?U)\s*\|\s*$"
 FIRST_SENTENCE = r"(?sU)'''.+?'''.+?(\.\s|\!|\?)"
 #: Markup to take out, in this order: pattern, and what takes its place.
 MARKUP = (
@@ -104,9 +107,9 @@ def first_sentence(page: Column) -> Column:
 
 def infobox_field(page: Column, field: str) -> Column:
     """The field's value as plain text; '' without one. A value that runs into the next field counts as none."""
-    value = strip(F.regexp_extract(page, rf"(?siuU)\|\s*{field}\s*=\s*(.*?)(?=(?:\n\s*\||\s*\|\s*\w+\s*=)|\n\s*\}}|\z)", 1))
-    value = once(value, lambda v: F.when(v.rlike(r"(?U)\|\s*\w+\s*="), F.lit("")).otherwise(v))
-    return clean_markup(F.regexp_replace(value, r"(?U)\s*\|\s*$", ""))
+    value = strip(F.regexp_extract(page, INFOBOX_VALUE.format(field=field), 1))
+    value = once(value, lambda v: F.when(v.rlike(NEXT_FIELD), F.lit("")).otherwise(v))
+    return clean_markup(F.regexp_replace(value, LAST_BAR, ""))
 
 
 def weight(page: Column) -> Column:
