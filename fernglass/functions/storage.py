@@ -49,6 +49,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def keys_are_shared(df: DataFrame, key: str) -> bool:
+    """Whether two rows have the same key that isn't null, by a job over the keys alone."""
+    return not df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty()
+
+
 def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """df as a Parquet table in the shared folder, and what deletes it. Unlike a checkpoint it has the size of its files as
     statistics; those of checkpoints multiply from join to join, which loops can't bear."""

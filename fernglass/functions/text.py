@@ -42,6 +42,20 @@ def tokens(text: str | None) -> list[str]:
     return re.findall(TOKEN, (text or "").lower())
 
 
+def counted(words: Column) -> Column:
+    """(term, tf) of each different word of an array, in order: runs of the sorted words. A row at a time, without a shuffle."""
+
+    def runs(sorted_: Column) -> Column:
+        n = F.size(sorted_)
+        is_first = lambda i: (i == 0) | (F.get(sorted_, i) != F.get(sorted_, i - 1))
+        places = F.filter(F.sequence(F.lit(0), n - 1), is_first)
+        run = lambda at: F.transform(at, lambda i, k: F.struct(F.get(sorted_, i).alias("term"), (F.coalesce(F.get(at, k + 1), n) - i).cast("bigint").alias("tf")))
+        return once(places, run)
+
+    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.when(F.size(words) > 0, once(F.sort_array(words), runs)).otherwise(empty)
+
+
 def _astral(pattern: str) -> str:
     """Characters beyond 16 bits as themselves, as regular expressions write them in different ways."""
     return re.sub(r"\\U([0-9a-f]{8})", lambda m: chr(int(m[1], 16)), pattern)

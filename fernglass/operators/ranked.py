@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import logging
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fernglass.functions.storage import kept_table
 from fernglass.functions.text import tokenize, tokens
 from fernglass.functions.weights import PROBABILISTIC, STANDARD, idf_probabilistic, idf_standard, log_tf
 
@@ -34,23 +36,43 @@ def query_vectors(queries: DataFrame, index: Index, idf: str, key: str = "query_
     return weighted.withColumn("q_norm", F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("query_id"))))
 
 
+def _dealt(index: Index, method: str) -> DataFrame:
+    """(doc_id, term, w, norm), dealt by document: what follows for each document needs no other shuffle. Norms, the smaller
+    side, are hashed; weights aren't sorted."""
+    norms = index.norms.select("doc_id", F.col(f"n_{method}").alias("norm")).where("norm > 0")
+    return index.weights.select("doc_id", "term", F.col(f"w_{method}").alias("w")).join(norms.hint("shuffle_hash"), "doc_id")
+
+
+def _of_terms(index: Index, terms: DataFrame) -> Index:
+    """The index with the weights of these terms alone; Spark sends the terms to all tasks while they are few."""
+    return replace(index, weights=index.weights.join(terms.select("term").distinct(), "term", "left_semi"))
+
+
+def _scored(q: DataFrame, index: Index, method: str) -> DataFrame:
+    dots = _dealt(index, method).join(q, "term").groupBy("query_id", "doc_id")
+    sums = dots.agg(F.sum(F.col("q") * F.col("w")).alias("dot"), F.first("q_norm").alias("q_norm"), F.first("norm").alias("norm"))
+    return sums.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("q_norm") * F.col("norm")), DIGITS).alias("score"))
+
+
 def score(queries: DataFrame, index: Index, idf: str = STANDARD, key: str = "query_id", text: str = "query") -> DataFrame:
     """(query_id, doc_id, score) of each document that holds a term of the query and has a vector. Scores of 0 count.
-    Terms are an inner join of two tables by term, so only documents that share one are looked at; AQE broadcasts
-    the queries while they are few."""
+    The queries' vectors are kept as a table, whose size tells whether it goes to all tasks. Then weights of their terms are
+    dealt by document once, and scores are summed there: pairs of queries and documents aren't shuffled."""
     method = idf_method(idf)
-    q = query_vectors(queries, index, method, key, text).where("q_norm > 0")
-    w = index.weights.select("doc_id", "term", F.col(f"w_{method}").alias("w"))
-    dots = w.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("w")).alias("dot"), F.first("q_norm").alias("q_norm"))
-    norms = index.norms.select("doc_id", F.col(f"n_{method}").alias("norm")).where("norm > 0")
-    return dots.join(norms, "doc_id").select("query_id", "doc_id", F.round(F.col("dot") / (F.col("q_norm") * F.col("norm")), DIGITS).alias("score"))
+    q = kept_table(query_vectors(queries, index, method, key, text).where("q_norm > 0"))
+    return _scored(q, _of_terms(index, q), method)
+
+
+def _score_one(index: Index, query: str, idf: str) -> DataFrame:
+    """The same of one query, whose terms are read by name, so that the files' own statistics tell which parts hold them."""
+    method, few = idf_method(idf), index.of_terms(tokens(query))
+    one = index.size.select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
+    return _scored(F.broadcast(query_vectors(one, few, method).where("q_norm > 0")), few, method)
 
 
 def search(index: Index, query: str, k: int = 10, idf: str = STANDARD) -> DataFrame:
     """(doc_id, score): the k best documents, ties by id. A query without tokens, or of weight 0, gives none."""
-    one = index.size.select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
-    # so that the files' own statistics tell which parts hold the terms
-    return score(one, index.of_terms(tokens(query)), idf).select("doc_id", "score").orderBy(F.col("score").desc(), "doc_id").limit(k)
+    return _score_one(index, query, idf).select("doc_id", "score").orderBy(F.col("score").desc(), "doc_id").limit(k)
 
 
 def search_batch(queries: DataFrame, index: Index, k: int = 10, idf: str = STANDARD, key: str = "query_id", text: str = "query", prune: bool = False) -> DataFrame:
@@ -69,13 +91,12 @@ def best_passes(queries: DataFrame, index: Index, k: int, idf: str = STANDARD, k
     so magnitudes multiply to what the weights do."""
     method = idf_method(idf)
     vectors = query_vectors(queries, index, method, key, text).where("q_norm > 0")
-    terms = vectors.select("query_id", "term", F.abs(F.col("q") / F.col("q_norm")).alias("q"))
-    impacts = index.impacts.select("term", "block", F.col(f"top_{method}").alias("top")).where("top is not null")
-    postings = index.unit.select("term", "block", "doc_id", F.abs(F.col(f"u_{method}")).alias("u")).where("u is not null")
-    return passes(terms, impacts, postings, k, ("term",), DIGITS)
+    terms = kept_table(vectors.select("query_id", "term", F.abs(F.col("q") / F.col("q_norm")).alias("q")))
+    dealt = _dealt(_of_terms(index, terms), method).join(index.blocks.hint("shuffle_hash"), "doc_id")
+    postings = dealt.select("term", "block", "doc_id", F.abs(F.col("w") / F.col("norm")).alias("u"))
+    return passes(terms, postings, k, ("term",), DIGITS)
 
 
 def total_hits(index: Index, query: str, idf: str = STANDARD) -> DataFrame:
     """(total): how many documents score() gives, exactly."""
-    one = index.size.select(F.lit(0).alias("query_id"), F.lit(query).alias("query"))
-    return score(one, index.of_terms(tokens(query)), idf).agg(F.count("*").alias("total"))
+    return _score_one(index, query, idf).agg(F.count("*").alias("total"))
