@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from fernglass.functions.storage import exists
-from fernglass.operators.index import Index, document_frequencies, term_frequencies, term_weights, vector_norms
+from fernglass.operators.index import Index, document_frequencies, term_frequencies, term_weights, vector_norms, weighed, with_frequencies
 from fernglass.sources.writers import write_table
 
 
@@ -32,7 +32,7 @@ def append_documents(stream: DataFrame, path: str, checkpoint: str, key: str = "
         own = save("df", document_frequencies(tf), "term")
         save("size", batch.agg(F.count("*").alias("n")))
         df, size = _sums(spark, path, number)
-        save("norms", vector_norms(term_weights(tf, df.join(own.select("term"), "term", "left_semi"), size)))
+        save("norms", vector_norms(weighed(with_frequencies(tf, df.join(own.select("term"), "term", "left_semi")), size)))
         # last: a batch without it counts as not there
         save("docs", batch.select(F.col(key).alias("doc_id")))
         batch.unpersist()
@@ -70,7 +70,8 @@ def load(spark: SparkSession, path: str, kept_norms: bool = False) -> Index:
     docs, tf = (_upto(spark, path, name, last).drop("batch") for name in ("docs", "tf"))
     df, size = _sums(spark, path, last)
     weights = term_weights(tf, df, size)
-    return Index(docs, tf, df, weights, _kept_norms(spark, path, last) if kept_norms else vector_norms(weights), size)
+    norms = _kept_norms(spark, path, last) if kept_norms else vector_norms(weighed(with_frequencies(tf, df), size))
+    return Index(docs, tf, df, weights, norms, size)
 
 
 def refresh(spark: SparkSession, path: str) -> int:
@@ -78,7 +79,7 @@ def refresh(spark: SparkSession, path: str) -> int:
     cover. New batches may come meanwhile. Earlier results of it stay, for searches that still read them."""
     last = last_batch(spark, path)
     df, size = _sums(spark, path, last)
-    norms = vector_norms(term_weights(_upto(spark, path, "tf", last).drop("batch"), df, size))
+    norms = vector_norms(weighed(with_frequencies(_upto(spark, path, "tf", last).drop("batch"), df), size))
     write_table(norms, f"{path}/fresh/upto={last}")
     return last
 
