@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -147,6 +148,23 @@ def with_frequencies(tf: DataFrame, df: DataFrame, most: int = FREQUENT) -> Data
     return tf.join(often, "term").unionByName(seldom).select("doc_id", "term", "tf", "df")
 
 
+#: Rows of postings in a task, about: what it sorts stays in memory.
+TASK_ROWS = 2_000_000
+
+
+def dealt_postings(tf: DataFrame, df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(doc_id, term, tf, df), dealt and sorted by term, by one shuffle of tf: df is dealt likewise and joined there. The number of
+    tasks grows with the rows. A term of more than a quarter of a task's rows is dealt in pieces, by document."""
+    parts = max(1, math.ceil((df.agg(F.sum("df")).first()[0] or 0) / task_rows))
+    pieces = F.ceil(F.col("df") * 4 / task_rows).cast("int")
+    hot = F.broadcast(df.select("term", pieces.alias("_pieces")).where("_pieces > 1"))  # four for each task at most
+    rows = tf.join(hot, "term", "left").select(*tf.columns, F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_pieces")), F.lit(0)).cast("int").alias("_piece"))
+    all_pieces = df.select("term", "df", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)).alias("_piece"))
+    keys = ["term", "_piece"]
+    by = lambda t: t.repartition(parts, *keys)
+    return by(rows).join(by(all_pieces).hint("shuffle_hash"), keys).select("doc_id", "term", "tf", "df").sortWithinPartitions("term")
+
+
 def vector_norms(weights: DataFrame) -> DataFrame:
     """(doc_id, n_standard, n_probabilistic): lengths of the weight vectors, 0 where all weights are."""
     length = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
@@ -165,7 +183,8 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[C
 
 def build_saved(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: list[Column] | None = None, mode: str = "overwrite", by_block: bool = False) -> Index:
     """Builds the index in the folder, table by table, each from those that are saved already, and loads it. Documents are
-    tokenised once, into rows that lie by document for a while: norms are made from these, and the postings by one shuffle.
+    tokenised once, into rows that lie by document for a while: the postings are made from these by one shuffle, and norms
+    where they lie.
     by_block: with blocks, by which searches for the best documents leave most others out (see topk)."""
     spark = docs.sparkSession
 
@@ -177,9 +196,8 @@ def build_saved(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     size = saved("size", docs.agg(F.count("*").alias("n")))
     tf, free = written(term_frequencies(docs, key, text))
     df = saved("df", document_frequencies(tf), "term")
-    joined = with_frequencies(tf, df)
-    saved("postings", joined, "term")
-    norms = saved("norms", vector_norms(weighed(joined, size)))
+    saved("postings", dealt_postings(tf, df))
+    norms = saved("norms", vector_norms(weighed(with_frequencies(tf, df), size)))
     free()
     if by_block:
         saved("blocks", blocks(norms, F.col(f"n_{STANDARD}")))
