@@ -163,7 +163,8 @@ def dealt_postings(tf: DataFrame, df: DataFrame, task_rows: int = TASK_ROWS) ->
     all_pieces = df.select("term", "df", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1)).alias("_piece"))
     keys = ["term", "_piece"]
     by = lambda t: t.repartition(parts, *keys)
-    return by(rows).join(by(all_pieces).hint("shuffle_hash"), keys).select("doc_id", "term", "tf", "df").sortWithinPartitions("term")
+    joined = by(rows).join(by(all_pieces).hint("shuffle_hash"), keys).select("doc_id", "term", "tf", "df")
+    return joined.coalesce(parts).sortWithinPartitions("term")  # a join has as many tasks as the session says, at least
 
 
 def vector_norms(weights: DataFrame) -> DataFrame:
@@ -196,7 +197,7 @@ def build_saved(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     saved("docs", docs.select(F.col(key).alias("doc_id"), *(keep or [])))
     size = saved("size", docs.agg(F.count("*").alias("n")))
     tf, free = written(term_frequencies(docs, key, text))
-    df = saved("df", document_frequencies(tf), "term")
+    df = saved("df", document_frequencies(tf).sortWithinPartitions("term"))
     joined = saved("postings", dealt_postings(tf, df))
     norms = saved("norms", vector_norms(weighed(with_frequencies(tf, df, joined=joined), size)))
     free()
