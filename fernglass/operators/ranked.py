@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
@@ -17,6 +18,8 @@ from .topk import Passes, passes
 
 #: Scores are rounded to this many digits before they rank, so that copies tie whatever the order of summing.
 DIGITS = 6
+#: Pairs of queries and documents that a task sums at most, about; parts at most (beyond, tasks have more pairs, and may spill).
+TASK_PAIRS, PARTS = 1_000_000, 10_000
 
 
 def idf_method(name: str) -> str:
@@ -36,11 +39,12 @@ def query_vectors(queries: DataFrame, index: Index, idf: str, key: str = "query_
     return weighted.withColumn("q_norm", F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("query_id"))))
 
 
-def _dealt(index: Index, method: str) -> DataFrame:
-    """(doc_id, term, w, norm), dealt by document: what follows for each document needs no other shuffle. Norms, the smaller
-    side, are hashed; weights aren't sorted."""
-    norms = index.norms.select("doc_id", F.col(f"n_{method}").alias("norm")).where("norm > 0")
-    return index.weights.select("doc_id", "term", F.col(f"w_{method}").alias("w")).join(norms.hint("shuffle_hash"), "doc_id")
+def _dealt(index: Index, method: str, parts: int | None = None) -> DataFrame:
+    """(doc_id, term, w, norm), dealt by document, in so many parts: what follows for each document needs no other shuffle.
+    Norms, the smaller side, are hashed; weights aren't sorted."""
+    by = lambda df: df.repartition(parts, "doc_id") if parts else df
+    norms = by(index.norms.select("doc_id", F.col(f"n_{method}").alias("norm")).where("norm > 0"))
+    return by(index.weights.select("doc_id", "term", F.col(f"w_{method}").alias("w"))).join(norms.hint("shuffle_hash"), "doc_id")
 
 
 def _of_terms(index: Index, terms: DataFrame) -> Index:
@@ -48,8 +52,8 @@ def _of_terms(index: Index, terms: DataFrame) -> Index:
     return replace(index, weights=index.weights.join(terms.select("term").distinct(), "term", "left_semi"))
 
 
-def _scored(q: DataFrame, index: Index, method: str) -> DataFrame:
-    dots = _dealt(index, method).join(q, "term").groupBy("query_id", "doc_id")
+def _scored(q: DataFrame, index: Index, method: str, parts: int | None = None) -> DataFrame:
+    dots = _dealt(index, method, parts).join(q, "term").groupBy("query_id", "doc_id")
     sums = dots.agg(F.sum(F.col("q") * F.col("w")).alias("dot"), F.first("q_norm").alias("q_norm"), F.first("norm").alias("norm"))
     return sums.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("q_norm") * F.col("norm")), DIGITS).alias("score"))
 
@@ -57,10 +61,12 @@ def _scored(q: DataFrame, index: Index, method: str) -> DataFrame:
 def score(queries: DataFrame, index: Index, idf: str = STANDARD, key: str = "query_id", text: str = "query") -> DataFrame:
     """(query_id, doc_id, score) of each document that holds a term of the query and has a vector. Scores of 0 count.
     The queries' vectors are kept as a table, whose size tells whether it goes to all tasks. Then weights of their terms are
-    dealt by document once, and scores are summed there: pairs of queries and documents aren't shuffled."""
+    dealt by document once, and scores are summed there: pairs of queries and documents aren't shuffled. There are so many
+    parts that a task's pairs stay in memory, however many documents."""
     method = idf_method(idf)
     q = kept_table(query_vectors(queries, index, method, key, text).where("q_norm > 0"))
-    return _scored(q, _of_terms(index, q), method)
+    pairs = q.select("query_id").distinct().count() * index.size.first()[0]
+    return _scored(q, _of_terms(index, q), method, min(PARTS, math.ceil(pairs / TASK_PAIRS)) if pairs > TASK_PAIRS else None)
 
 
 def _score_one(index: Index, query: str, idf: str) -> DataFrame:
