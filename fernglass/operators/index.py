@@ -111,9 +111,22 @@ def postings(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
 
 
-def posting_blocks(tf: DataFrame, block: int = 1_000_000) -> DataFrame:
-    """(term, block, doc_ids): the same in blocks of so many ids, none longer than that, however frequent the term."""
-    return tf.groupBy("term", F.floor(F.col("doc_id") / block).alias("block")).agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+#: Bytes of text for each task that gathers postings; they make a million and a half rows, about.
+TASK_BYTES = 16 << 20
+
+
+def text_parts(docs: DataFrame, text: str = "text") -> int:
+    """How many tasks should gather the postings of the documents, from the lengths of their texts alone."""
+    return max(1, math.ceil((docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) / TASK_BYTES))
+
+
+def posting_blocks(tf: DataFrame, block: int = 1_000_000, parts: int | None = None) -> DataFrame:
+    """(term, block, doc_ids): the same in blocks of so many ids, none longer than that, however frequent the term. Rows are
+    dealt as they are: lists that are begun before the shuffle have few ids each, and are sorted there, with all rows of a file's
+    part at once. parts: how many tasks gather them (see text_parts), so that what one of them sorts doesn't grow with tf."""
+    rows, keys = tf.select("term", F.floor(F.col("doc_id") / block).alias("block"), "doc_id"), ("term", "block")
+    dealt = rows.repartition(parts, *keys) if parts else rows.repartition(*keys)
+    return dealt.groupBy(*keys).agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
 
 
 def vocabulary(df: DataFrame) -> DataFrame:

@@ -100,7 +100,8 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def posting_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return index.posting_blocks(_tf(spark, d), 100).select("term", "block", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
+    parts = index.text_parts(table(spark, d, "documents"))
+    return index.posting_blocks(_tf(spark, d), 100, parts).select("term", "block", F.array_join(F.col("doc_ids").cast("array<string>"), ",").alias("doc_ids"))
 
 
 @query
